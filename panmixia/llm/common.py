@@ -52,3 +52,18 @@ def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def words_of(text: str | bytes) -> list[bytes]:
     """bytes.split() breaks at exactly the six ASCII spaces."""
     return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).split()
+
+
+def salted(big: DataFrame, small: DataFrame, keys: list[str], salts: int, spread: list[Column]) -> DataFrame:
+    """Left join on null-safe ``keys`` in which each key's rows of ``big`` go to ``salts`` partitions.
+
+    ``small`` has one row per key; its columns other than the keys are added. ``spread`` are the
+    columns of ``big`` that deal a key's rows out.
+    """
+    other = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    other = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = big.withColumn("__part", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    on = F.col("__part") == F.col("__salt")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return dealt.join(other, on, "left").drop("__part", "__salt", *[f"__{k}" for k in keys])

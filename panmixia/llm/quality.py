@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import WORD_BREAK, cut, let, text_or_empty
+from panmixia.llm.common import WORD_BREAK, cut, let, salted, text_or_empty
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Copies of each host's verdict, so that a host with a third of all rows is joined in as many parts.
@@ -120,12 +120,7 @@ def host_quality(docs: DataFrame, host: str = "source", reject_rate: float = 0.5
         verdict.append(((F.col(k) + m * strength) / (F.col("docs") + strength)).alias(f"rate_{k}"))
     judged = hosts.select(*verdict, "docs").withColumnRenamed("docs", "host_docs")
     judged = judged.withColumn("host_rejected", F.greatest(*[F.col(f"rate_{k}") for k in names]) > reject_rate)
-    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = judged.withColumnRenamed("host", "judged_host")
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(
-        judged, salted["host"].eqNullSafe(judged["judged_host"]) & (salted["salt"] == judged["salt"]), "left"
-    )
+    joined = salted(base, judged, ["host"], SALTS, [F.col("doc_id"), F.col("n_words"), F.col("word_chars")])
     failed = F.col("short") | F.col("repeats")
     broken = F.greatest(*[F.col(k).cast("int") for k in names]) == 1
     return joined.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panmixia.llm import quality, secrets, toxicity
+from panmixia.llm import mixing, packing, quality, secrets, toxicity, warc
 from panmixia.llm.common import fold_of, table
 
 
@@ -24,8 +24,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), F.col("score"), F.col("predicted"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op4_host_quality, op7_toxicity)}
+    return {f.__name__: f for f in (op2_secret_scan, op4_host_quality, op7_toxicity, op8_packing, op9_warc, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
