@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panmixia.llm import mixing, packing, pii, quality, secrets, toxicity, warc
+from panmixia.llm import ann, maxent, mixing, packing, pii, quality, secrets, toxicity, warc
 from panmixia.llm.common import fold_of, table
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op4_host_quality, op5_pii, op7_toxicity, op8_packing, op9_warc, op10_source_mix)}
+    return {f.__name__: f for f in (op1_multi_index, op2_secret_scan, op3_maxent, op4_host_quality, op5_pii, op7_toxicity, op8_packing, op9_warc, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
