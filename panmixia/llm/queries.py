@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panmixia.llm import ann, maxent, mixing, packing, pii, quality, secrets, toxicity, warc
+from panmixia.llm import ann, maxent, mixing, neardup, packing, pii, quality, secrets, toxicity, warc
 from panmixia.llm.common import fold_of, table
 
 
@@ -29,6 +29,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -49,7 +53,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_multi_index, op2_secret_scan, op3_maxent, op4_host_quality, op5_pii, op7_toxicity, op8_packing, op9_warc, op10_source_mix)}
+    return {f.__name__: f for f in (op1_multi_index, op2_secret_scan, op3_maxent, op4_host_quality, op5_pii, op6_jaccard_join, op7_toxicity, op8_packing, op9_warc, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
