@@ -13,7 +13,7 @@ MOST = 3
 BLOCK_WORDS = 256
 #: Consecutive Fibonacci numbers: i * LESS mod PERIOD runs through the golden-ratio lattice.
 LESS, PERIOD = 1134903170, 1836311903
-SALTS, CHUNK_ROWS, CHUNK_SLOTS, BINS = 32, 50_000, 65_536, 4096
+SALTS, CHUNK_ROWS, CHUNK_SLOTS, BINS = 32, 2_000, 65_536, 4096
 
 
 def _targets(sized: DataFrame) -> DataFrame:
@@ -126,3 +126,18 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     out = placed.withColumn("key", F.when(F.col("size") > 0, F.col("first")))
     out = out.join(taken.select("source_no", F.col("first").alias("key"), "taken"), ["source_no", "key"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), "source_no")
+
+
+def resample(docs: DataFrame) -> DataFrame:
+    """The documents themselves, each as often as the mix takes most of its words; columns stay as they are.
+
+    A document taken in whole rounds comes that often, and once more if at least half of it is due in
+    the round that its source does not finish. Documents without words stay once: the mix cannot tell
+    how often to take them. A repeated id comes as often as its rows' words are taken together.
+    """
+    plan = mix(docs)
+    per = plan.groupBy(F.col("doc_id").alias("planned")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
+    per = cut(per.select("planned", times.alias("times")))
+    joined = docs.join(per, docs["doc_id"].eqNullSafe(per["planned"])).where("times > 0")
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("__copy")).drop("__copy")
