@@ -9,22 +9,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from panmixia.llm.common import strings
-
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-#: Tokens held by a task before it packs them, and words whose ids a worker remembers.
-BUFFER_TOKENS, CACHED_WORDS = 4_000_000, 400_000
+#: Tokens held by a task before it packs them, words whose ids a worker remembers, and rows that are encoded at once.
+BUFFER_TOKENS, CACHED_WORDS, ENCODED_ROWS = 4_000_000, 400_000, 2048
 STEP_TOKENS = 8 * TIERS[-1]
 
 
 class WordTokenizer:
     """Ids of a tokenizer that never joins across white space, word by word.
 
-    Most words recur, so each is encoded once. New plain words are encoded together in one string
+    Most words recur, so each is encoded once. New words of letters are encoded together in one string
     and told apart by the end-of-word marks of their last pieces; a word with a final dot or comma
     has the ids of the two parts. Everything else is encoded alone.
     """
@@ -32,55 +31,75 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # the same model behind a cheaper front, for words of lower-case ASCII letters alone
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.marks = {p: self._ids([p.decode()])[0] for p in (b".", b",")}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _letters(word: bytes) -> bool:
-        return word.isalpha() or (not word.isascii() and word.decode("utf-8", "replace").isalpha())
+    def _ids(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        found = (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _together(self, words: list[bytes], plain: bool) -> list[bytes]:
+        """Ids of single words of letters, encoded as one text; one by one if its pieces don't add up."""
+        if not words:
+            return []
+        raw = self._ids([b" ".join(words).decode("utf-8", "replace")], plain)[0]
+        stops = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
+        if len(stops) != len(words):
+            return self._ids([w.decode("utf-8", "replace") for w in words])
+        at = [0, *(4 * stops).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        plain, other, marked = set(), [], []
-        for w in words:
-            if self._letters(w):
-                plain.add(w)
-            elif w[-1:] in self.marks and self._letters(w[:-1]):
-                marked.append(w)
-                if w[:-1] not in self.known:
-                    plain.add(w[:-1])
-            else:
-                other.append(w)
-        stems = list(plain)
-        if stems:
-            got = np.frombuffer(self._ids([b" ".join(stems).decode("utf-8", "replace")])[0], "<u4")
-            stops = np.flatnonzero(self.ends[got]) + 1
-            if len(stops) == len(stems):
-                raw, at = got.tobytes(), [0, *(4 * stops).tolist()]
-                self.known.update((w, raw[a:b]) for w, a, b in zip(stems, at, at[1:], strict=False))
+        known, older, marks = self.known, self.older, self.marks
+        marked = [w for w in words if w[-1:] in marks]
+        words.difference_update(marked)
+        words.update(stems := {w[:-1] for w in marked}.difference(known))
+        for w in [w for w in stems if w in older] if older else ():
+            known[w] = older[w]
+            words.discard(w)
+        ascii_ = [w for w in words if w.isalpha()]  # lower case by now, so nothing is left to normalise
+        rest = [(w, w.decode("utf-8", "replace")) for w in words.difference(ascii_)]
+        letters = [w for w, t in rest if t.isalpha()]
+        other = [(w, t) for w, t in rest if not t.isalpha()]
+        known.update(zip(ascii_, self._together(ascii_, plain=True), strict=True))
+        known.update(zip(letters, self._together(letters, plain=False), strict=True))
+        known.update(zip([w for w, _ in other], self._ids([t for _, t in other]) if other else [], strict=True))
+        for w in marked:
+            stem = w[:-1]
+            if stem.isalpha() or stem.decode("utf-8", "replace").isalpha():
+                known[w] = known[stem] + marks[w[-1:]]
             else:
-                other += stems
-        self.known.update(zip(other, self._ids([w.decode("utf-8", "replace") for w in other]), strict=True))
-        self.known.update((w, self.known[w[:-1]] + self.marks[w[-1:]]) for w in marked)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        out = []
-        for text in texts:
-            raw = text.encode("utf-8", "replace")
-            words = (raw if b"<|" in raw else raw.lower()).split()  # a special token is one in lower case only
-            if new := {w for w in words if w not in self.known}:
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+                known[w] = self._ids([w.decode("utf-8", "replace")])[0]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Each text's ids, as little-endian unsigned 32-bit numbers; null as empty."""
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are such in one case only
+            return pa.array(self._ids(texts.to_pylist()), pa.binary())
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        own = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.known) + len(own) > CACHED_WORDS:
+            # what is still in use comes back from the older half, the rest goes
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = {w for w in own if w not in known}
+        if older and (back := [w for w in new if w in older]):
+            known.update((w, older[w]) for w in back)
+            new.difference_update(back)
+        if new:
+            self._learn(new)
+        ids = pa.array([known[w] for w in own], pa.binary()).take(coded.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(split.offsets, ids), b"")
 
 
 @lru_cache(maxsize=2)
@@ -205,9 +224,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = Fa
 
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            texts, doc_ids = strings(batch), batch.column("doc_id").to_pylist()
-            for i in range(0, len(texts), 256):
-                for doc_id, raw in zip(doc_ids[i : i + 256], tokenizer.encode(texts[i : i + 256]), strict=True):
+            for i in range(0, batch.num_rows, ENCODED_ROWS):
+                some = batch.slice(i, ENCODED_ROWS)
+                for doc_id, raw in zip(some.column("doc_id").to_pylist(), tokenizer.encode(some.column("text")).to_pylist(), strict=True):
                     ids[count] = (doc_id, raw + end)
                     packer.add(count, len(raw) // 4 + 1)
                     held += len(raw) // 4 + 1
