@@ -10,5 +10,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with DuckDB's version of it if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+from panmixia.plans import queries_panel  # noqa: E402  these fill the registry
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+    return QUERIES["site_pi_exact"](spark, sf_dir)
