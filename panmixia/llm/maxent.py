@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, fold_of, stored, strings
+from panmixia.llm.common import cut, fold_of, stored, strings, trimmed
 
 #: A token that no word equals: a document's end, and the context before its first word.
 END = b""
@@ -36,6 +36,7 @@ def suffix(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % SUFFIXES
 
 
+@trimmed
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally: Counter = Counter()
 
@@ -177,6 +178,7 @@ def _statistics(train: DataFrame, shared) -> DataFrame:
     Both tables have a fixed number of entries, so a task adds up dense arrays and sends what it has once.
     """
 
+    @trimmed
     def tallied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
         one = np.zeros(CELLS * CLASSES, np.int64)
@@ -225,7 +227,8 @@ def _train_classes(stats: DataFrame, steps: int, partitions: int = 4) -> np.ndar
     """
     spark = stats.sparkSession
     rows = stats.where("kind = 0").select(F.floor(F.col("at") / CLASSES).cast("int").alias("cell"), (F.col("at") % CLASSES).cast("int").alias("class"), "n")
-    rows = cut(rows.repartition(partitions, "cell").sortWithinPartitions("cell"))
+    # each task sends a gradient as large as the weights, so their number is fixed here
+    rows = cut(rows.repartition("cell").sortWithinPartitions("cell")).coalesce(partitions)
     weights = np.zeros((int(OFFSETS[-1]), CLASSES), np.float32)
     total = np.zeros(CLASSES)
     for r in rows.groupBy("class").agg(F.sum("n").alias("n")).collect():
@@ -339,6 +342,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: sums over head words and over classes, and the words outside the head with their counts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         head = m.head

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, salted, stored
+from panmixia.llm.common import cut, salted, stored, trimmed
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, LONGEST, RECALL = 24, 8, 0.995
@@ -78,6 +78,7 @@ def signatures(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
     """Per row: a key of its shingle set, the set's size, and its prefix in each tree as a hash."""
     a, b = _permutations(trees * depth)
 
+    @trimmed
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
@@ -194,6 +195,7 @@ def _verify(threshold: float):
             out += zip(nodes[right].tolist(), name[columns].tolist(), (found.T @ copies[left]).tolist(), strict=True)
         return [x for x in out if x[2]]
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group, out = [], None, []
 
@@ -256,6 +258,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, reca
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     texts = texts.join(F.broadcast(needed) if few else needed, texts["doc_id"].eqNullSafe(needed["rep"])).drop("doc_id", "rep")
 
+    @trimmed
     def shipped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):

@@ -13,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from panmixia.llm.common import trimmed
+
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens held by a task before it packs them, words whose ids a worker remembers, and rows that are encoded at once.
-BUFFER_TOKENS, CACHED_WORDS, ENCODED_ROWS = 4_000_000, 400_000, 2048
+BUFFER_TOKENS, CACHED_WORDS, ENCODED_ROWS = 2_000_000, 200_000, 1024
 STEP_TOKENS = 8 * TIERS[-1]
 
 
@@ -193,6 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = Fa
     cut; repeated rows are packed again; an empty table gives no rows; other columns are not read.
     """
 
+    @trimmed
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, packer = word_tokenizer(tokenizer_path), Packer()
         ids: dict[int, tuple[int | None, bytes]] = {}
@@ -237,5 +240,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = Fa
         packer.pack()
         packer.flush()
         yield done()
+        tokenizer.known, tokenizer.older = {}, {}
 
     return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA + ", ids binary" * with_ids)

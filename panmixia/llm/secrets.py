@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panmixia.llm.common import strings
+from panmixia.llm.common import strings, trimmed
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -125,6 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
     repeated rows repeat; an empty table gives an empty one; other columns are not read.
     """
 
+    @trimmed
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in _OUT.names[1:]}
@@ -144,6 +145,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns with secrets replaced in ``text``; null texts stay null, ``n_chars`` follows where there is one."""
     names = docs.columns
 
+    @trimmed
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else redacted(t) for t in batch.column("text").to_pylist()]

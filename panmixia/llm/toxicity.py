@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, fold_of, strings
+from panmixia.llm.common import cut, fold_of, strings, trimmed
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 LOOKALIKES = dict(zip("аеорсухікмтвнѕјԁһԛԝαεορτυικνηβχ", "aeopcyxikmtbhsjdhqwaeoptuiknnbx", strict=True))
@@ -209,6 +209,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
     names, kept = list(keep), list(keep)
     told = names if "text" in names else [*names, "text"]
 
+    @trimmed
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [model.score(t) for t in strings(batch)]
