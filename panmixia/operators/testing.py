@@ -130,8 +130,8 @@ def rel_err_summary(df: DataFrame, a: str, b: str, *by: str, floor: float = 1e-1
 def top_discrepant(df: DataFrame, a: str, b: str, k: int, order: str = "site_idx") -> DataFrame:
     """The k rows of largest relative error, to 9 digits, each with the gap from the row before it."""
     err = F.round(F.abs(F.col(a) - F.col(b)) / F.abs(F.col(b)), 9)
-    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("series").orderBy(order))
-    return df.withColumns({"rel_err": err, "gap": gap}).orderBy(F.col("rel_err").desc_nulls_last(), "series", order).limit(k)
+    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("series").orderBy(order, "pos"))
+    return df.withColumns({"rel_err": err, "gap": gap}).orderBy(F.col("rel_err").desc_nulls_last(), "series", order, "pos").limit(k)
 
 
 def compare_runs(a: DataFrame, b: DataFrame, key: str = "gene", top: int = 20) -> DataFrame:

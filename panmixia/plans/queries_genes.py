@@ -342,7 +342,7 @@ def accuracy_metrics(spark, sf_dir):
     return testing.accuracy(rows, "e", "t", "series").select("series", F.round("r", 7).alias("r"), F.round("rmse", 8).alias("rmse"))
 
 
-@query("WITH m AS (SELECT l_orderkey AS series, l_linenumber AS site_idx, l_partkey::DOUBLE AS pos, l_extendedprice AS a, l_extendedprice * (1 + l_tax * l_discount) AS b FROM lineitem) SELECT series, site_idx, round(abs(a - b) / abs(b), 9) AS rel_err, pos - lag(pos) OVER (PARTITION BY series ORDER BY site_idx) AS gap FROM m ORDER BY round(abs(a - b) / abs(b), 9) DESC, series, site_idx LIMIT 25")
+@query("WITH m AS (SELECT l_orderkey AS series, l_linenumber AS site_idx, l_partkey::DOUBLE AS pos, l_extendedprice AS a, l_extendedprice * (1 + l_tax * l_discount) AS b FROM lineitem) SELECT series, site_idx, round(abs(a - b) / abs(b), 9) AS rel_err, pos - lag(pos) OVER (PARTITION BY series ORDER BY site_idx, pos) AS gap FROM m ORDER BY round(abs(a - b) / abs(b), 9) DESC, series, site_idx, pos LIMIT 25")
 def top_k_discrepant_sites(spark, sf_dir):
     li = b.read(spark, sf_dir, "lineitem")
     rows = li.select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").alias("site_idx"), F.col("l_partkey").cast("double").alias("pos"), F.col("l_extendedprice").alias("a"), (F.col("l_extendedprice") * (1 + F.col("l_tax") * F.col("l_discount"))).alias("b"))
