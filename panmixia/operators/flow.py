@@ -378,7 +378,8 @@ def generate_flow_field(spark: SparkSession, ne_values=None, epoch_boundaries=No
             uv = [flow_at(means[k // C_N], cvs[k % C_N], n_steps, demography) for k in ids.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[0] for x in uv]), pa.array([x[1] for x in uv])], names=["id", "u", "v"])
 
-    rows = spark.range(0, M_N * C_N, 1, partitions).mapInArrow(fit, "id long, u double, v double").orderBy("id").collect()
+    rows = spark.range(0, M_N * C_N, 1, partitions).mapInArrow(fit, "id long, u double, v double").collect()
+    rows.sort(key=lambda r: r["id"])
     u, v = (np.array([r[k] for r in rows]).reshape(M_N, C_N) for k in ("u", "v"))
     return FlowField(u, v)
 

@@ -17,21 +17,32 @@ def _cost(n: np.ndarray, length: np.ndarray, mu: float) -> np.ndarray:
     return np.where(length > 0, c, 1e30)
 
 
-def changepoints(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) -> list[int]:
-    """Segment borders from 0 to the last site. Ties go to the earliest start; a start is pruned once its cost without the penalty exceeds the best."""
-    sites = len(prefix)
-    best, origin = np.zeros(sites), np.zeros(sites, int)
-    alive = np.array([0])
+def changepoints(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) -> list[list[int]]:
+    """Segment borders, from 0 to the last site, for each row of prefix counts.
+
+    All pairs go through the sites together. Ties go to the earliest start; a start is pruned for a pair
+    once its cost without the penalty exceeds the best, and leaves the table when no pair needs it.
+    """
+    pairs, sites = prefix.shape
+    best, origin = np.zeros((pairs, sites)), np.zeros((pairs, sites), int)
+    starts, alive = np.array([0]), np.ones((pairs, 1), bool)
     for s in range(1, sites):
-        costs = best[alive] + _cost(prefix[s] - prefix[alive], pos[s] - pos[alive], mu)
-        k = int(np.argmin(costs))
-        best[s], origin[s] = costs[k] + penalty, alive[k]
-        alive = np.append(alive[costs <= best[s]], s)
-    path, s = [sites - 1], sites - 1
-    while s > 0:
-        s = int(origin[s])
-        path.append(s)
-    return path[::-1] if sites > 1 else [0]
+        costs = best[:, starts] + _cost(prefix[:, [s]] - prefix[:, starts], pos[s] - pos[starts][None, :], mu)
+        open_ = np.where(alive, costs, np.inf)
+        k = open_.argmin(axis=1)
+        best[:, s], origin[:, s] = open_[np.arange(pairs), k] + penalty, starts[k]
+        alive = np.column_stack([alive & (costs <= best[:, [s]]), np.ones(pairs, bool)])
+        starts = np.append(starts, s)
+        used = alive.any(axis=0)
+        starts, alive = starts[used], alive[:, used]
+    paths = []
+    for row in origin:
+        path, s = [sites - 1], sites - 1
+        while s > 0:
+            s = int(row[s])
+            path.append(s)
+        paths.append(path[::-1] if sites > 1 else [0])
+    return paths
 
 
 def pelt_changepoint(pairs_xor: DataFrame, positions: list[float], mu: float, penalty: float | None = None) -> DataFrame:
@@ -44,7 +55,7 @@ def pelt_changepoint(pairs_xor: DataFrame, positions: list[float], mu: float, pe
 
     def kernel(x, pos):
         prefix = np.cumsum(x, axis=1, dtype=np.int64)
-        paths = [changepoints(p, pos, mu, level) for p in prefix]
+        paths = changepoints(prefix, pos, mu, level)
         return {"borders": paths, "counts": [np.diff(p[path]).tolist() for p, path in zip(prefix, paths, strict=True)]}
 
     rows = fold.per_pair(pairs_xor, positions, kernel, ("borders:array<int>", "counts:array<long>"))

@@ -22,7 +22,7 @@ def query(sql: str | None = None):
     return add
 
 
-from panmixia.plans import queries_decode, queries_genes, queries_panel, queries_selection  # noqa: E402  these fill the registry
+from panmixia.plans import queries_decode, queries_genes, queries_panel, queries_selection, queries_sources  # noqa: E402  these fill the registry
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
