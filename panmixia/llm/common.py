@@ -7,8 +7,11 @@ import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +45,18 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def trimmed(f):
-    """A map over batches whose worker gives memory back when its task ends, since workers are used again."""
+    """A map over batches whose worker gives memory back when its task ends, since workers are used again.
+
+    Cyclic collection is off meanwhile: the maps make no cycles, and it would walk their large tables again and again.
+    """
 
     @functools.wraps(f)
     def run(batches):
+        gc.disable()
         try:
             yield from f(batches)
         finally:
+            gc.enable()
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -77,6 +85,17 @@ def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, size: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text, one row at least: long texts make short parts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        stop = max(done, at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def words_of(text: str | bytes) -> list[bytes]:
     """bytes.split() breaks at exactly the six ASCII spaces."""
     return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).split()

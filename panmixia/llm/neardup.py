@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, salted, stored, trimmed
+from panmixia.llm.common import cut, salted, slices, stored, trimmed
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, LONGEST, RECALL = 24, 8, 0.995
@@ -81,8 +81,7 @@ def signatures(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
     @trimmed
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for part in slices(batch, 3_000_000):
                 sets = shingles(part.column("text"))
                 keys = [hashlib.md5(s.tobytes()).digest() for s in sets]
                 labels = np.zeros((len(sets), trees), np.int64)
@@ -261,8 +260,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, reca
     @trimmed
     def shipped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, 3_000_000):
                 sets = shingles(part.column("text"))
                 # a repeated id may come with another text
                 own = np.array([hashlib.md5(s.tobytes()).digest() == k for s, k in zip(sets, part.column("set_key").to_pylist(), strict=True)], bool)

@@ -13,12 +13,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from panmixia.llm.common import trimmed
+from panmixia.llm.common import slices, trimmed
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-#: Tokens held by a task before it packs them, words whose ids a worker remembers, and rows that are encoded at once.
-BUFFER_TOKENS, CACHED_WORDS, ENCODED_ROWS = 2_000_000, 200_000, 1024
+#: Tokens held by a task before it packs them, words whose ids it remembers, and bytes of text that are encoded at once.
+BUFFER_TOKENS, CACHED_WORDS, ENCODED_BYTES = 2_000_000, 200_000, 3_000_000
 STEP_TOKENS = 8 * TIERS[-1]
 
 
@@ -227,8 +227,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = Fa
 
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, ENCODED_ROWS):
-                some = batch.slice(i, ENCODED_ROWS)
+            for some in slices(batch, ENCODED_BYTES):
                 for doc_id, raw in zip(some.column("doc_id").to_pylist(), tokenizer.encode(some.column("text")).to_pylist(), strict=True):
                     ids[count] = (doc_id, raw + end)
                     packer.add(count, len(raw) // 4 + 1)

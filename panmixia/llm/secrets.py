@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panmixia.llm.common import strings, trimmed
+from panmixia.llm.common import slices, strings, trimmed
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -147,7 +147,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     @trimmed
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4_000_000)):
             texts = [None if t is None else redacted(t) for t in batch.column("text").to_pylist()]
             columns = {k: batch.column(k) for k in names}
             columns["text"] = pa.array(texts, batch.schema.field("text").type)

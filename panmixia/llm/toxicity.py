@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, fold_of, strings, trimmed
+from panmixia.llm.common import cut, fold_of, slices, strings, trimmed
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 LOOKALIKES = dict(zip("аеорсухікмтвнѕјԁһԛԝαεορτυικνηβχ", "aeopcyxikmtbhsjdhqwaeoptuiknnbx", strict=True))
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
 
     @trimmed
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4_000_000)):
             s = [model.score(t) for t in strings(batch)]
             columns = [batch.column(k) for k in kept] + [pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
