@@ -89,7 +89,7 @@ class CoalescenceEstimator:
         return p.explicit_pairs(self.pairs(n) if pairs is None else pairs, self.packed)
 
     def pairwise_divergence(self, pairs: DataFrame | None = None, window_sizes: tuple[int, ...] = (100,)) -> DataFrame:
-        return diversity.pairwise_divergence(self._xor(pairs), list(window_sizes))
+        return diversity.pairwise_divergence(self._xor(pairs), list(window_sizes), len(self.positions))
 
     def tmrca_landscape(self, n_pairs: int = 100, window_bp: float = 10_000.0) -> DataFrame:
         return diversity.tmrca_landscape(self._xor(None, n_pairs), self.positions, self.mu, window_bp)

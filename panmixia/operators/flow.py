@@ -56,6 +56,7 @@ def _entropy_limit() -> np.ndarray:
 
 
 _LIMIT: list[np.ndarray] = []
+_LN10 = math.log(10)
 
 
 def clipped(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ def clipped(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gamma_parameters(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return 10.0 ** (-2 * c), 10.0 ** (-2 * c - m)
+    return np.exp(-2 * _LN10 * c), np.exp(-_LN10 * (2 * c + m))
 
 
 def _emit(m: np.ndarray, c: np.ndarray, mu: float, het) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +102,9 @@ class FlowCache:
     scaled_rho: float
     scaled_mu: float
     steps: int = CACHE_STEPS
-    stretch: dict[int, tuple] = field(default_factory=dict)
-    forward: dict[tuple[int, int], tuple] = field(default_factory=dict)
-    backward: dict[tuple[int, int], tuple] = field(default_factory=dict)
+    stretch: dict[int, np.ndarray] = field(default_factory=dict)
+    forward: dict[int, np.ndarray] = field(default_factory=dict)
+    backward: dict[int, np.ndarray] = field(default_factory=dict)
 
     def prepare(self, lengths: set[int]) -> FlowCache:
         rest = {self._rest(n) for n in lengths} | ({self.steps} if any(n > self.steps for n in lengths) else set())
@@ -115,28 +116,32 @@ class FlowCache:
                 m, c = _emit(m, c, self.scaled_mu, 0)
             m, c = self.field.recombine(m, c, self.scaled_rho)
             if n in missing:
-                self.stretch[n] = (m, c)
-                for het in (0, 1):
-                    self.forward[n, het] = clipped(*_emit(m, c, self.scaled_mu, het))
-                    at = clipped(*_emit(m0, c0, self.scaled_mu, het))
-                    self.backward[n, het] = tuple(bilinear(t, *at) for t in (m, c))
+                self.stretch[n] = np.stack([m, c], axis=-1)
+                before = [clipped(*_emit(m0, c0, self.scaled_mu, het)) for het in (0, 1)]
+                self.forward[n] = np.stack([np.stack(clipped(*_emit(m, c, self.scaled_mu, het)), axis=-1) for het in (0, 1)])
+                self.backward[n] = np.stack([np.stack([bilinear(t, *at) for t in (m, c)], axis=-1) for at in before])
         return self
 
     def _rest(self, n: int) -> int:
         return (n - 1) % self.steps + 1
 
     @staticmethod
-    def _look(tables: tuple, m, c):
-        return bilinear(tables[0], m, c), bilinear(tables[1], m, c)
+    def _look(table: np.ndarray, m: np.ndarray, c: np.ndarray, part: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Both values of a stacked table (part, row, column, value) at once, each pair in its own part."""
+        flat = table.reshape(-1, 2)
+        fm = np.clip((m - M_LO) * ((M_N - 1) / (M_HI - M_LO)), 0, M_N - 1)
+        fc = np.clip((c - C_LO) * ((C_N - 1) / (C_HI - C_LO)), 0, C_N - 1)
+        i, j = np.minimum(fm.astype(np.int64), M_N - 2), np.minimum(fc.astype(np.int64), C_N - 2)
+        wm, wc = (fm - i)[:, None], (fc - j)[:, None]
+        at = i * C_N + j + part * (M_N * C_N)
+        near, far = flat.take(at, axis=0), flat.take(at + C_N, axis=0)
+        near += (flat.take(at + 1, axis=0) - near) * wc
+        far += (flat.take(at + C_N + 1, axis=0) - far) * wc
+        near += (far - near) * wm
+        return near[:, 0], near[:, 1]
 
     def _site(self, tables: dict, n: int, het: np.ndarray, m, c):
-        """Both outcomes' tables, each for its own pairs."""
-        out_m, out_c = np.empty_like(m), np.empty_like(c)
-        for k in (0, 1):
-            own = het == k
-            if own.any():
-                out_m[own], out_c[own] = self._look(tables[n, k], m[own], c[own])
-        return out_m, out_c
+        return self._look(tables[n], m, c, het.astype(np.int64))
 
     def advance(self, m, c, n: int, het):
         for _ in range((n - 1) // self.steps):

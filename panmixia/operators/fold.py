@@ -44,6 +44,8 @@ def per_site(pairs_xor: DataFrame, positions: list[float], kernel: Kernel, colum
     pos = np.asarray(positions, float)
     out_sites = np.arange(len(pos), dtype=np.int32) if sites is None else np.asarray(sites, np.int32)
     names = ["i", "j", *keep]
+    kinds = dict(c.split(":") if ":" in c else (c, "double") for c in columns)
+    arrow = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32()}
 
     def run(batches):
         for part, x in _parts(batches, len(pos)):
@@ -51,10 +53,10 @@ def per_site(pairs_xor: DataFrame, positions: list[float], kernel: Kernel, colum
             pick = pa.array(np.repeat(np.arange(len(x)), len(out_sites)))
             arrays = [part.column(c).take(pick) for c in names]
             arrays += [pa.array(np.tile(out_sites, len(x))), pa.array(np.tile(pos[out_sites], len(x)))]
-            arrays += [pa.array(np.ascontiguousarray(got[c][:, out_sites]).ravel(), pa.float64()) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "site_idx", "pos", *columns])
+            arrays += [pa.array(np.ascontiguousarray(got[c] if sites is None else got[c][:, out_sites]).ravel(), arrow[k]) for c, k in kinds.items()]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "site_idx", "pos", *kinds])
 
-    schema = f"i long, j long, {_schema(pairs_xor, keep)}site_idx int, pos double, " + ", ".join(f"`{c}` double" for c in columns)
+    schema = f"i long, j long, {_schema(pairs_xor, keep)}site_idx int, pos double, " + ", ".join(f"`{c}` {k}" for c, k in kinds.items())
     return pairs_xor.select(*names, "xor").mapInArrow(run, schema)
 
 

@@ -147,9 +147,13 @@ def prefix_counts(xor: Column, n_sites: Column) -> Column:
 
 
 def prefix_scan(pairs_xor: DataFrame) -> DataFrame:
-    """i, j, site_idx, n_diff: running counts as rows."""
-    rows = pairs_xor.select("i", "j", F.posexplode(prefix_counts(F.col("xor"), F.col("n_sites"))).alias("site_idx", "n_diff"))
-    return rows
+    """i, j, site_idx, n_diff: inclusive running counts as rows (``prefix_counts`` has them as an array in the JVM)."""
+    import numpy as np
+
+    from panmixia.operators import fold
+
+    n = pairs_xor.select(F.max("n_sites")).first()[0] or 0
+    return fold.per_site(pairs_xor, list(range(n)), lambda x, pos: {"n_diff": np.cumsum(x, axis=1, dtype=np.int64)}, ("n_diff:long",)).drop("pos")
 
 
 def sample_pairs(pair_rows: DataFrame, n: int, *by: str, seed: int = 42) -> DataFrame:

@@ -135,14 +135,14 @@ def site_pi_sampled(spark, sf_dir):
 
 @query(b.PAIRS_SQL + " SELECT i, j, site_idx, (sum(d) OVER (PARTITION BY i, j ORDER BY site_idx ROWS BETWEEN 4 PRECEDING AND 5 FOLLOWING))::BIGINT AS n_diff FROM diffs")
 def windowed_divergence(spark, sf_dir):
-    return diversity.windowed_divergence(within_pop(spark, sf_dir), 5)
+    return diversity.windowed_divergence(within_pop(spark, sf_dir), 5, b.N_SITES)
 
 
 @query(b.PHASES_SQL + """ SELECT i, j, w::INT AS "window", site_idx, round(n / w, 9) AS divergence FROM (
   SELECT i, j, 4 AS w, site_idx, sum(d) OVER (PARTITION BY i, j ORDER BY site_idx ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING) AS n FROM diffs UNION ALL
   SELECT i, j, 10 AS w, site_idx, sum(d) OVER (PARTITION BY i, j ORDER BY site_idx ROWS BETWEEN 9 PRECEDING AND 10 FOLLOWING) AS n FROM diffs)""")
 def pairwise_divergence(spark, sf_dir):
-    rows = diversity.pairwise_divergence(panel.phase_pairs(packed(spark, sf_dir)), [4, 10])
+    rows = diversity.pairwise_divergence(panel.phase_pairs(packed(spark, sf_dir)), [4, 10], b.N_SITES)
     return rows.withColumn("divergence", F.round("divergence", 9))
 
 

@@ -26,4 +26,5 @@ from panmixia.plans import queries_decode, queries_genes, queries_panel, queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["site_pi_exact"](spark, sf_dir)
+    """Panel to landscape: segregating sites, pairs within populations, the Gamma filter, and per-site mean, minimum and maximum."""
+    return QUERIES["within_population_landscape"](spark, sf_dir)
