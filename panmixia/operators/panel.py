@@ -90,10 +90,14 @@ def pair_words(packed: DataFrame, *within: str, blocks: int = 8) -> DataFrame:
     """i, j, xor: packed differences of all pairs within groups, by one join of packed rows.
 
     Groups are few and large, so one side is copied to ``blocks`` parts and the other dealt to them:
-    the pairs of a group are then made by ``blocks`` tasks instead of one.
+    the pairs of a group are then made by ``blocks`` tasks instead of one. Haplotypes, not their pairs,
+    are dealt out to all cores beforehand, whichever side a small join then broadcasts: what follows a
+    pair costs much more than its words.
     """
+    cores = packed.sparkSession.sparkContext.defaultParallelism
     part = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a, b = packed.withColumn("__part", part).alias("a"), packed.withColumn("__part", (F.col("hap_id") % blocks).cast("int")).alias("b")
+    a = packed.withColumn("__part", part).repartition(2 * cores, "hap_id", "__part").alias("a")
+    b = packed.withColumn("__part", (F.col("hap_id") % blocks).cast("int")).repartition(2 * cores, "hap_id").alias("b")
     on = (F.col("a.__part") == F.col("b.__part")) & (F.col("a.hap_id") > F.col("b.hap_id"))
     for c in within:
         on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
@@ -110,7 +114,9 @@ def explicit_pairs(pair_list: DataFrame, packed: DataFrame) -> DataFrame:
 def phase_pairs(packed: DataFrame) -> DataFrame:
     """The two haplotypes of each individual as a pair, by an equi-join."""
     individual = F.floor(F.col("hap_id") / 2)
-    first, second = packed.where("hap_id % 2 = 0").withColumn("ind", individual).alias("a"), packed.where("hap_id % 2 = 1").withColumn("ind", individual).alias("b")
+    cores = packed.sparkSession.sparkContext.defaultParallelism
+    first = packed.where("hap_id % 2 = 0").withColumn("ind", individual).repartition(cores, "ind").alias("a")
+    second = packed.where("hap_id % 2 = 1").withColumn("ind", individual).repartition(cores, "ind").alias("b")
     return first.join(second, "ind").select(F.col("b.hap_id").alias("i"), F.col("a.hap_id").alias("j"), F.zip_with("a.words", "b.words", lambda x, y: x.bitwiseXOR(y)).alias("xor"), F.col("a.n_sites").alias("n_sites"))
 
 

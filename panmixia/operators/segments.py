@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from panmixia.operators import fold
 
+CHUNK = 512
+
 
 def _cost(n: np.ndarray, length: np.ndarray, mu: float) -> np.ndarray:
     safe = np.maximum(length, 1e-300)
@@ -55,7 +57,8 @@ def pelt_changepoint(pairs_xor: DataFrame, positions: list[float], mu: float, pe
 
     def kernel(x, pos):
         prefix = np.cumsum(x, axis=1, dtype=np.int64)
-        paths = changepoints(prefix, pos, mu, level)
+        # a few pairs at once, so that the tables of starts stay in cache
+        paths = [path for at in range(0, len(prefix), CHUNK) for path in changepoints(prefix[at : at + CHUNK], pos, mu, level)]
         return {"borders": paths, "counts": [np.diff(p[path]).tolist() for p, path in zip(prefix, paths, strict=True)]}
 
     rows = fold.per_pair(pairs_xor, positions, kernel, ("borders:array<int>", "counts:array<long>"))
