@@ -280,7 +280,9 @@ def threshold_counts(spark, sf_dir):
     return testing.threshold_counts(ranks(spark, sf_dir), [0.01, 0.05, 0.1], 10).withColumn("expected", F.round("expected", 8))
 
 
-_SPEAR = _RANKS + """, s AS (SELECT a.pop // 2 AS superpop, a.pop AS pop_a, b.pop AS pop_b, round(corr(a.rank, b.rank), 8) AS rho FROM ranks a JOIN ranks b ON a.gene = b.gene AND a.pop // 2 = b.pop // 2 AND a.pop < b.pop GROUP BY 1, 2, 3)"""
+_SPEAR = _RANKS + """, whole AS (SELECT gene, pop, pop // 2 AS superpop, stat FROM ranks QUALIFY count(*) OVER (PARTITION BY gene, pop // 2) = 2),
+r2 AS (SELECT *, rank() OVER (PARTITION BY pop ORDER BY stat) + (count(*) OVER (PARTITION BY pop, stat) - 1) / 2.0 AS r FROM whole),
+s AS (SELECT a.superpop, a.pop AS pop_a, b.pop AS pop_b, round(corr(a.r, b.r), 8) AS rho FROM r2 a JOIN r2 b ON a.gene = b.gene AND a.superpop = b.superpop AND a.pop < b.pop GROUP BY 1, 2, 3)"""
 
 
 @query(_SPEAR + " SELECT superpop, pop_a, pop_b, rho FROM s")
@@ -296,7 +298,7 @@ def effective_numbers(spark, sf_dir):
     return spark.createDataFrame([(int(s), round(simple, 6), round(galwey, 6)) for s, _, _, galwey, simple in found], "superpop long, simple_neff double, galwey_neff double")
 
 
-@query(_RANKS + " SELECT gene, pop // 2 AS superpop, count(rank) AS n, count(*) FILTER (rank < 0.01) AS b1, count(*) FILTER (rank < 0.05) AS b5, count(*) FILTER (rank < 0.1) AS b10, round(CASE count(*) FILTER (rank < 0.05) WHEN 0 THEN 1 WHEN 1 THEN 0.0975 ELSE 0.0025 END, 9)::DOUBLE AS p5, round(count(rank) * 0.1::DOUBLE, 9) AS expected10 FROM ranks GROUP BY 1, 2")
+@query(_RANKS + " SELECT gene, pop // 2 AS superpop, count(rank) AS n, count(*) FILTER (rank < 0.01) AS b1, count(*) FILTER (rank < 0.05) AS b5, count(*) FILTER (rank < 0.1) AS b10, round(CASE count(*) FILTER (rank < 0.05) WHEN 0 THEN 1 WHEN 1 THEN 1 - pow(0.95, count(rank)) ELSE 0.0025 END, 9)::DOUBLE AS p5, round(count(rank) * 0.1::DOUBLE, 9) AS expected10 FROM ranks GROUP BY 1, 2")
 def candidate_replication(spark, sf_dir):
     rows = ranks(spark, sf_dir).withColumn("superpop", F.floor(F.col("pop") / 2))
     return testing.candidate_replication(rows).select("gene", "superpop", "n", "b1", "b5", "b10", F.round("p5", 9).alias("p5"), F.round("expected10", 9).alias("expected10"))
