@@ -164,7 +164,7 @@ def segment_lengths(pos: np.ndarray, block_start: bool = False) -> np.ndarray:
 class Decoder:
     """Forward-backward passes of a batch of pairs over the sites of a block."""
 
-    def __init__(self, cache: FlowCache, ne: float, positions: np.ndarray, start: int = 0, stop: int | None = None):
+    def __init__(self, cache: FlowCache | StepCache, ne: float, positions: np.ndarray, start: int = 0, stop: int | None = None):
         stop = len(positions) if stop is None else stop
         self.cache, self.ne = cache, ne
         self.lengths = segment_lengths(np.asarray(positions[start:stop], float), start > 0)
@@ -201,6 +201,41 @@ class Decoder:
         return {"mean_log10": m.T, "cv_log10": c.T, "mean": (10.0**m).T * 2 * self.ne}
 
 
+@dataclass
+class StepCache:
+    """The same segments without tables: a unit's recombination, then the rest in few steps, each of a scaled rate of ``most`` at most.
+
+    States are only held to the grid. It needs no memory for tables and serves as a cross-check of them.
+    """
+
+    field: FlowField
+    scaled_rho: float
+    scaled_mu: float
+    most: float = 0.1
+
+    def prepare(self, lengths: set[int]) -> StepCache:
+        return self
+
+    def _move(self, m, c, rho: float):
+        u, v = bilinear(self.field.u, m, c), bilinear(self.field.v, m, c)
+        return np.clip(m + u * rho, M_LO, M_HI), np.clip(c + v * rho, C_LO, C_HI)
+
+    def _stretch(self, m, c, n: int):
+        m, c = self._move(m, c, self.scaled_rho)
+        units = n - 1
+        steps = max(1, math.ceil(units * self.scaled_rho / self.most)) if units else 0
+        for _ in range(steps):
+            m, c = _emit(m, c, units * self.scaled_mu / steps, 0)
+            m, c = self._move(m, c, units * self.scaled_rho / steps)
+        return m, c
+
+    def advance(self, m, c, n: int, het):
+        return _emit(*self._stretch(m, c, n), self.scaled_mu, het)
+
+    def retreat(self, m, c, n: int, het):
+        return self._stretch(*_emit(m, c, self.scaled_mu, het), n)
+
+
 class FlowContext:
     """Decoding of pairs of a panel under one field; parameters per bp and generation."""
 
@@ -215,6 +250,11 @@ class FlowContext:
         columns = ("mean",) + (() if mean_only else ("lower", "upper")) + (("alpha", "beta") if return_posterior else ())
         return fold.per_site(pairs_xor, self.positions, self._decoder().kernel, columns, keep)
 
+    def run_fb_iterative(self, pairs_xor: DataFrame) -> DataFrame:
+        """Both passes by steps instead of tables."""
+        steps = StepCache(self.cache.field, self.cache.scaled_rho, self.cache.scaled_mu)
+        return fold.per_site(pairs_xor, self.positions, Decoder(steps, self.ne, np.array(self.positions)).kernel, ("mean", "lower", "upper"))
+
     def run_fwd(self, pairs_xor: DataFrame) -> DataFrame:
         """The forward pass alone: the very states that run_fb joins."""
         return fold.per_site(pairs_xor, self.positions, self._decoder().state_kernel, ("mean",))

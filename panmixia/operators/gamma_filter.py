@@ -85,19 +85,19 @@ def _strided(n: int, stride: int) -> list[int]:
     return list(range(0, n, stride))
 
 
-def gamma_smc_forward(pairs_xor: DataFrame, positions: list[float], ne: float, mu: float, rho: float, stride: int = 1, mean_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def gamma_filter_forward(pairs_xor: DataFrame, positions: list[float], ne: float, mu: float, rho: float, stride: int = 1, mean_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Filtered mean (and limits) at every ``stride``-th site; the state passes through all of them."""
     columns = ("mean",) if mean_only else ("mean", "lower", "upper")
     return fold.per_site(pairs_xor, positions, Filter(mu, rho, ne).forward_kernel, columns, keep, _strided(len(positions), stride))
 
 
-def gamma_smc_forward_backward(pairs_xor: DataFrame, positions: list[float], ne: float, mu: float, rho: float, keep: tuple[str, ...] = ()) -> DataFrame:
+def gamma_filter_forward_backward(pairs_xor: DataFrame, positions: list[float], ne: float, mu: float, rho: float, keep: tuple[str, ...] = ()) -> DataFrame:
     return fold.per_site(pairs_xor, positions, Filter(mu, rho, ne).smoothed_kernel, ("mean", "lower", "upper", "alpha", "beta"), keep)
 
 
-def gamma_smc_forward_quantized(pairs_xor: DataFrame, positions: list[float], ne: float, mu: float, rho: float, stride: int = 1, bits: int = 8) -> DataFrame:
+def gamma_filter_forward_quantized(pairs_xor: DataFrame, positions: list[float], ne: float, mu: float, rho: float, stride: int = 1, bits: int = 8) -> DataFrame:
     """i, j, site_idx, bucket of the log mean; 4-bit buckets leave two to a byte, earlier sites low."""
-    rows = gamma_smc_forward(pairs_xor, positions, ne, mu, rho, stride, mean_only=True).withColumn("q", log_quantise(F.col("mean"), ne, bits))
+    rows = gamma_filter_forward(pairs_xor, positions, ne, mu, rho, stride, mean_only=True).withColumn("q", log_quantise(F.col("mean"), ne, bits))
     if bits == 8:
         return rows.select("i", "j", "site_idx", "q")
     slot = F.floor(F.col("site_idx") / stride)
@@ -105,5 +105,5 @@ def gamma_smc_forward_quantized(pairs_xor: DataFrame, positions: list[float], ne
     return byte.groupBy("i", "j", "byte_idx").agg(F.sum("q").cast("int").alias("q"))
 
 
-def gamma_smc_site_summary(pairs_xor: DataFrame, positions: list[float], ne: float, mu: float, rho: float, stride: int = 1) -> DataFrame:
+def gamma_filter_site_summary(pairs_xor: DataFrame, positions: list[float], ne: float, mu: float, rho: float, stride: int = 1) -> DataFrame:
     return fold.site_summary(pairs_xor, positions, Filter(mu, rho, ne).forward_kernel, "mean", _strided(len(positions), stride))

@@ -42,36 +42,36 @@ def coalescent_prior(spark, sf_dir):
 
 
 @query(_FWD + f" SELECT i, j, s AS site_idx, round(m, 2) AS mean, {_CI} FROM (SELECT *, a / b AS m FROM f)")
-def gamma_smc_forward(spark, sf_dir):
-    r = gamma_filter.gamma_smc_forward(phases(spark, sf_dir), b.positions(), NE, MU, RHO)
+def gamma_filter_forward(spark, sf_dir):
+    r = gamma_filter.gamma_filter_forward(phases(spark, sf_dir), b.positions(), NE, MU, RHO)
     return _rounded(r.drop("pos"), "mean", "lower", "upper")
 
 
 @query(_FWD + " SELECT i, j, s AS site_idx, round(a / b, 2) AS mean FROM f WHERE s % 5 = 0")
-def gamma_smc_forward_stride(spark, sf_dir):
-    r = gamma_filter.gamma_smc_forward(phases(spark, sf_dir), b.positions(), NE, MU, RHO, stride=5, mean_only=True)
+def gamma_filter_forward_stride(spark, sf_dir):
+    r = gamma_filter.gamma_filter_forward(phases(spark, sf_dir), b.positions(), NE, MU, RHO, stride=5, mean_only=True)
     return _rounded(r.drop("pos"), "mean")
 
 
 @query(_FWD + " SELECT i, j, s AS site_idx, least(greatest(floor(ln(greatest(a / b, 1.0)) / ln(200000.0) * 255 + 0.5), 0), 255)::INT AS q FROM f")
-def gamma_smc_forward_quantized(spark, sf_dir):
-    return gamma_filter.gamma_smc_forward_quantized(phases(spark, sf_dir), b.positions(), NE, MU, RHO)
+def gamma_filter_forward_quantized(spark, sf_dir):
+    return gamma_filter.gamma_filter_forward_quantized(phases(spark, sf_dir), b.positions(), NE, MU, RHO)
 
 
 @query(_FWD + ", n AS (SELECT i, j, s, least(greatest(floor(ln(greatest(a / b, 1.0)) / ln(200000.0) * 15 + 0.5), 0), 15)::INT AS q FROM f) SELECT i, j, (s // 2)::INT AS byte_idx, sum(CASE WHEN s % 2 = 0 THEN q ELSE 16 * q END)::INT AS q FROM n GROUP BY 1, 2, 3")
-def gamma_smc_forward_quantized4(spark, sf_dir):
-    return gamma_filter.gamma_smc_forward_quantized(phases(spark, sf_dir), b.positions(), NE, MU, RHO, bits=4)
+def gamma_filter_forward_quantized4(spark, sf_dir):
+    return gamma_filter.gamma_filter_forward_quantized(phases(spark, sf_dir), b.positions(), NE, MU, RHO, bits=4)
 
 
 @query(_FWD + " SELECT s AS site_idx, round(avg(a / b), 2) AS site_mean, round(min(a / b), 2) AS site_min, round(max(a / b), 2) AS site_max, count(*) AS n_pairs FROM f GROUP BY 1")
-def gamma_smc_site_summary(spark, sf_dir):
-    return _rounded(gamma_filter.gamma_smc_site_summary(phases(spark, sf_dir), b.positions(), NE, MU, RHO), "site_mean", "site_min", "site_max")
+def gamma_filter_site_summary(spark, sf_dir):
+    return _rounded(gamma_filter.gamma_filter_site_summary(phases(spark, sf_dir), b.positions(), NE, MU, RHO), "site_mean", "site_min", "site_max")
 
 
 @query(_FWD + _BWD + f""", c AS (SELECT f.i, f.j, f.s, greatest(f.a + r.a - 1, 1) AS a, greatest(f.b + r.b - 1 / 20000.0::DOUBLE, 1e-30) AS b FROM f JOIN r ON f.i = r.i AND f.j = r.j AND f.s = r.s)
   SELECT i, j, s AS site_idx, round(m, 2) AS mean, {_CI} FROM (SELECT *, a / b AS m FROM c)""")
-def gamma_smc_forward_backward(spark, sf_dir):
-    r = gamma_filter.gamma_smc_forward_backward(phases(spark, sf_dir), b.positions(), NE, MU, RHO)
+def gamma_filter_forward_backward(spark, sf_dir):
+    r = gamma_filter.gamma_filter_forward_backward(phases(spark, sf_dir), b.positions(), NE, MU, RHO)
     return _rounded(r.drop("pos", "alpha", "beta"), "mean", "lower", "upper")
 
 
@@ -81,7 +81,7 @@ _GAMMA_POP = (b.PAIRS_SQL.replace("WITH panel", "WITH RECURSIVE panel", 1) + _FW
 @query(_GAMMA_POP + " SELECT s AS site_idx, round(avg(a / b), 2) AS site_mean, round(min(a / b), 2) AS site_min, round(max(a / b), 2) AS site_max, count(*) AS n_pairs FROM f GROUP BY 1")
 def within_population_landscape(spark, sf_dir):
     """The filter over all pairs within populations, reduced to sites inside the fold."""
-    return _rounded(gamma_filter.gamma_smc_site_summary(within_pop(spark, sf_dir), b.positions(), NE, MU, RHO), "site_mean", "site_min", "site_max")
+    return _rounded(gamma_filter.gamma_filter_site_summary(within_pop(spark, sf_dir), b.positions(), NE, MU, RHO), "site_mean", "site_min", "site_max")
 
 
 _HMM = b.PHASES_SQL.replace("WITH panel", "WITH RECURSIVE panel", 1) + """, dd AS MATERIALIZED (SELECT i, j, site_idx AS s, d FROM diffs),
@@ -165,6 +165,11 @@ def flow_cached_fb(spark, sf_dir):
     return _rounded(_context(spark).run_fb(phases(spark, sf_dir), mean_only=False, return_posterior=True), "mean", "lower", "upper", "alpha", "beta", digits=4)
 
 
+@query()
+def flow_iterative_fb(spark, sf_dir):
+    return _rounded(_context(spark).run_fb_iterative(phases(spark, sf_dir)), "mean", "lower", "upper", digits=4)
+
+
 @query()
 def flow_cached_fwd(spark, sf_dir):
     return _rounded(_context(spark).run_fwd(phases(spark, sf_dir)), "mean", digits=4)

@@ -53,15 +53,15 @@ def plain_filter(d, pos):
 
 def test_moment_matched_filter(haps):
     g, _, pairs = haps
-    got = by_pair(gamma_filter.gamma_smc_forward(pairs, POS, NE, MU, RHO), "mean")
+    got = by_pair(gamma_filter.gamma_filter_forward(pairs, POS, NE, MU, RHO), "mean")
     assert len(got) == 15
     for (i, j), means in got.items():
         assert np.allclose(means, [a / b for a, b in plain_filter(g[i] ^ g[j], POS)], rtol=1e-9)
-    strided = by_pair(gamma_filter.gamma_smc_forward(pairs, POS, NE, MU, RHO, stride=7), "mean")
+    strided = by_pair(gamma_filter.gamma_filter_forward(pairs, POS, NE, MU, RHO, stride=7), "mean")
     assert all(np.allclose(v, got[k][::7]) for k, v in strided.items())
-    wide = gamma_filter.gamma_smc_forward(pairs, POS, NE, MU, RHO)
+    wide = gamma_filter.gamma_filter_forward(pairs, POS, NE, MU, RHO)
     assert wide.where("lower > mean or mean > upper").count() == 0
-    s = {r["site_idx"]: r for r in gamma_filter.gamma_smc_site_summary(pairs, POS, NE, MU, RHO).collect()}
+    s = {r["site_idx"]: r for r in gamma_filter.gamma_filter_site_summary(pairs, POS, NE, MU, RHO).collect()}
     assert s[4]["n_pairs"] == 15 and math.isclose(s[4]["site_mean"], np.mean([v[4] for v in got.values()])) and math.isclose(s[4]["site_max"], max(v[4] for v in got.values()))
 
 
@@ -239,6 +239,17 @@ def test_flow_passes_against_unit_steps(field, monkeypatch):
             assert abs(m[s, p] - sm[0]) < 0.02 and abs(c[s, p] - sc[0]) < 0.02
 
 
+def test_steps_agree_with_tables(haps, field, monkeypatch):
+    """Without the entropy limit, which only tables have."""
+    monkeypatch.setattr(flow, "_LIMIT", [np.zeros(5001)])
+    g, _, _ = haps
+    x, pos = np.array([g[i] ^ g[j] for i, j in ((1, 0), (4, 2), (3, 2))]), np.array(POS)
+    rho, mu = 4 * NE * RHO, 4 * NE * MU
+    a = flow.Decoder(flow.FlowCache(field, rho, mu), NE, pos).posterior(x)["mean"]
+    b = flow.Decoder(flow.StepCache(field, rho, mu), NE, pos).posterior(x)["mean"]
+    assert np.median(np.abs(np.log(a / b))) < 0.1
+
+
 def test_long_segments_are_made_of_parts(field):
     rho, mu = 4 * NE * RHO, 4 * NE * MU
     cache = flow.FlowCache(field, rho, mu, steps=10).prepare({7, 25, 30})
