@@ -11,7 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut
+from panmixia.llm.common import cut, hash_sample
+
+
+#: Rows that a query's cells hold at least, for each of its k results.
+LEAST_CANDIDATES = 50
 
 
 @dataclass
@@ -88,7 +92,7 @@ def fit(vectors: DataFrame, k: int = 20, centroids: int = 32, sample: int = 8192
     The share is the smallest at which the sample's own queries find ``recall`` of what brute force
     over the sample finds. With more rows the nearest lie nearer and the share is on the safe side.
     """
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").collect()
+    rows = hash_sample(vectors, sample, "vec_id").select("vec").collect()
     if not rows:
         return None
     x = np.array([r["vec"] for r in rows], float)
@@ -184,7 +188,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, centroids: int = 32
         return range(int(home[cell]), int(home[cell] + parts[cell]))
 
     many = int((home + parts).max())
-    quota = share * total
+    quota = max(share * total, min(total, LEAST_CANDIDATES * k))  # small tables are searched whole
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, fold_of, stored, strings, trimmed
+from panmixia.llm.common import cut, fold_of, hash_sample, stored, strings, trimmed
 
 #: A token that no word equals: a document's end, and the context before its first word.
 END = b""
@@ -143,7 +143,7 @@ def _induce(train: DataFrame, head: Head, sample: int) -> None:
                         total += np.bincount(a[ok].astype(np.int64) * width + b[ok], minlength=len(total)).astype(np.float32)
         yield pa.RecordBatch.from_pydict({"m": [total.tobytes()]})
 
-    some = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text").coalesce(1)
+    some = hash_sample(train, sample, "doc_id").select("text").coalesce(1)
     m = sum((np.frombuffer(r["m"], np.float32) for r in some.mapInArrow(neighbours, "m binary").collect()), np.zeros(len(head.words) * width, np.float32))
     m = np.log1p(m.reshape(len(head.words), width))
     norms = np.linalg.norm(m, axis=1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, fold_of, slices, strings, trimmed
+from panmixia.llm.common import cut, fold_of, hash_sample, slices, strings, trimmed
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 LOOKALIKES = dict(zip("аеорсухікмтвнѕјԁһԛԝαεορτυικνηβχ", "aeopcyxikmtbhsjdhqwaeoptuiknnbx", strict=True))
@@ -125,8 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, min_docs
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(
         F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of("doc_id", 5) != 0)
     ).distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    halves = [usable.where(F.col("toxic") == y).orderBy(*order).limit(max_labelled // 2) for y in (0, 1)]
+    halves = [hash_sample(usable.where(F.col("toxic") == y), max_labelled // 2, "doc_id") for y in (0, 1)]
     sample = cut(halves[0].unionByName(halves[1]))
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
