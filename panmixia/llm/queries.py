@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panmixia.llm import ann, maxent, mixing, neardup, packing, pii, quality, secrets, toxicity, warc
 from panmixia.llm.common import fold_of, table
+from panmixia.llm.oracles import ORACLE
 
 
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,8 @@ def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.host_quality(table(spark, sf_dir, "documents"))
+    judged = quality.host_quality(table(spark, sf_dir, "documents"))
+    return judged.drop(*[c for c in judged.columns if c.startswith("rate_")])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +59,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
