@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def duck(sf_dir):
 def plain(v):
     if hasattr(v, "item"):
         v = v.item()
-    return None if isinstance(v, float) and math.isnan(v) else v
+    return None if v is pd.NA or isinstance(v, float) and math.isnan(v) else v
 
 
 def rows(frame, columns):
