@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a forest of MinHash prefix tries proposes pairs, exact counts decide them."""
+"""N-gram Jaccard join: MinHash prefixes of one length in many trees propose pairs, exact counts decide them."""
 
 from __future__ import annotations
 
@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 from panmixia.llm.common import cut, salted, slices, stored, trimmed
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, LONGEST, RECALL = 24, 8, 0.995
+#: A lone pair at the threshold is missed with probability 1 - RECALL at most.
+TREES, LONGEST, RECALL = 40, 8, 0.9999
 #: Shingles that a block of a large component holds, and rows up to which ids are broadcast (under 100 bytes each).
 BLOCK_SHINGLES, BROADCAST_ROWS = 200_000, 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """How far prefixes are shortened: until a pair at the threshold meets in some tree with probability ``recall``."""
+    """The length of all prefixes: the longest at which a pair at the threshold meets in some tree with probability ``recall``.
+
+    A set that has met one partner is not stopped at a longer prefix, as a forest's search would be: its
+    other links count too, and buckets of the shortest prefix hold those of all longer ones.
+    """
     k = longest
     while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
         k -= 1

@@ -63,6 +63,16 @@ def test_chains_copies_and_a_large_group(spark, monkeypatch):
     check(neardup.join(spark.createDataFrame(list(given.items()), "doc_id long, text string"), recall=0.9999).collect(), given)
 
 
+def test_lone_pairs_at_the_threshold(spark):
+    """2,000 pairs of similarity 0.8, at the parameters that the query has."""
+    given = {}
+    for i in range(2000):
+        words = [f"p{i}x{j}" for j in range(44)]
+        given[2 * i], given[2 * i + 1] = " ".join(words[:40]), " ".join(words[:36] + words[40:])
+    rows = neardup.join(spark.createDataFrame(list(given.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == {i: (i - i % 2, 1) for i in given}
+
+
 def test_prefix_length_reaches_the_recall():
     k = neardup.prefix_length()
     assert 1 - (1 - 0.8**k) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** neardup.TREES
