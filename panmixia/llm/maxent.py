@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, fold_of, hash_sample, stored, strings, trimmed
+from panmixia.llm.common import cut, fold_of, stored, strings, trimmed
 
 #: A token that no word equals: a document's end, and the context before its first word.
 END = b""
@@ -122,29 +122,39 @@ def stream(head: Head, words: list[bytes], sizes: list[int]) -> Stream:
     return Stream(ids, starts, classes, one * CLASSES + two, shifted(cluster, int(head.cluster[end]), 1))
 
 
-def _induce(train: DataFrame, head: Head, sample: int) -> None:
-    """Clusters of head words by their neighbours among the most frequent ones, then classes of like frequency in each.
-
-    Neighbours are counted in ``sample`` documents at most (those of smallest hash); this fixes only
-    which words share a class, all counts and weights come from the whole corpus.
-    """
-    width = min(CONTEXTS, len(head.words))
+def _neighbours(train: DataFrame, head: Head, width: int) -> np.ndarray:
+    """How often each head word has each of the ``width`` most frequent ones within three words of its document, over all of ``train``."""
     shared = train.sparkSession.sparkContext.broadcast(head)
 
-    def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @trimmed
+    def tallied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        total = np.zeros(len(known.words) * width, np.float32)
+        total = np.zeros(len(known.words) * width, np.int64)
         for batch in batches:
-            for words, _ in _documents(strings(batch)):
+            for words, sizes in _documents(strings(batch)):
                 ids = known.ids(words)
+                own = np.repeat(np.arange(len(sizes)), sizes)
                 for d in (1, 2, 3):
+                    same = own[:-d] == own[d:]
                     for a, b in ((ids[:-d], ids[d:]), (ids[d:], ids[:-d])):
-                        ok = (a >= 0) & (b >= 0) & (b < width)
-                        total += np.bincount(a[ok].astype(np.int64) * width + b[ok], minlength=len(total)).astype(np.float32)
-        yield pa.RecordBatch.from_pydict({"m": [total.tobytes()]})
-
-    some = hash_sample(train, sample, "doc_id").select("text").coalesce(1)
-    m = sum((np.frombuffer(r["m"], np.float32) for r in some.mapInArrow(neighbours, "m binary").collect()), np.zeros(len(head.words) * width, np.float32))
+                        ok = same & (a >= 0) & (b >= 0) & (b < width)
+                        np.add.at(total, a[ok].astype(np.int64) * width + b[ok], 1)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 100_000):
+            part = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["at", "n"])
+
+    sums = train.select("text").mapInArrow(tallied, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    found = sums.select(F.col("at").cast("int"), F.col("n").cast("float")).toArrow()
+    m = np.zeros(len(head.words) * width, np.float32)
+    m[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return m
+
+
+def _induce(train: DataFrame, head: Head) -> None:
+    """Clusters of head words by their neighbours among the most frequent ones, then classes of like frequency in each."""
+    width = min(CONTEXTS, len(head.words))
+    m = _neighbours(train, head, width)
     m = np.log1p(m.reshape(len(head.words), width))
     norms = np.linalg.norm(m, axis=1)
     x = m / np.maximum(norms, 1e-9)[:, None]
@@ -316,7 +326,7 @@ class Model:
     unseen: float
 
 
-def fit(train: DataFrame, counts: DataFrame, steps: int = 14, sample: int = 2000) -> Model:
+def fit(train: DataFrame, counts: DataFrame, steps: int = 14) -> Model:
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = counts.where((F.col("n") >= F.lit(max(HEAD_SHARE * n, LEAST_COUNT))) | (F.col("token") == F.lit(bytearray(END)))).toArrow()
     pairs = sorted(zip(frequent.column("token").to_pylist(), frequent.column("n").to_pylist(), strict=True), key=lambda p: (-p[1], p[0]))
@@ -326,7 +336,7 @@ def fit(train: DataFrame, counts: DataFrame, steps: int = 14, sample: int = 2000
     tail = int(n) - sum(c for _, c in pairs)
     once = counts.where("n = 1").count()
     unseen = (once + 1) / (tail + 2) if tail else 1.0
-    _induce(train, head, sample)
+    _induce(train, head)
     sc = train.sparkSession.sparkContext
     shared = sc.broadcast(head)
     stats = cut(_statistics(train, shared))

@@ -56,6 +56,18 @@ def test_model_sums_to_one(documents, monkeypatch):
     assert (1 - model.unseen) * model.tail / model.tail + model.unseen == pytest.approx(1)
 
 
+def test_rare_words_are_clustered_by_all_documents(spark):
+    """2,000 words of two kinds in three documents each: all of a kind have the same neighbours."""
+    from pyspark.sql import functions as F
+
+    texts = [f"{k}0 {k}w{i} {k}1" for i in range(1000) for k in "lr"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = docs.select("text").mapInArrow(maxent._counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    head = maxent.fit(docs, counts, steps=1).head
+    kinds = [{int(head.cluster[head.id[f"{k}w{i}".encode()]]) for i in range(1000)} for k in "lr"]
+    assert [len(k) for k in kinds] == [1, 1] and kinds[0] != kinds[1]
+
+
 def test_contexts_do_not_cross_documents():
     head = maxent.Head([b"", b"a", b"b"], np.array([2.0, 3.0, 4.0]))
     head.cluster, head.word_class = np.array([0, 1, 2], np.int32), np.array([0, 1, 2], np.int32)
