@@ -16,7 +16,7 @@ _FIELDS: dict[tuple[str, int], FlowField] = {}
 MU, RHO, NE = 1.25e-8, 1e-8, 10_000.0
 
 
-def default_flow_field(spark: SparkSession, n_steps: int = 200) -> FlowField:
+def default_flow_field(spark: SparkSession, n_steps: int = 500) -> FlowField:
     """The field of a constant size, made once per application."""
     key = (spark.sparkContext.applicationId, n_steps)
     if key not in _FIELDS:

@@ -124,7 +124,7 @@ def infer_tmrca(spark, sf_dir):
 
 @query()
 def adaptive_prior_infer(spark, sf_dir):
-    summary, prior, history, converged = hmm.adaptive_prior_infer(phases(spark, sf_dir), b.positions(), max_iterations=5)
+    summary, prior, history, converged = hmm.adaptive_prior_infer(phases(spark, sf_dir), b.positions())
     return spark.createDataFrame([(k, round(float(q), 9), len(history), bool(converged)) for k, q in enumerate(prior)], "k int, q double, n_iterations int, converged boolean")
 
 
@@ -147,7 +147,7 @@ def ultrametric_project(spark, sf_dir):
 
 @query()
 def ep_infer(spark, sf_dir):
-    return _rounded(ultrametric.ep_infer(_sets(spark, sf_dir), b.positions(), max_iterations=3), "mean", "lower", "upper", "loglik", digits=4)
+    return _rounded(ultrametric.ep_infer(_sets(spark, sf_dir), b.positions()), "mean", "lower", "upper", "loglik", digits=4)
 
 
 def _context(spark):
@@ -212,5 +212,5 @@ def estimate_demography(spark, sf_dir):
 
 @query()
 def demographic_flow(spark, sf_dir):
-    context = flow.DemographicFlowContext(phases(spark, sf_dir), b.positions(), api.default_flow_field(spark), NE, MU, RHO, n_steps=100)
+    context = flow.DemographicFlowContext(phases(spark, sf_dir), b.positions(), api.default_flow_field(spark), NE, MU, RHO)
     return _rounded(context.run_fb(phases(spark, sf_dir)), "mean", digits=4)

@@ -1,5 +1,6 @@
 """Decoders against plain per-pair versions."""
 
+import inspect
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from panmixia import api
 from panmixia.functions import special
 from panmixia.operators import flow, gamma_filter, hmm, panel, segments, ultrametric
+from panmixia.plans import queries_decode as q
 
 NE, MU, RHO = 1e4, 1.25e-8, 1e-8
 POS = [1000.0 * s + 37.0 * ((s * s) % 11) for s in range(1, 25)]
@@ -313,3 +315,27 @@ def test_infer_ignores_monomorphic_sites(haps, spark, field):
     assert e.sfs().count() == 7 and e.infer_tmrca().count() == 15 * len(POS) and e.pairs(3).count() == 3
     with pytest.raises(ValueError):
         api._sites(long.withColumn("pos", F.col("pos") + F.col("hap_id")))
+
+
+def test_queries_do_not_work_less_than_the_operators(monkeypatch):
+    def default(f, name):
+        return inspect.signature(f).parameters[name].default
+
+    assert default(api.default_flow_field, "n_steps") == default(flow.generate_flow_field, "n_steps") == 500
+
+    class Called(Exception):
+        pass
+
+    def caught(owner, name):
+        def stop(*_, **options):
+            raise Called(options)
+        monkeypatch.setattr(owner, name, stop)
+
+    for name in ("phases", "_sets"):
+        monkeypatch.setattr(q, name, lambda *_: None)
+    monkeypatch.setattr(api, "default_flow_field", lambda *_: None)
+    for owner, name, run in ((hmm, "adaptive_prior_infer", q.adaptive_prior_infer), (ultrametric, "ep_infer", q.ep_infer), (flow, "DemographicFlowContext", q.demographic_flow)):
+        caught(owner, name)
+        with pytest.raises(Called) as said:
+            run(None, None)
+        assert not said.value.args[0]
