@@ -23,11 +23,16 @@ SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example|none|null|nil|true|false|undefined|todo|your[_-].*|<.*>|\$\{.*\}|%\(.*)$")
 
 # one value: a quoted literal, or a bare word (a name to look up, or a literal in configuration files)
-_VALUE = r"(?P<{0}>\"(?:[^\"\\\n]|\\[^\n])*\"|'(?:[^'\\\n]|\\[^\n])*'|`[^`\n]*`|[A-Za-z_$][\w$.\-/+=]*|[0-9][\w.\-/+=]*)"
+_VALUE = r"(?:\"(?:[^\"\\\n]|\\[^\n])*\"|'(?:[^'\\\n]|\\[^\n])*'|`[^`\n]*`|[A-Za-z_$][\w$.\-/+=]*|[0-9][\w.\-/+=]*)"
+# blanks, and at most one line break, which a backslash may announce
+_GAP = r"[\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?"
 ASSIGNED = re.compile(
-    r"(?<![\w$.\-])[\"']?(?P<name>[A-Za-z_$][\w$.\-]{0,127})[\"']?(?:\x20{0,8}:\x20{0,8}[A-Za-z_][\w<>\[\]]{0,63})?\x20{0,32}(?::=|=>|=(?!=)|:(?!:))\x20{0,32}"
-    + _VALUE.format("first") + r"(?P<more>(?:\x20{0,8}(?:\+|\.\.)\x20{0,8}(?:\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z_$][\w$.]*)){0,16})", re.A)
-_PART = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z_$][\w$.]*", re.A)
+    r"(?<![\w$.\-])[\"']?(?P<name>[A-Za-z_$][\w$.\-]*+)[\"']?(?:[\x20\t]*+:[\x20\t]*+[A-Za-z_][\w<>\[\]]*+)?[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+(?:\\\r?\n[\x20\t]*+|\(" + _GAP + r")?"
+    + f"(?P<first>{_VALUE})", re.A)
+# what a sum adds: in the line, or over a line break before or behind the operator
+MORE = re.compile(rf"(?P<gap>{_GAP})(?:\+(?![+=])|\.\.){_GAP}(?P<part>\"(?:[^\"\\\n]|\\[^\n])*\"|'(?:[^'\\\n]|\\[^\n])*'|`[^`\n]*`|[A-Za-z_$][\w$.]*+)(?P<named>[\x20\t]*+[:=])?", re.A)
+# signs around a secret that are words themselves: the lines of a PEM key, and the scheme of an authorization
+FRAME = re.compile(r"-----(?:BEGIN|END)[A-Z0-9\x20]*-----|^(?:bearer|basic|token)\x20+", re.I | re.A)
 _PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -42,8 +47,9 @@ def entropy(value: str) -> float:
 
 
 def literal_score(name: str, value: str) -> float:
-    """Over 0: a secret. A telling name, a value of 6 to 512 signs that is neither prose nor a stand-in."""
-    if not 6 <= len(value) <= 512 or PLACEHOLDERS.match(value) or re.search(r"\s", value):
+    """Over 0: a secret. A telling name, a value of 6 signs or more that is neither prose nor a stand-in."""
+    value = FRAME.sub("", value).strip()
+    if len(value) < 6 or PLACEHOLDERS.match(value) or re.search(r"\s", value):
         return -1.0
     mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w]"))
     return sensitivity(name) + 0.5 * mixed + min(entropy(value), 4.5) / 1.5 - 4.5
@@ -68,25 +74,30 @@ def assigned_spans(text: str) -> list[tuple[int, int, str]]:
     """
     if "=" not in text and ":" not in text:
         return []
-    bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    bound: dict[str, dict[tuple[int, int], None]] = {}
     found: set[tuple[int, int]] = set()
-    for m in ASSIGNED.finditer(text):
-        parts = [(m.start("first"), m["first"])] + [(m.start("more") + p.start(), p[0]) for p in _PART.finditer(m["more"])]
-        value, spans = "", []
-        for at, part in parts:
+    at = 0
+    while m := ASSIGNED.search(text, at):
+        at = m.end()
+        parts = [(m.start("first"), m["first"])]
+        while more := MORE.match(text, at):
+            # in a new line, a bare word that is not known or is given a value itself is none of the sum's
+            if more["part"][0] not in "\"'`" and (more["named"] or "\n" in text[at : more.start("part")] and more["part"] not in bound):
+                break
+            parts.append((more.start("part"), more["part"]))
+            at = more.end("part")
+        spans: dict[tuple[int, int], None] = {}  # each once, so that sums of sums stay within the text
+        for start, part in parts:
             if part[0] in "\"'`":
-                value += part[1:-1]
-                spans.append((at + 1, at + len(part) - 1))
+                spans[start + 1, start + len(part) - 1] = None
             elif part in bound:
-                value += bound[part][0]
-                spans += bound[part][1]
+                spans |= bound[part]
             elif len(parts) == 1:  # a bare value, as configuration files have them
-                value += part
-                spans.append((at, at + len(part)))
-        if spans and len(value) <= 4096:
-            bound[m["name"]] = (value, spans[:64])
-            if literal_score(m["name"], value) > 0:
-                found.update(s for s in spans[:64] if s[1] > s[0])
+                spans[start, start + len(part)] = None
+        if spans:
+            bound[m["name"]] = spans
+            if literal_score(m["name"], "".join(text[a:z] for a, z in spans)) > 0:
+                found.update(s for s in spans if s[1] > s[0])
     return [(a, b, "literal") for a, b in found]
 
 
