@@ -333,8 +333,23 @@ def read(spark: SparkSession, uri: str, **options) -> DataFrame:
     return spark.read.format("warc").options(path=uri, **options).load()
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """Records whose responses have length and digest of the payload that was read; one that its header contradicts fails.
+
+    A revisit has no payload, so its header's values stay: those of the response it refers to.
+    """
+    length, digest = F.octet_length("payload").cast("long"), F.sha2("payload", 256)
+    read_back = F.col("record_type") == "response"
+    same = F.col("payload").isNotNull() & length.eqNullSafe(F.col("payload_bytes")) & digest.eqNullSafe(F.col("payload_digest"))
+    wrong = F.raise_error(F.concat(F.lit("payload and header differ: "), F.coalesce("record_id", F.lit(""))))
+    return records.select(
+        "page_id", F.when(~read_back, F.col("payload_bytes")).when(same, length).otherwise(wrong.cast("long")).alias("payload_bytes"),
+        F.when(~read_back, F.col("payload_digest")).when(same, digest).otherwise(wrong.cast("string")).alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive pages in the shared folder and read what their records' headers say; payloads are skipped."""
+    """Archive pages in the shared folder and read them back, payloads included."""
     uri = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_pages(pages, uri)
-    return read(pages.sparkSession, uri, payload="skip").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return checked(read(pages.sparkSession, uri))

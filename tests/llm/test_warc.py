@@ -43,6 +43,18 @@ def test_test_table(spark, sf_dir):
     assert told(warc.round_trip(table)) == expected(table.collect())
 
 
+def test_a_payload_unlike_its_header_fails(spark, monkeypatch):
+    def damaged(pages, uri):
+        warc.register(pages.sparkSession)
+        digest = F.sha2(F.col("html").cast("binary"), 256)
+        rows = pages.select("page_id", "url", F.expr("substr(html, 2)").alias("html"), digest.alias("payload_digest"), F.octet_length("html").cast("long").alias("payload_bytes"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+        rows.write.format("warc").mode("append").option("path", uri).save()
+
+    monkeypatch.setattr(warc, "write_pages", damaged)
+    with pytest.raises(Exception, match="payload and header differ"):
+        warc.round_trip(spark.createDataFrame([(1, "u", "some text")], "page_id long, url string, html string")).collect()
+
+
 def test_shuffle_join_beyond_the_bound(pages, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
     assert told(warc.round_trip(pages)) == expected(pages.collect())
