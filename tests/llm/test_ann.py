@@ -37,6 +37,17 @@ def test_recall_on_the_test_table(spark, sf_dir):
     assert all(abs(s - scores[i, j]) < 1e-12 for i, v in got.items() for j, s in v)
 
 
+def test_recall_where_the_walk_is_pruned(spark):
+    """sf0.1 has 2,000 vectors, twice as many as are searched whole."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    given = {r["vec_id"]: np.array(r["embedding"], np.float32).astype(float) for r in table.collect()}
+    assert len(given) > ann.LEAST_CANDIDATES * 20
+    exact = brute(given.items(), lambda i: i % 20 == 0, 20)
+    got = answers(ann.search(table, F.col("vec_id") % 20 == 0))
+    hits = sum(len({j for j, _ in got[i]} & {j for j, _ in exact[i]}) for i in exact)
+    assert hits >= 0.9 * 20 * len(exact)
+
+
 def test_ties_copies_and_unfit_vectors(spark):
     rng = np.random.default_rng(1)
     same = rng.normal(size=8)
