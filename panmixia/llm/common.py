@@ -7,7 +7,7 @@ import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only in a local session where none is set, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="shared-")
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
+def free_name(taken: Iterable[str], base: str) -> str:
+    """``base``, with underscores behind it while a column in ``taken`` has that name in any case."""
+    names = {c.lower() for c in taken}
+    while base.lower() in names:
+        base += "_"
+    return base
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, into the shared folder: later readers do not recompute, and a lost executor costs nothing."""
     shared_dir(df.sparkSession)
@@ -47,13 +60,15 @@ def stored(df: DataFrame) -> DataFrame:
 def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """The ``n`` rows of smallest key hash (all, if fewer), of columns that may be wide.
 
-    Four times as many rows are let through by their hash first, so that what the sort at the end gets
-    does not grow with the table or its partitions.
+    What is sorted has a hash below four times the n-th one expected, so it does not grow with the
+    table; where keys repeat so often that fewer than n rows have such a hash, all rows are sorted.
     """
-    h = F.xxhash64(*keys)
+    h = F.shiftrightunsigned(F.xxhash64(*keys), 1)
     total = df.count()
     if total > 8 * n:
-        df = df.where(F.shiftrightunsigned(h, 32) < int(2**32 * 4 * n / total))
+        low = df.where(h < int(2**63 * 4 * n / total))
+        if low.limit(n).count() == n:
+            df = low
     return df.orderBy(h, *keys).limit(n)
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, salted, slices, stored, trimmed
+from panmixia.llm.common import cut, free_name, salted, slices, stored, trimmed
 
 WORDS, THRESHOLD = 5, 0.8
 #: A lone pair at the threshold is missed with probability 1 - RECALL at most.
@@ -301,14 +301,17 @@ def _repeats(rows: DataFrame) -> bool:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each class: that with the class's id. Documents without words are classes of their own.
 
-    The columns stay as they are. Of rows that repeat a kept id, those with its text are kept once; a
-    document without id is kept if its class has no id at all.
+    The columns stay as they are, whatever their names. Of rows that repeat a kept id, those with its
+    text are kept once; a document without id is kept if its class has no id at all; null and empty
+    texts all stay, but for repeats of an id; an empty table gives an empty one.
     """
     result = cut(join(docs, **options))
-    dropped = cut(result.where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone")).distinct())
+    gone, key = free_name(docs.columns, "gone"), free_name(docs.columns, "text_key")
+    dropped = result.where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id")))
+    dropped = cut(dropped.select(F.col("doc_id").alias(gone)).distinct())
     few = dropped.count() <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"].eqNullSafe(dropped["gone"]), "left_anti")
-    if result.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-        out = out.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    out = docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"].eqNullSafe(dropped[gone]), "left_anti")
+    if _repeats(result):
+        digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+        out = out.withColumn(key, digest).dropDuplicates(["doc_id", key]).drop(key)
     return out

@@ -48,4 +48,19 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
 
-ORACLE = {"op4_host_quality": _host_quality(), "op6_jaccard_join": _JACCARD, "op9_warc": _WARC}
+
+def _source_mix() -> str:
+    """A document's words of the stream are taken in every whole round of its source, and as far as the last round goes."""
+    return rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, len({_WORDS}) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM d GROUP BY 1),
+w AS (SELECT *, ([5, 2, 1]::DOUBLE[])[(source_no - 1) % 3 + 1] AS weight, (3 * source_size)::DOUBLE AS cap FROM s),
+o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS left_size, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS left_weight FROM w
+  WINDOW b AS (ORDER BY cap / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stop AS (SELECT coalesce(arg_min(left_size / left_weight, (cap / weight, source_no)), 0) AS level FROM o WHERE left_size / left_weight <= cap / weight),
+t AS (SELECT source, source_no, source_size, least(cap, weight * level) AS target, least(3 * source_size, round(least(cap, weight * level))::BIGINT) AS quota FROM w, stop),
+p AS (SELECT doc_id, size, source_size, target, source_no, quota, coalesce(sum(size) OVER (PARTITION BY source_no ORDER BY substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 15), row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE quota // source_size * size + greatest(least(first + size, quota % source_size) - first, 0) END::BIGINT AS taken, source_no FROM p"""
+
+
+ORACLE = {"op4_host_quality": _host_quality(), "op6_jaccard_join": _JACCARD, "op9_warc": _WARC, "op10_source_mix": _source_mix()}

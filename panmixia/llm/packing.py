@@ -163,13 +163,13 @@ class Packer:
                 self.full.append((tier, window))
 
     def flush(self) -> None:
-        """The rest, in order: windows of the largest size, then powers of two, then one that needs padding."""
+        """The rest, in order: windows of the largest size, then falling powers of two, so that nothing is padded."""
         rest = deque(p for t in reversed((0, *TIERS)) for p in self.tiers[t])
         for q in self.tiers.values():
             q.clear()
         left = sum(p[2] for p in rest)
         while left:
-            size = TIERS[-1] if left >= TIERS[-1] else max(1 << (left.bit_length() - 1), min(left, 64))
+            size = TIERS[-1] if left >= TIERS[-1] else 1 << (left.bit_length() - 1)
             window, gap = [], size
             while gap:
                 doc, start, n = rest.popleft()
@@ -187,8 +187,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most 2048 tokens; one row per piece.
 
-    Each task packs its own documents (no shuffle); only its last few windows can be short, and of
-    those all but one are powers of two. A task's sequences are numbered under its partition, and
+    Each task packs its own documents (no shuffle); only its last few windows are short, and
+    those are powers of two. A task's sequences are numbered under its partition, and
     each tier's are dealt to steps of equally many tokens. ``with_ids`` adds the ids themselves.
 
     Null and empty texts are documents of the end id alone; texts of any length are read whole and

@@ -85,11 +85,25 @@ class ToxicityModel:
 
 
 def phrases(text: str, start: int, term: str) -> set[tuple[str, str]]:
-    """The pairs of words around a match: with the one before, and with the one after."""
-    before = text[max(0, start - 40) : start].rsplit(None, 1)[-1:]
-    rest = text[start : start + len(term) + 80].split(None, 2)
-    word = rest[0] if rest else ""
-    return {(x, word) for x in before} | {(word, x) for x in rest[1:2]}
+    """The pairs of words around a match, whole however long: with the one before, and with the one after.
+
+    ``text`` is folded and lies between spaces, so a term begins at a word's space or inside a word.
+    """
+
+    def word_at(i: int) -> tuple[str, int]:
+        while i < len(text) and text[i] == " ":
+            i += 1
+        end = text.find(" ", i)
+        end = len(text) if end < 0 else end
+        return text[i:end], end
+
+    word, end = word_at(start)
+    after = [w] if (w := word_at(end)[0]) else []
+    stop = start
+    while stop > 0 and text[stop - 1] == " ":
+        stop -= 1
+    before = [text[text.rfind(" ", 0, stop) + 1 : stop]] if stop else []
+    return {(x, word) for x in before} | {(word, x) for x in after}
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +215,10 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
 
     One row per input row; null and empty texts get the score of a text without matches, texts of
     any length are read whole; repeated rows repeat; an empty table gives an empty one; with no
-    labels at all nothing is predicted. Columns outside ``keep`` are dropped before they can clash.
+    labels at all nothing is predicted. Columns outside ``keep`` are dropped before they can clash, and
+    columns of ``keep`` named score or predicted give way to the new ones.
     """
+    keep = [c for c in keep if c.lower() not in ("score", "predicted")]
     schema = docs.select(*keep).schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     names, kept = list(keep), list(keep)
@@ -216,3 +232,18 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
 
     return docs.select(*told).mapInArrow(scored, f"{out}, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows that the model does not predict to be toxic, with their columns as they are, of any names.
+
+    Null and empty texts have no match; texts of any length are read whole; repeated rows share their
+    fate; an empty table gives an empty one.
+    """
+
+    @trimmed
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 4_000_000)):
+            yield batch.filter(pa.array([model.score(t) < 0.5 for t in strings(batch)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

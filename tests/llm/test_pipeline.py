@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from panmixia.llm import mixing, secrets, toxicity
 from panmixia.llm.common import table
@@ -37,3 +39,18 @@ def test_stages_against_brute_force(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_stages_take_awkward_and_empty_tables(spark, sf_dir, awkward, empty):
+    """Nulls, empty texts, repeats, and columns with the very names that the stages' own results have."""
+    names = ("score", "predicted", "times", "planned", "copy", "gone", "text_key", "class_id", "taken", "size", "node")
+    clashing = awkward
+    for n in names:
+        clashing = clashing.withColumn(n, F.lit(7))
+    for docs, some in ((clashing, True), (clashing.where("false"), False)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            assert bool(out.count()) == some
+            if name != "pack":
+                assert out.columns == clashing.columns and out.where("score <> 7 or times <> 7 or node <> 7").count() == 0
+                docs = out.cache()
