@@ -6,6 +6,9 @@
 4. mix: documents are taken as often as the mix takes most of their words (never to three times), so
    sources have their target shares; a document of which less than half is due is left out.
 5. pack: the rest is tokenized and packed into sequences of at most 2048 tokens.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and extra
+columns of any name: names that a stage needs besides are chosen free of the table's own.
 """
 
 from __future__ import annotations
@@ -13,30 +16,32 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from panmixia.llm import mixing, neardup, packing, secrets, toxicity
 from panmixia.llm.common import shared_dir, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    """Null and empty texts have no match and stay; repeated rows share their fate; without labels, all stay."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words are alike to nothing and stay; of rows that repeat id and text, one stays."""
     return neardup.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per input row; null texts stay null, and ``n_chars`` follows the text."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words stay once; repeated ids are taken by their rows' words together."""
     return mixing.resample(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are an end token alone; each copy of a repeated row is packed."""
     return packing.pack(docs)
 
 
@@ -61,3 +66,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
+
+
+def queries():
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
