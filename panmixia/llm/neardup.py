@@ -1,37 +1,44 @@
-"""N-gram Jaccard join: MinHash prefixes of one length in many trees propose pairs, exact counts decide them."""
+"""N-gram Jaccard join: a forest of sorted MinHash tries proposes pairs, exact counts decide them."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panmixia.llm.common import cut, free_name, salted, slices, stored, trimmed
 
 WORDS, THRESHOLD = 5, 0.8
-#: A lone pair at the threshold is missed with probability 1 - RECALL at most.
-TREES, LONGEST, RECALL = 40, 8, 0.9999
-#: Shingles that a block of a large component holds, and rows up to which ids are broadcast (under 100 bytes each).
-BLOCK_SHINGLES, BROADCAST_ROWS = 200_000, 200_000
+#: A pair at the threshold is missed with probability 1 - RECALL at most. A trie's strings have up to LONGEST values.
+RECALL, LONGEST, MOST_TREES = 0.9999, 7, 64
+#: The first values of a string have two bytes, so that strangers share none of them by chance, the others one.
+WIDE = 3
+#: Shingles and sets that a block of a large component holds, and rows up to which ids are broadcast (under 100 bytes each).
+BLOCK_SHINGLES, BLOCK_SETS, BROADCAST_ROWS = 200_000, 2_000, 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """The length of all prefixes: the longest at which a pair at the threshold meets in some tree with probability ``recall``.
+def descent(threshold: float = THRESHOLD, recall: float = RECALL, longest: int = LONGEST) -> list[tuple[int, int]]:
+    """(trees, prefix length) of the search's steps.
 
-    A set that has met one partner is not stopped at a longer prefix, as a forest's search would be: its
-    other links count too, and buckets of the shortest prefix hold those of all longer ones.
+    A set that meets no other at prefixes of this length in the first so many trees has no partner at
+    the threshold, but for its share of 1 - recall, and its search ends there. In few trees that needs
+    short prefixes; a set that has company at short prefixes goes on to longer ones in more trees,
+    and what shares one of the last length with it is compared exactly.
     """
-    k = longest
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
-        k -= 1
-    return k
+    depth = longest
+    trees = lambda d: math.ceil(math.log((1 - recall) / 3) / math.log(1 - min(threshold, 0.999999) ** d))
+    while depth > 1 and trees(depth) > MOST_TREES:
+        depth -= 1
+    return [(trees(d), d) for d in (depth - 4, depth - 2, depth) if d > 0]
 
 
 def shingles(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
@@ -79,8 +86,12 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def signatures(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
-    """Per row: a key of its shingle set, the set's size, and its prefix in each tree as a hash."""
+def _width(depth: int) -> int:
+    return depth + min(depth, WIDE)
+
+
+def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
+    """Per row: a key of its shingle set, the set's size, and its string of min-hashes in each tree, one behind another."""
     a, b = _permutations(trees * depth)
 
     @trimmed
@@ -89,19 +100,111 @@ def signatures(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
             for part in slices(batch, 3_000_000):
                 sets = shingles(part.column("text"))
                 keys = [hashlib.md5(s.tobytes()).digest() for s in sets]
-                labels = np.zeros((len(sets), trees), np.int64)
+                strung = np.zeros((len(sets), trees, _width(depth)), np.uint8)
                 for j, s in enumerate(sets):
                     if len(s):
-                        m = signature(s, a, b).reshape(trees, depth).astype(np.uint64)
-                        h = np.zeros(trees, np.uint64)
-                        for k in range(depth):
-                            h = (h ^ m[:, k]) * _MULTIPLIER
-                            h ^= h >> np.uint64(31)
-                        labels[j] = h.view(np.int64)
-                prefixes = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * trees, pa.int32()), pa.array(labels.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), prefixes], names=["doc_id", "set_key", "n", "prefixes"])
+                        m = signature(s, a, b).reshape(trees, depth) * np.uint32(0x9E3779B1)
+                        at = 0
+                        for k in range(depth):  # minima are small numbers, so the product spreads them over the upper bits
+                            for shift in (16, 24) if k < WIDE else (24,):
+                                strung[j, :, at] = m[:, k] >> np.uint32(shift)
+                                at += 1
+                flat = [x.tobytes() for x in strung]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(flat, pa.binary())], names=["doc_id", "set_key", "n", "strings"])
+
+    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, set_key binary, n int, strings binary")
 
-    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, set_key binary, n int, prefixes array<long>")
+
+def shared_prefix(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """How many values the strings in rows of ``a`` and ``b`` share from the start."""
+    same = a == b
+    wide = min(depth, WIDE)
+    values = np.concatenate([same[:, : 2 * wide : 2] & same[:, 1 : 2 * wide : 2], same[:, 2 * wide :]], axis=1)
+    return np.cumprod(values, axis=1).sum(axis=1)
+
+
+def _walked(depth: int, least: int):
+    """Walk sorted tries: links of each set to the first one of its run of full prefixes, and the sets with company at ``least``.
+
+    A run that begins in the partition before is linked by the partitions' first and last rows.
+    """
+
+    @trimmed
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, width = TaskContext.get().partitionId(), _width(depth)
+        tree, text, node = np.zeros(0, np.int32), np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
+        head, before, begun = 0, 0, False
+
+        def rows(kind: int, u: np.ndarray, v: np.ndarray, trees=None, texts=None) -> pa.RecordBatch:
+            n = len(u)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(trees if n and trees is not None else [None] * n, pa.int32()), pa.array(texts if n and texts is not None else [None] * n, pa.binary())], names=["kind", "u", "v", "tree", "string"])
+
+        def finished(upto: int, lcp: np.ndarray, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rows whose neighbours on both sides are known; lcp[i] is that of row i with the one before."""
+            own, company = node[:upto], np.maximum(lcp[:upto], lcp[1 : upto + 1])
+            linked = heads[:upto] != own
+            yield rows(0, own[linked], heads[:upto][linked])
+            met = company >= least
+            yield rows(1, own[met], company[met])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = np.frombuffer(b"".join(batch.column("string").to_pylist()), np.uint8).reshape(-1, width)
+            tree = np.concatenate([tree, batch.column("tree").to_numpy()])
+            node = np.concatenate([node, batch.column("node").to_numpy()])
+            text = np.concatenate([text, more])
+            if not begun:
+                yield rows(2, np.array([2 * part]), node[:1], tree[:1].tolist(), [text[0].tobytes()])
+                head, begun = node[0], True
+            lcp = np.zeros(len(node) + 1, np.int64)
+            lcp[0] = before
+            lcp[1:-1] = np.where(tree[1:] == tree[:-1], shared_prefix(text[1:], text[:-1], depth), 0)
+            first = lcp[:-1] < depth
+            first[0] = False  # goes on with the run that is held
+            at = np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))
+            heads = np.where(at > 0, node[at], head)
+            yield from finished(len(node) - 1, lcp, heads)
+            head, before = heads[-1], lcp[-2]
+            tree, text, node = tree[-1:], text[-1:], node[-1:]
+        if begun:
+            yield from finished(1, np.array([before, 0]), np.array([head]))
+            yield rows(2, np.array([2 * part + 1]), node, tree.tolist(), [text[0].tobytes()])
+
+    return run
+
+
+def _candidates(reps: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Edges (u, v) whose components hold every pair of sets that share a full prefix in a tree that both are searched in.
+
+    Each step sorts the tries of its trees, dealt by ranges of (tree, string, node): a prefix that a
+    third of all sets share spreads over as many tasks as it fills. Sets without company leave.
+    """
+    spark, depth = reps.sparkSession, steps[-1][1]
+    width, done, live, met, edges = _width(depth), 0, None, None, None
+    for trees, least in steps:
+        own = reps.select("node", "strings") if live is None else reps.select("node", "strings").join(live, "node", "left_semi")
+        leaves = own.select("node", F.explode(F.sequence(F.lit(done), F.lit(trees - 1))).alias("tree"), "strings")
+        leaves = leaves.select("tree", F.col("strings").substr(F.col("tree") * width + 1, F.lit(width)).alias("string"), "node")
+        leaves = leaves.repartitionByRange("tree", "string", "node").sortWithinPartitions("tree", "string", "node")
+        found = cut(leaves.mapInArrow(_walked(depth, least), "kind int, u long, v long, tree int, string binary"))
+        # two rows a partition
+        ends = found.where("kind = 2").orderBy("u").collect()
+        between = []
+        for x, y in zip(ends, ends[1:], strict=False):
+            if x["tree"] == y["tree"] and x["v"] != y["v"]:
+                n = int(shared_prefix(*(np.frombuffer(r["string"], np.uint8)[None, :] for r in (x, y)), depth)[0])
+                between.append((x["v"], y["v"], n))
+        between = spark.createDataFrame(between, "u long, v long, n long")
+        links = found.where("kind = 0").select("u", "v").unionByName(between.where(F.col("n") >= depth).select("u", "v"))
+        edges = links if edges is None else edges.unionByName(links)
+        company = found.where("kind = 1").select(F.col("u").alias("node"), F.col("v").alias("n"))
+        company = company.unionByName(between.select(F.explode(F.array("u", "v")).alias("node"), "n"))
+        met = company if met is None else met.unionByName(company)
+        if trees < steps[-1][0]:
+            met = cut(met.where(F.col("n") >= least).groupBy("node").agg(F.max("n").alias("n")))
+            live, done = met.select("node"), trees
+    return edges.distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -127,17 +230,11 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not settled in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Edges from every set to the first one of each bucket it shares: sets with the same prefix in a tree."""
-    leaves = reps.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    buckets = leaves.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = leaves.join(buckets, ["tree", "prefix"])
-    return met.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-
-
 def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
     """Which pairs of sets reach the threshold: shared shingles counted exactly, by matrix products over those that two sets hold."""
     sets = left + (right or [])
@@ -233,29 +330,30 @@ def _verify(threshold: float):
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Documents whose sets of 5-word shingles have a Jaccard similarity of ``threshold`` or more.
 
     Returns one row per input row: doc_id, class_id (the smallest doc_id among documents connected by
     links), n_links (the documents it is linked to, counting every copy), n_shingles.
 
-    Documents with the same set are collapsed first. Sets that share a prefix in some tree are joined
-    to their bucket's first one; the components of that graph hold all candidate pairs, so each set's
-    shingles are shipped once, and once per block for components above BLOCK_SHINGLES. Every pair in a
-    component is counted exactly, in matrix form: no pair rows are made, and none is capped.
+    Documents with the same set are collapsed first. A forest of sorted tries, searched by each set at
+    prefixes and in trees that depend on the company it meets, joins sets of one prefix in runs; the
+    components of runs hold all candidate pairs, so each set's shingles are shipped once, and once per
+    block for components above BLOCK_SHINGLES or BLOCK_SETS. Every pair in a component is counted
+    exactly, in matrix form: no pair rows are made, and none is capped.
 
     Null and empty texts have no shingles and link to nothing; texts of 1 to 4 words are one shingle;
     texts of any length count whole; repeated rows are copies of each other; a null id is never a
     class's id unless there is no other; an empty table gives an empty one; other columns are not read.
     """
-    depth = prefix_length(threshold, trees, LONGEST, recall)
-    rows = stored(signatures(docs, depth, trees))
+    steps = descent(threshold, recall)
+    rows = stored(signatures(docs, *steps[-1]))
     full = rows.where("n > 0")
-    reps = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefixes").alias("prefixes"))
+    reps = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("strings").alias("strings"))
     reps = stored(reps.withColumn("node", F.monotonically_increasing_id()))
-    members = cut(components(_candidates(reps)))
-    totals = reps.select("node", "n").join(members, "node").groupBy("root").agg(F.sum("n").alias("total"))
-    totals = totals.select("root", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    members = cut(components(_candidates(reps, steps)))
+    totals = reps.select("node", "n").join(members, "node").groupBy("root").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"))
+    totals = totals.select("root", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("blocks"))
     needed = salted(members, totals, ["root"], 16, [F.col("node")]).join(reps.select("node", "rep", "copies", "set_key"), "node")
     needed = cut(needed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     few = needed.count() <= BROADCAST_ROWS
@@ -290,8 +388,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, reca
     named = salted(classes, ids, ["root"], 16, [F.col("node")]).select("node", "class_id")
     told = reps.select("node", "set_key", "rep", "copies").join(named, "node", "left").join(links, "node", "left")
     told = told.select("set_key", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(told, "set_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").cast("long").alias("n_shingles"))
+    out = full.select("doc_id", "n", "set_key").join(told, "set_key").drop("set_key")
+    out = out.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links")))
+    return out.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n").cast("long").alias("n_shingles"))
 
 
 def _repeats(rows: DataFrame) -> bool:

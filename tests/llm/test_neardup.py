@@ -60,7 +60,7 @@ def test_chains_copies_and_a_large_group(spark, monkeypatch):
     given |= {200: "three short words", 201: "three short words", 202: "", 203: None, 204: "three short"}
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)  # several blocks, and block pairs
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
-    check(neardup.join(spark.createDataFrame(list(given.items()), "doc_id long, text string"), recall=0.9999).collect(), given)
+    check(neardup.join(spark.createDataFrame(list(given.items()), "doc_id long, text string")).collect(), given)
 
 
 def test_lone_pairs_at_the_threshold(spark):
@@ -73,10 +73,56 @@ def test_lone_pairs_at_the_threshold(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == {i: (i - i % 2, 1) for i in given}
 
 
-def test_prefix_length_reaches_the_recall():
-    k = neardup.prefix_length()
-    assert 1 - (1 - 0.8**k) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** neardup.TREES
-    assert neardup.prefix_length(recall=0.5) == neardup.LONGEST
+def test_descent_reaches_the_recall():
+    steps = neardup.descent()
+    assert [d for _, d in steps] == [3, 5, 7] and sum((1 - 0.8**d) ** t for t, d in steps) <= 1 - neardup.RECALL
+    assert all(t <= neardup.MOST_TREES for s in (0.5, 0.7, 0.9, 1.0) for t, _ in neardup.descent(s))
+
+
+def test_tries_against_plain_prefixes(spark):
+    """Links and company of every set, by comparing all strings; runs cross partitions."""
+    rng = np.random.default_rng(5)
+    depth, trees = 7, 3
+    width = neardup._width(depth)
+    raw = rng.integers(0, 2, (400, trees * width), dtype=np.uint8)
+    raw[:60] = raw[0]  # one string under many sets
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(raw)], "node long, strings binary").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = neardup.cut(neardup._candidates(reps, [(1, 3), (3, 7)]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = dict(neardup.components(edges).collect())
+
+    def values(i, t):
+        s = raw[i, t * width : (t + 1) * width].tolist()
+        return [*zip(s[:6:2], s[1:6:2], strict=True), *s[6:]]
+
+    met = {i for i in range(400) if any(j != i and values(i, 0)[:3] == values(j, 0)[:3] for j in range(400))}
+    root = {i: i for i in range(400)}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for t in range(trees):
+        for i in range(400):
+            for j in range(i):
+                if values(i, t) == values(j, t) and (t == 0 or {i, j} <= met):
+                    x, y = sorted((top(i), top(j)))
+                    root[y] = x
+    classes = {i: top(i) for i in range(400)}
+    shared = Counter(classes.values())
+    assert got == {i: c for i, c in classes.items() if shared[c] > 1}
+
+
+def test_many_small_sets_of_a_template(spark):
+    """5,000 texts of 12 words that differ in one: linked pairs by rule, in blocks that are bounded by sets."""
+    given = [(i, f"this is page number n{i} of the book that we read") for i in range(3000)]
+    given += [(5000 + i, f"this is the book that we read on page number n{i // 2} today") for i in range(1000)]
+    rows = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.join(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    assert rows == {**{i: (i, 0) for i in range(3000)}, **{5000 + i: (5000 + i - i % 2, 1) for i in range(1000)}}
 
 
 def test_signatures_estimate_similarity():
