@@ -37,15 +37,37 @@ def test_recall_on_the_test_table(spark, sf_dir):
     assert all(abs(s - scores[i, j]) < 1e-12 for i, v in got.items() for j, s in v)
 
 
-def test_recall_where_the_walk_is_pruned(spark):
-    """sf0.1 has 2,000 vectors, twice as many as are searched whole."""
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    given = {r["vec_id"]: np.array(r["embedding"], np.float32).astype(float) for r in table.collect()}
-    assert len(given) > ann.LEAST_CANDIDATES * 20
-    exact = brute(given.items(), lambda i: i % 20 == 0, 20)
+def recall(spark, given, monkeypatch):
+    """Share of the true neighbours found, and of the rows that a walk must hold."""
+    quotas = []
+    fitted = ann.fit_quota
+    monkeypatch.setattr(ann, "fit_quota", lambda *a, **k: quotas.append(fitted(*a, **k)) or quotas[-1])
+    table = spark.createDataFrame([(i, v.tolist(), 0, None, None) for i, v in given.items()], SCHEMA)
+    ids, x = np.array(list(given)), np.array(list(given.values()), np.float32).astype(float)
     got = answers(ann.search(table, F.col("vec_id") % 20 == 0))
-    hits = sum(len({j for j, _ in got[i]} & {j for j, _ in exact[i]}) for i in exact)
-    assert hits >= 0.9 * 20 * len(exact)
+    hits = n = 0
+    for i in np.flatnonzero(ids % 20 == 0).tolist():
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len({j for j, _ in got[int(ids[i])]} & set(ids[np.argsort(-s)[:20]].tolist()))
+        n += 20
+    return hits / n, quotas[0] / len(given)
+
+
+def test_recall_on_2000_random_vectors(spark, monkeypatch):
+    """Directions without any structure, the hardest case: sf0.1's table."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found, share = recall(spark, {r["vec_id"]: np.array(r["embedding"]) for r in table.collect()}, monkeypatch)
+    assert found >= 0.9 and share < 0.8
+
+
+def test_recall_on_20000_vectors_of_unequal_norm(spark, monkeypatch):
+    """2,000 neighbourhoods, norms from 0.2 to 5: few cells are walked."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(2000, 32))
+    x = (centres[rng.integers(0, 2000, 20_000)] + 0.2 * rng.normal(size=(20_000, 32))) * np.exp(rng.uniform(-1.6, 1.6, (20_000, 1)))
+    found, share = recall(spark, dict(enumerate(x)), monkeypatch)
+    assert found >= 0.9 and share < 0.3
 
 
 def test_ties_copies_and_unfit_vectors(spark):
@@ -54,9 +76,7 @@ def test_ties_copies_and_unfit_vectors(spark):
     rows = [(i, same.tolist()) for i in range(300)] + [(300 + i, rng.normal(size=8).tolist()) for i in range(100)]
     bad = [(1000, None), (1020, [0.0] * 8), (1040, [math.nan] * 8), (1060, [1.0] * 7 + [math.inf]), (1080, [1.0] * 7 + [None]), (1100, [1.0, 2.0]), (None, same.tolist())]
     df = spark.createDataFrame([(i, v, 0, None, None) for i, v in rows + bad], SCHEMA)
-    index = ann.fit(ann._clean(df).where(F.size("vec") == 8))
-    index.share = 1.0
-    got = answers(ann.search(df, F.col("vec_id") % 20 == 0, rows_per_shard=64, index=index))
+    got = answers(ann.search(df, F.col("vec_id") % 20 == 0, rows_per_shard=64, quota=math.inf))
     exact = brute(rows, lambda i: i % 20 == 0, 20)
     assert {i: [j for j, _ in v] for i, v in got.items()} == {i: [j for j, _ in v] for i, v in exact.items()}
 
