@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panmixia.functions.special import digamma, gammainc, gammaincc, gammaincinv, gammaln, scaled_kummer
+from panmixia.functions.special import digamma, gammaln
 from panmixia.operators import fold
 from panmixia.operators.panel import sample_pairs
 
-# Fixed values of the grid: rows by log10 mean, columns by log10 cv; the field's calibration; the entropy limit's table.
+# Fixed values of the grid: rows by log10 mean, columns by log10 cv; the field's unit; the entropy limit's table.
 M_LO, M_HI, M_N = -5.0, 2.0, 51
 C_LO, C_HI, C_N = -2.0, 0.0, 50
-CALIBRATION = 5.302
+# moves are in units of log10 squared, with the rounding that published fields have
+UNIT = math.log(10) ** 2 / 5.302
 ENTROPY_TOP, ENTROPY_STEP = 4.0, 0.0008
 CACHE_STEPS, FLANK = 1000, 2048
 
@@ -326,102 +327,111 @@ def recommend_core_block_size(n_sites: int, n_pairs: int, free_bytes: int, mean_
 
 
 @dataclass
-class Demography:
-    """Piecewise-constant size in units of 2 Ne_ref: rates 1 / relative size from each start on."""
+class Sizes:
+    """Piecewise-constant population size over time in units of 2 ``ne_ref`` generations: from each start on, a coalescence rate."""
 
     starts: np.ndarray
     rates: np.ndarray
 
     @classmethod
-    def of(cls, ne_values, boundaries, ne_ref: float) -> Demography:
-        starts = np.concatenate([[0.0], np.asarray(boundaries, float)[1 : len(ne_values)] / (2 * ne_ref)])
-        return cls(starts, ne_ref / np.asarray(ne_values, float))
-
-    def intensity(self) -> np.ndarray:
-        """Integrated rate at each start."""
-        return np.concatenate([[0.0], np.cumsum(self.rates[:-1] * np.diff(self.starts))])
-
-    def integrated(self, t: np.ndarray) -> np.ndarray:
-        k = np.clip(np.searchsorted(self.starts, t, side="right") - 1, 0, len(self.rates) - 1)
-        return self.intensity()[k] + self.rates[k] * (t - self.starts[k])
-
-
-def _density(t: np.ndarray, a: float, b: float) -> np.ndarray:
-    return np.exp(np.maximum(a * math.log(b) - math.lgamma(a) + (a - 1) * np.log(t) - b * t, -700.0))
-
-
-def _tilted(t: np.ndarray, a: float, b: float, rate: float, lo: float, hi: float) -> np.ndarray:
-    """Integral of exp(rate s) times the Gamma density over s from lo to min(t, hi); 0 where the tilted rate is negative."""
-    c = b - rate
-    end = np.minimum(t, hi)
-    if abs(c) <= 1e-10:
-        scale = math.exp(a * math.log(b) - math.lgamma(a))
-        return scale * (np.maximum(end, 1e-30) ** a - (max(lo, 1e-30) ** a if lo > 1e-15 else 0.0)) / a
-    if c < 0:
-        return np.zeros_like(t)
-    part = gammainc(a, c * np.maximum(end, 1e-30)) - (gammainc(a, np.array([c * lo]))[0] if lo > 1e-15 else 0.0)
-    return math.exp(min(a * (math.log(b) - math.log(c)), 700.0)) * part
-
-
-def transition_derivative(t: np.ndarray, a: float, b: float, demography: Demography | None = None) -> np.ndarray:
-    """How a Gamma density of coalescence times changes per unit of recombination under the sequential coalescent."""
-    t = np.maximum(t, 1e-15)
-    if demography is None:
-        total = t
-        if b - 1 > 1e-10:
-            plus = np.exp(-t + a * (math.log(b) - math.log(b - 1))) * gammainc(a, (b - 1) * t)
-        else:
-            # the same integral by its confluent series, scaled so that nothing overflows
-            plus = np.exp(-b * t + a * np.log(t * b) - math.lgamma(a + 1)) * scaled_kummer(a, (1 - b) * t)
-        difference = plus - np.exp(-t + a * (math.log(b) - math.log(b + 1))) * gammainc(a, (b + 1) * t)
-    else:
-        total, at = demography.integrated(t), demography.intensity()
-        up, down = np.zeros_like(t), np.zeros_like(t)
-        ends = [*demography.starts[1:], 1e15]
-        for lam, level, lo, hi in zip(demography.rates, at, demography.starts, ends, strict=True):
-            live = t > lo + 1e-15
-            shift = level - lam * lo
-            if shift > -500:
-                up += np.where(live, math.exp(min(shift, 700.0)) * _tilted(t, a, b, lam, lo, hi), 0.0)
-            if -shift > -500:
-                down += np.where(live, math.exp(min(-shift, 700.0)) * _tilted(t, a, b, -lam, lo, hi), 0.0)
-        difference = np.exp(-total) * (up - down)
-    stay = np.exp(-2 * total)
-    return difference + (stay / 2 - 0.5 - total) * _density(t, a, b) + (1 - stay) * gammaincc(a, b * t)
-
-
-def flow_at(mean: float, cv: float, n_steps: int, demography: Demography | None = None) -> tuple[float, float]:
-    """(u, v) at a grid point: the derivative's weighted least-squares fit by the density's own derivatives in its log parameters."""
-    a, b = 1 / cv**2, 1 / (cv**2 * mean)
-    if a < 1e-8 or b < 1e-8 or a > 1e8:
-        return 0.0, 0.0
-    reach = max(gammaincinv(a, 1 - 1e-3) / b, 0.1)
-    first = np.linspace(1e-10, reach, n_steps + 1)
-    t = np.concatenate([first, reach + np.arange(1, n_steps + 1) * (-math.log(1e-3) / max(n_steps - 1, 1))])
-    weight = np.sqrt(np.append(np.diff(t), 0.0))
-    density = _density(t, a, b)
-    by_shape = density * (math.log(b) - float(digamma(a)) + np.log(t)) * a / math.log(10)
-    by_rate = density * (a / b - t) * b / math.log(10)
-    good = density > density.max() * 1e-12
-    # a density that falls between the grid's times is not seen at all
-    if good.sum() < 3 or density.max() < 1e-290:
-        return 0.0, 0.0
-    design = np.column_stack([by_shape, by_rate]) * weight[:, None]
-    target = transition_derivative(t, a, b, demography) * weight
-    shape, rate = np.linalg.lstsq(design[good], target[good], rcond=None)[0]
-    return (shape - rate) / CALIBRATION, -0.5 * shape / CALIBRATION
+    def of(cls, ne_values, boundaries, ne_ref: float) -> Sizes:
+        ne = np.asarray(ne_values, float)
+        return cls(np.append(0.0, np.asarray(boundaries, float)[1 : len(ne)] / (2 * ne_ref)), ne_ref / ne)
 
+    def at(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rate and integrated rate at times; the integral is linear between starts, and beyond the last."""
+        upto = np.append(0.0, np.cumsum(self.rates[:-1] * np.diff(self.starts)))
+        k = np.searchsorted(self.starts, t, side="right") - 1
+        return self.rates[k], upto[k] + self.rates[k] * (t - self.starts[k])
 
-def generate_flow_field(spark: SparkSession, ne_values=None, epoch_boundaries=None, ne_ref: float = 10_000.0, n_steps: int = 500, partitions: int = 32) -> FlowField:
-    """The field of a constant or a piecewise-constant size; grid points are fitted in parallel."""
-    demography = None if ne_values is None else Demography.of(ne_values, epoch_boundaries, ne_ref)
+
+CONSTANT = Sizes(np.zeros(1), np.ones(1))
+
+
+def _collocation(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gauss points of [0, 1], their weights, and the matrix that integrates from 0 to each of them."""
+    x, w = np.polynomial.legendre.leggauss(n)
+    back = np.linalg.inv(np.polynomial.legendre.legvander(x, n - 1))
+    integrals = np.array([np.polynomial.legendre.legint(np.eye(n)[k], lbnd=-1) for k in range(n)])
+    return (x + 1) / 2, w / 2, np.polynomial.legendre.legvander(x, n) @ integrals.T @ back / 2
+
+
+_POINTS, _WEIGHTS, _UPTO = _collocation(16)
+
+
+def _panels(a: float, b: float, n_steps: int, sizes: Sizes) -> np.ndarray:
+    """Edges in log time: as far as a Gamma density exceeds float precision beside its peak, with an edge at each change of rate.
+
+    In log time x the density is exp(a x - b exp(x)), which falls on both sides of x = log(a / b) as
+    a (z + 1 - exp(z)) does in the distance z; the ends are where that is the log of the precision.
+    """
+    lost = math.log(np.finfo(float).eps) / a
+    lo = hi = 0.0
+    for _ in range(60):  # fixed points of z = lost - 1 + exp(z) and of z = log(1 + z - lost)
+        lo, hi = lost - 1 + math.exp(lo), math.log(1 + hi - lost)
+    if lost > -0.1:  # near the peak both converge slowly, and the exponent is a parabola there
+        lo, hi = -math.sqrt(-2 * lost) * 1.1, math.sqrt(-2 * lost) * 1.1
+    centre = math.log(a / b)
+    edges = np.linspace(centre + lo, centre + hi, max(4, n_steps // len(_POINTS)) + 1)
+    change = np.log(sizes.starts[sizes.starts > 0])
+    return np.union1d(edges, change[(change > edges[0]) & (change < edges[-1])])
+
+
+def flow_at(mean: float, cv: float, n_steps: int, sizes: Sizes = CONSTANT) -> tuple[float, float]:
+    """(u, v): how log10 mean and log10 cv of a Gamma density of coalescence times move per unit of recombination.
+
+    Under the sequential coalescent with density f, tail S and integrated rate L, the density changes by
+    D = Y + (1 - exp(-2 L)) S - (L + (1 - exp(-2 L)) / 2) f, where Y collects what has come from
+    earlier times: Y' = (1 - exp(-2 L)) f - rate Y, Y(0) = 0. That equation and S are integrated together
+    by collocation on panels of log time, which is stable for any rate and time, and D is fitted by
+    least squares with the density's own derivatives by the two parameters.
+    """
+    a = cv**-2
+    b = a / mean
+    edges = _panels(a, b, n_steps, sizes)
+    width = np.diff(edges)[:, None]
+    x = edges[:-1, None] + width * _POINTS
+    t = np.exp(x)
+    rate, total = sizes.at(t)
+    rate = rate * t
+    density = np.exp(a * (x + math.log(b)) - b * t - math.lgamma(a))  # in log time
+    moved = -np.expm1(-2 * total)
+    mass = np.concatenate([[0.0], np.cumsum((width * density) @ _WEIGHTS)])
+    tail = 1 - (mass[:-1, None] + (width * density) @ _UPTO.T) / mass[-1]
+    # in each panel Y = start * alone + driven, both by one solution of its collocation equations
+    system = np.eye(len(_POINTS)) + width[:, :, None] * _UPTO * rate[:, None, :]
+    driven, alone = np.moveaxis(np.linalg.solve(system, np.stack([(width * density * moved) @ _UPTO.T, np.ones_like(t)], axis=-1)), -1, 0)
+    gain = ((width * (density * moved - rate * driven)) @ _WEIGHTS, 1 - (width * rate * alone) @ _WEIGHTS)
+    start = np.zeros(len(width))
+    for k in range(1, len(start)):
+        start[k] = gain[0][k - 1] + gain[1][k - 1] * start[k - 1]
+    earlier = start[:, None] * alone + driven
+    f = density / t
+    change = earlier + moved * tail - (total + moved / 2) * f
+    by_rate = f * (a - b * t)
+    by_shape = f * a * (x + math.log(b) - float(digamma(a)))
+    # the mean alone moves the rate against it; the cv moves both, twice against it
+    design = np.stack([-by_rate, -2 * (by_shape + by_rate)], axis=-1).reshape(-1, 2) * math.log(10)
+    weight = np.sqrt(width * _WEIGHTS * t).ravel()
+    scale = np.abs(design * weight[:, None]).max(axis=0)
+    u, v = np.linalg.lstsq(design * weight[:, None] / scale, change.ravel() * weight, rcond=None)[0] / scale
+    return float(u) * UNIT, float(v) * UNIT
+
+
+def flow_grid(ids, n_steps: int, sizes: Sizes = CONSTANT) -> list[tuple[float, float]]:
+    """The field at grid points, numbered by rows."""
     means, cvs = np.logspace(M_LO, M_HI, M_N), np.logspace(C_LO, C_HI, C_N)
+    return [flow_at(float(means[k // C_N]), float(cvs[k % C_N]), n_steps, sizes) for k in ids]
+
+
+def generate_flow_field(spark: SparkSession, ne_values=None, epoch_boundaries=None, ne_ref: float = 10_000.0, n_steps: int = 500, partitions: int = 32) -> FlowField:
+    """The field of a constant or a piecewise-constant size, on about ``n_steps`` times a grid point; points are fitted in parallel."""
+    sizes = CONSTANT if ne_values is None else Sizes.of(ne_values, epoch_boundaries, ne_ref)
 
     def fit(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            uv = [flow_at(means[k // C_N], cvs[k % C_N], n_steps, demography) for k in ids.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[0] for x in uv]), pa.array([x[1] for x in uv])], names=["id", "u", "v"])
+            uv = np.array(flow_grid(batch.column("id").to_pylist(), n_steps, sizes)).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["id", "u", "v"])
 
     rows = spark.range(0, M_N * C_N, 1, partitions).mapInArrow(fit, "id long, u double, v double").collect()
     rows.sort(key=lambda r: r["id"])

@@ -292,9 +292,37 @@ def test_summary_and_merge(haps, field):
 
 
 def test_constant_demography_gives_the_constant_field():
-    d = flow.Demography.of([NE] * 3, [0, 1e4, 5e4, 1e6], NE)
-    for mean, cv in ((0.01, 0.3), (1.0, 0.5), (0.5, 0.9)):
-        assert np.allclose(flow.flow_at(mean, cv, 300), flow.flow_at(mean, cv, 300, d), rtol=1e-6)
+    d = flow.Sizes.of([NE] * 3, [0, 1e4, 5e4, 1e6], NE)
+    for mean, cv in ((0.01, 0.3), (1.0, 0.5), (0.5, 0.9), (1e-5, 0.01), (100.0, 1.0)):
+        assert np.allclose(flow.flow_at(mean, cv, 500), flow.flow_at(mean, cv, 500, d), rtol=1e-7)
+        assert np.allclose(flow.flow_at(mean, cv, 500), flow.flow_at(mean, cv, 1000), rtol=1e-5)
+
+
+@pytest.mark.parametrize("rates", [[1.0], [0.5, 10.0, 0.2], [0.01, 30.0, 5.0]])
+def test_flow_against_sums_over_a_fine_grid(rates):
+    """The definition by running sums over half a million times; rates above b would tilt the density's integral the other way."""
+    sizes = flow.Sizes(np.array([0.0, 0.25, 1.0])[: len(rates)], np.array(rates))
+    for mean, cv in ((0.5, 0.5), (1.0, 0.9), (0.2, 0.2)):
+        a = cv**-2
+        b = a / mean
+        t = np.linspace(0, mean * (1 + 25 * cv), 500_001)[1:]
+        step = t[0]
+        f = np.exp(a * math.log(b) - math.lgamma(a) + (a - 1) * np.log(t) - b * t)
+        edges = np.append(sizes.starts[1:], np.inf)
+        total = sum(r * (np.clip(t, lo, hi) - lo) for r, lo, hi in zip(sizes.rates, sizes.starts, edges, strict=True))
+        # what has come from earlier times, in stretches short enough for the exponential
+        earlier, level = np.zeros_like(t), 0.0
+        for k in range(0, len(t), 1000):
+            own = slice(k, k + 1000)
+            lift = total[own] - total[k]
+            got = (f * -np.expm1(-2 * total))[own] * np.exp(lift) * step
+            earlier[own] = np.exp(-lift) * (level * np.exp(-(total[k] - (total[k - 1] if k else 0.0))) + np.cumsum(got) - got / 2)
+            level = earlier[own][-1] + got[-1] / 2 * np.exp(-lift[-1])
+        moved = -np.expm1(-2 * total)
+        change = earlier + moved * (1 - (np.cumsum(f) - f / 2) * step) - (total + moved / 2) * f
+        rate, shape = f * (a - b * t), f * a * (np.log(b * t) - float(special.digamma(a)))
+        u, v = np.linalg.lstsq(np.column_stack([-rate, -2 * (shape + rate)]) * math.log(10), change, rcond=None)[0] * math.log(10) ** 2 / 5.302
+        assert np.allclose(flow.flow_at(mean, cv, 500, sizes), (u, v), rtol=2e-3, atol=1e-5)
 
 
 def test_recommended_blocks():
