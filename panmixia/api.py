@@ -82,8 +82,8 @@ class CoalescenceEstimator:
         return diversity.site_pi(self.panel)
 
     def pairs(self, n: int = 100) -> DataFrame:
-        """All pairs, or a seeded sample of them."""
-        return p.sample_pairs(p.pairs(self.packed.select("hap_id"), ordered="i>j"), n)
+        """Seeded draws of pairs, or all if there are no more."""
+        return p.draw_pairs(self.packed, n)
 
     def _xor(self, pairs: DataFrame | None, n: int = 100) -> DataFrame:
         return p.explicit_pairs(self.pairs(n) if pairs is None else pairs, self.packed)
@@ -98,7 +98,6 @@ class CoalescenceEstimator:
         """One pass of the model; re-estimation and trees are operators of their own."""
         model = {"k": n_time_bins, "ne": self.ne, "mu": self.mu, "rho": self.rho, "t_max": t_max}
         rows = self._xor(pairs)
-        summary = hmm.hmm_posterior_batched(rows, self.positions, **model)
-        return summary.join(hmm.hmm_log_likelihood(rows, self.positions, **model), ["i", "j"])
+        return hmm.hmm_posterior_batched(rows, self.positions, loglik=True, **model)
 
 

@@ -88,7 +88,8 @@ class Model:
         return {"mean": gamma @ self.t, "lower": self.t[lo], "upper": self.t[hi]}
 
     def summary_kernel(self, x, pos):
-        return self.summaries(self.passes(x, pos)[0])
+        gamma, ll = self.passes(x, pos)
+        return self.summaries(gamma) | {"loglik": np.repeat(ll[:, None], x.shape[1], axis=1)}
 
 
 def hmm_log_likelihood(pairs_xor: DataFrame, positions: list[float], keep: tuple[str, ...] = (), **model) -> DataFrame:
@@ -104,9 +105,9 @@ def hmm_posterior(pairs_xor: DataFrame, positions: list[float], **model) -> Data
     return rows.select("i", "j", "site_idx", F.posexplode(F.array(*bins)).alias("k", "p"))
 
 
-def hmm_posterior_batched(pairs_xor: DataFrame, positions: list[float], keep: tuple[str, ...] = (), **model) -> DataFrame:
-    """i, j, site_idx, pos, mean, lower, upper."""
-    return fold.per_site(pairs_xor, positions, Model(**model).summary_kernel, ("mean", "lower", "upper"), keep)
+def hmm_posterior_batched(pairs_xor: DataFrame, positions: list[float], keep: tuple[str, ...] = (), loglik: bool = False, **model) -> DataFrame:
+    """i, j, site_idx, pos, mean, lower, upper, and the pair's log-likelihood if asked: all from one pass."""
+    return fold.per_site(pairs_xor, positions, Model(**model).summary_kernel, ("mean", "lower", "upper", *(["loglik"] * loglik)), keep)
 
 
 def expected_bins(pairs_xor: DataFrame, positions: list[float], model: Model) -> tuple[np.ndarray, float, int]:

@@ -7,7 +7,10 @@ pair's sites are then one row, and nothing is shuffled by pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panmixia.functions.columns import let
@@ -86,19 +89,20 @@ def pairs(haps: DataFrame, *within: str, ordered: str = "i>j") -> DataFrame:
     return a.join(b, on).select(F.col(f"{i}.hap_id").alias("i"), F.col(f"{j}.hap_id").alias("j"), *[F.col(f"a.{c}").alias(c) for c in within])
 
 
-def pair_words(packed: DataFrame, *within: str, blocks: int = 8) -> DataFrame:
+def pair_words(packed: DataFrame, *within: str, blocks: int | None = None) -> DataFrame:
     """i, j, xor: packed differences of all pairs within groups, by one join of packed rows.
 
-    Groups are few and large, so one side is copied to ``blocks`` parts and the other dealt to them:
-    the pairs of a group are then made by ``blocks`` tasks instead of one. Haplotypes, not their pairs,
-    are dealt out to all cores beforehand, whichever side a small join then broadcasts: what follows a
-    pair costs much more than its words.
+    Groups are few and large, so haplotypes lie in blocks, and a cell of the grid of two blocks is a join
+    key: a group's pairs are made by ``blocks`` squared tasks, for which a row is copied ``blocks`` times
+    on either side. Their number follows the cores. Rows are dealt to all cores beforehand, whichever
+    side a small join then broadcasts: what follows a pair costs much more than its words.
     """
     cores = packed.sparkSession.sparkContext.defaultParallelism
-    part = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = packed.withColumn("__part", part).repartition(2 * cores, "hap_id", "__part").alias("a")
-    b = packed.withColumn("__part", (F.col("hap_id") % blocks).cast("int")).repartition(2 * cores, "hap_id").alias("b")
-    on = (F.col("a.__part") == F.col("b.__part")) & (F.col("a.hap_id") > F.col("b.hap_id"))
+    n = blocks or max(4, math.ceil(math.sqrt(2 * cores)))
+    own, each = F.pmod("hap_id", F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = packed.withColumn("__a", own).withColumn("__b", each).repartition(2 * cores, "hap_id", "__b").alias("a")
+    b = packed.withColumn("__b", own).withColumn("__a", each).repartition(2 * cores, "hap_id", "__a").alias("b")
+    on = (F.col("a.__a") == F.col("b.__a")) & (F.col("a.__b") == F.col("b.__b")) & (F.col("a.hap_id") > F.col("b.hap_id"))
     for c in within:
         on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     return a.join(b, on).select(F.col("a.hap_id").alias("i"), F.col("b.hap_id").alias("j"), *[F.col(f"a.{c}").alias(c) for c in within], F.zip_with("a.words", "b.words", lambda x, y: x.bitwiseXOR(y)).alias("xor"), F.col("a.n_sites").alias("n_sites"))
@@ -164,8 +168,6 @@ def prefix_scan(pairs_xor: DataFrame) -> DataFrame:
 
 def sample_pairs(pair_rows: DataFrame, n: int, *by: str, seed: int = 42) -> DataFrame:
     """``n`` pairs (of each group) without replacement: those of the smallest hash of (i, j, seed), so reruns agree."""
-    from pyspark.sql import Window
-
     key = F.md5(F.concat_ws(":", "i", "j", F.lit(str(seed))))
     if not by:
         return pair_rows.orderBy(key, "i", "j").limit(n)
@@ -173,6 +175,28 @@ def sample_pairs(pair_rows: DataFrame, n: int, *by: str, seed: int = 42) -> Data
     return pair_rows.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
+def numbered_pairs(haps: DataFrame, numbers: list[int]) -> DataFrame:
+    """The pairs (i, j), i > j, of these numbers: haplotypes in order, each with those before it. No other pair is made."""
+    spark = haps.sparkSession
+    rows = [(i, x - i * (i - 1) // 2) for x in numbers for i in [(1 + math.isqrt(8 * x + 1)) // 2]]
+    ranks = haps.select("hap_id", (F.row_number().over(Window.orderBy("hap_id")) - 1).alias("rank"))  # a number per haplotype
+    wanted = spark.createDataFrame(rows, "__i long, __j long")
+    first = ranks.join(F.broadcast(wanted), F.col("rank") == F.col("__i")).select(F.col("hap_id").alias("i"), "__j")
+    return ranks.join(F.broadcast(first), F.col("rank") == F.col("__j")).select("i", F.col("hap_id").alias("j"))
+
+
+def draw_pairs(haps: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` different pairs of a panel, drawn by number: the work follows n and the haplotypes, not their pairs."""
+    count = haps.count()
+    total = count * (count - 1) // 2
+    drawn: dict[int, None] = dict.fromkeys(range(total)) if n >= total else {}
+    draw = 0
+    while len(drawn) < min(n, total):
+        drawn[int(hashlib.md5(f"{seed}:{draw}".encode()).hexdigest()[:15], 16) % total] = None
+        draw += 1
+    return numbered_pairs(haps, list(drawn))
+
+
 def split_pairs(pair_rows: DataFrame, chunk: int) -> DataFrame:
     """Chunks of ``chunk`` pairs along the linear index, which numbers all pairs of a panel without gaps."""
     from panmixia.functions.columns import pair_index

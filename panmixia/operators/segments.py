@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from panmixia.operators import fold
 
 CHUNK = 512
+#: Rounding makes equal costs differ by less.
+TIE = 1e-9
 
 
 def _cost(n: np.ndarray, length: np.ndarray, mu: float) -> np.ndarray:
@@ -22,8 +24,9 @@ def _cost(n: np.ndarray, length: np.ndarray, mu: float) -> np.ndarray:
 def changepoints(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) -> list[list[int]]:
     """Segment borders, from 0 to the last site, for each row of prefix counts.
 
-    All pairs go through the sites together. Ties go to the earliest start; a start is pruned for a pair
-    once its cost without the penalty exceeds the best, and leaves the table when no pair needs it.
+    All pairs go through the sites together. Costs within TIE of the least are ties, which the earliest
+    start wins; a start is pruned for a pair once its cost without the penalty exceeds the best by more,
+    and leaves the table when no pair needs it.
     """
     pairs, sites = prefix.shape
     best, origin = np.zeros((pairs, sites)), np.zeros((pairs, sites), int)
@@ -31,9 +34,9 @@ def changepoints(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float)
     for s in range(1, sites):
         costs = best[:, starts] + _cost(prefix[:, [s]] - prefix[:, starts], pos[s] - pos[starts][None, :], mu)
         open_ = np.where(alive, costs, np.inf)
-        k = open_.argmin(axis=1)
+        k = (open_ <= open_.min(axis=1, keepdims=True) + TIE).argmax(axis=1)
         best[:, s], origin[:, s] = open_[np.arange(pairs), k] + penalty, starts[k]
-        alive = np.column_stack([alive & (costs <= best[:, [s]]), np.ones(pairs, bool)])
+        alive = np.column_stack([alive & (costs <= best[:, [s]] + TIE), np.ones(pairs, bool)])
         starts = np.append(starts, s)
         used = alive.any(axis=0)
         starts, alive = starts[used], alive[:, used]
@@ -59,11 +62,11 @@ def pelt_changepoint(pairs_xor: DataFrame, positions: list[float], mu: float, pe
         prefix = np.cumsum(x, axis=1, dtype=np.int64)
         # a few pairs at once, so that the tables of starts stay in cache
         paths = [path for at in range(0, len(prefix), CHUNK) for path in changepoints(prefix[at : at + CHUNK], pos, mu, level)]
-        return {"borders": paths, "counts": [np.diff(p[path]).tolist() for p, path in zip(prefix, paths, strict=True)]}
+        lengths = [np.diff(pos[path]).tolist() for path in paths]
+        return {"borders": paths, "counts": [np.diff(p[path]).tolist() for p, path in zip(prefix, paths, strict=True)], "lengths": lengths}
 
-    rows = fold.per_pair(pairs_xor, positions, kernel, ("borders:array<int>", "counts:array<long>"))
-    parts = rows.select("i", "j", "borders", F.posexplode("counts").alias("seg_no", "n_mut"))
-    parts = parts.select("i", "j", "seg_no", F.get("borders", F.col("seg_no")).alias("start_idx"), F.get("borders", F.col("seg_no") + 1).alias("end_idx"), "n_mut")
-    pos = F.array(*[F.lit(float(p)) for p in positions])
-    length = F.get(pos, F.col("end_idx")) - F.get(pos, F.col("start_idx"))
-    return parts.withColumn("tmrca", F.when((F.col("n_mut") > 0) & (length > 0), F.col("n_mut") / (2 * mu * length)).otherwise(0.0))
+    rows = fold.per_pair(pairs_xor, positions, kernel, ("borders:array<int>", "counts:array<long>", "lengths:array<double>"))
+    parts = rows.select("i", "j", "borders", "lengths", F.posexplode("counts").alias("seg_no", "n_mut"))
+    parts = parts.select("i", "j", "seg_no", F.get("borders", F.col("seg_no")).alias("start_idx"), F.get("borders", F.col("seg_no") + 1).alias("end_idx"), "n_mut", F.get("lengths", F.col("seg_no")).alias("length"))
+    length = F.col("length")
+    return parts.withColumn("tmrca", F.when((F.col("n_mut") > 0) & (length > 0), F.col("n_mut") / (2 * mu * length)).otherwise(0.0)).drop("length")

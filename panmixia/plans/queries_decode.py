@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panmixia import api
 from panmixia.operators import flow, gamma_filter, hmm, panel, segments, ultrametric
 from panmixia.plans import bindings as b
+from panmixia.plans import decoder_sql as sql
 from panmixia.plans.registry import query
 
 MU, RHO, NE = 1.25e-8, 1e-8, 10_000.0
@@ -20,6 +21,11 @@ _FWD = b.PHASES_SQL.replace("WITH panel", "WITH RECURSIVE panel", 1) + """, dd A
   """ + _STEP.format(a="a2 + d", b="b2 + 2 * 1.25e-8::DOUBLE * 1000.0", more="", src="SELECT f.i, f.j, dd.s, dd.d, f.a, f.b FROM f JOIN dd ON dd.i = f.i AND dd.j = f.j AND dd.s = f.s + 1") + ")"
 _BWD = """, r AS (SELECT i, j, s, 1.0::DOUBLE AS a, 1 / 20000.0::DOUBLE AS b FROM dd WHERE s = 63 UNION ALL
   """ + _STEP.format(a="a2", b="b2", more="", src="SELECT r.i, r.j, dd.s - 1 AS s, r.a + dd.d AS a, r.b + 2 * 1.25e-8::DOUBLE * 1000.0 AS b FROM r JOIN dd ON dd.i = r.i AND dd.j = r.j AND dd.s = r.s WHERE dd.s > 0") + ")"
+_SUMMARIES = " SELECT i, j, s AS site_idx, 1000.0::DOUBLE * (s + 1) AS pos, round(mean, 2) AS mean, round(lower, 2) AS lower, round(upper, 2) AS upper FROM told"
+_POS = "1000.0::DOUBLE * (s + 1) AS pos"
+_LIMITS = "round(greatest(mean * pow(greatest(1 - w - 1.96 * sqrt(w), 0), 3), 0), 2) AS lower, round(mean * pow(1 - w + 1.96 * sqrt(w), 3), 2) AS upper"
+_THETA = """rates AS (SELECT 40000.0::DOUBLE * (pi / 40000.0) AS mu, 40000.0::DOUBLE * (pi * (1e-8::DOUBLE / 1.25e-8::DOUBLE) / 40000.0) AS rho FROM (SELECT avg(h) / 64001.0 AS pi FROM (
+  SELECT ind, sum(het) AS h FROM (SELECT hap_id // 2 AS ind, site_idx, (max(allele) <> min(allele))::INT AS het FROM panel GROUP BY 1, 2) GROUP BY 1)))"""
 _CI = "round(m * pow(greatest(1 - 1 / (9 * a) - 1.96 * sqrt(1 / (9 * a)), 0), 3), 2) AS lower, round(m * pow(1 - 1 / (9 * a) + 1.96 * sqrt(1 / (9 * a)), 3), 2) AS upper"
 
 
@@ -84,15 +90,7 @@ def within_population_landscape(spark, sf_dir):
     return _rounded(gamma_filter.gamma_filter_site_summary(within_pop(spark, sf_dir), b.positions(), NE, MU, RHO), "site_mean", "site_min", "site_max")
 
 
-_HMM = b.PHASES_SQL.replace("WITH panel", "WITH RECURSIVE panel", 1) + """, dd AS MATERIALIZED (SELECT i, j, site_idx AS s, d FROM diffs),
-e AS (SELECT k, 100000.0::DOUBLE * (k / 32.0) * (k / 32.0) AS lo, 100000.0::DOUBLE * ((k + 1) / 32.0) * ((k + 1) / 32.0) AS hi FROM (SELECT unnest(range(32)) AS k)),
-g AS MATERIALIZED (SELECT list((lo + hi) / 2 ORDER BY k) AS t, list((exp(-lo / 20000) - exp(-hi / 20000)) / (1 - exp(-5.0::DOUBLE)) ORDER BY k) AS q,
-  list(exp(-1e-5::DOUBLE * (lo + hi) / 2) ORDER BY k) AS stay, list(exp(-2.5e-8::DOUBLE * (lo + hi) / 2) ORDER BY k) AS same, list(exp(-2.5e-8::DOUBLE * (lo + hi) / 2 * 999.0) ORDER BY k) AS gap FROM e),
-h AS (SELECT i, j, s, list_transform(raw, lambda x: x / list_sum(raw)) AS a, ln(list_sum(raw)) AS ll FROM (
-    SELECT i, j, s, list_transform(range(1, 33), lambda k: g.q[k] * CASE WHEN d = 1 THEN 1 - g.same[k] ELSE g.same[k] END) AS raw FROM dd, g WHERE s = 0)
-  UNION ALL SELECT i, j, s, list_transform(raw, lambda x: x / list_sum(raw)), ll + ln(list_sum(raw)) FROM (
-    SELECT i, j, s, ll, list_transform(range(1, 33), lambda k: (stay[k] * a[k] + q[k] * moved) * gap[k] * CASE WHEN d = 1 THEN 1 - same[k] ELSE same[k] END) AS raw FROM (
-      SELECT h.i, h.j, dd.s, dd.d, h.a, h.ll, g.*, list_sum(list_transform(range(1, 33), lambda l: (1 - g.stay[l]) * h.a[l])) AS moved FROM h JOIN dd ON dd.i = h.i AND dd.j = h.j AND dd.s = h.s + 1, g)))"""
+_HMM = sql.hmm(b.PHASES_SQL)
 
 
 @query(_HMM + " SELECT i, j, round(ll, 6) AS loglik FROM h WHERE s = 63")
@@ -100,26 +98,26 @@ def hmm_log_likelihood(spark, sf_dir):
     return _rounded(hmm.hmm_log_likelihood(phases(spark, sf_dir), b.positions()), "loglik", digits=6)
 
 
-@query()
+@query(_HMM + " SELECT i, j, s AS site_idx, (u.k - 1)::INT AS k, round(p[u.k], 6) AS p FROM post, (SELECT unnest(range(1, 33)) AS k) u")
 def hmm_posterior(spark, sf_dir):
-    return _rounded(hmm.hmm_posterior(phases(spark, sf_dir), b.positions()), "p", digits=8)
+    return _rounded(hmm.hmm_posterior(phases(spark, sf_dir), b.positions()), "p", digits=6)
 
 
-@query()
+@query(_HMM + _SUMMARIES)
 def hmm_posterior_batched(spark, sf_dir):
-    return _rounded(hmm.hmm_posterior_batched(phases(spark, sf_dir), b.positions()), "mean", "lower", "upper", digits=4)
+    return _rounded(hmm.hmm_posterior_batched(phases(spark, sf_dir), b.positions()), "mean", "lower", "upper", digits=2)
 
 
-@query()
+@query(sql.hmm(b.PHASES_SQL, 64) + _SUMMARIES)
 def hmm_posterior_batched_64(spark, sf_dir):
-    return _rounded(hmm.hmm_posterior_batched(phases(spark, sf_dir), b.positions(), k=64), "mean", "lower", "upper", digits=4)
+    return _rounded(hmm.hmm_posterior_batched(phases(spark, sf_dir), b.positions(), k=64), "mean", "lower", "upper", digits=2)
 
 
-@query()
+@query(sql.hmm(sql.SAMPLE_SQL) + " SELECT told.i, told.j, told.s AS site_idx, 1000.0::DOUBLE * (told.s + 1) AS pos, round(mean, 2) AS mean, round(lower, 2) AS lower, round(upper, 2) AS upper, round(e.ll, 2) AS loglik FROM told JOIN (SELECT i, j, ll FROM h WHERE s = 63) e ON e.i = told.i AND e.j = told.j")
 def infer_tmrca(spark, sf_dir):
     """The estimator's default: a hundred sampled pairs of the panel."""
     r = api.CoalescenceEstimator(b.panel(spark, sf_dir)).infer_tmrca()
-    return _rounded(r, "mean", "lower", "upper", "loglik", digits=4)
+    return _rounded(r, "mean", "lower", "upper", "loglik", digits=2)
 
 
 @query()
@@ -128,7 +126,7 @@ def adaptive_prior_infer(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(q), 9), len(history), bool(converged)) for k, q in enumerate(prior)], "k int, q double, n_iterations int, converged boolean")
 
 
-@query()
+@query(sql.pelt(b.PAIRS_SQL))
 def pelt_changepoint(spark, sf_dir):
     return _rounded(segments.pelt_changepoint(within_pop(spark, sf_dir), b.positions(), MU), "tmrca", digits=4)
 
@@ -160,46 +158,46 @@ def generate_flow_field(spark, sf_dir):
     return spark.createDataFrame([(r, c, round(float(f.u[r, c]), 8), round(float(f.v[r, c]), 8)) for r in range(flow.M_N) for c in range(flow.C_N)], "r int, c int, u double, v double")
 
 
-@query()
+@query(lambda: sql.cached(b.PHASES_SQL) + f" SELECT i, j, s AS site_idx, {_POS}, round(mean, 2) AS mean, {_LIMITS}, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM z")
 def flow_cached_fb(spark, sf_dir):
-    return _rounded(_context(spark).run_fb(phases(spark, sf_dir), mean_only=False, return_posterior=True), "mean", "lower", "upper", "alpha", "beta", digits=4)
+    return _rounded(_context(spark).run_fb(phases(spark, sf_dir), mean_only=False, return_posterior=True), "mean", "lower", "upper").withColumns({c: F.round(c, 6) for c in ("alpha", "beta")})
 
 
-@query()
+@query(lambda: sql.iterative(b.PHASES_SQL) + f" SELECT i, j, s AS site_idx, {_POS}, round(mean, 2) AS mean, {_LIMITS} FROM z")
 def flow_iterative_fb(spark, sf_dir):
-    return _rounded(_context(spark).run_fb_iterative(phases(spark, sf_dir)), "mean", "lower", "upper", digits=4)
+    return _rounded(_context(spark).run_fb_iterative(phases(spark, sf_dir)), "mean", "lower", "upper", digits=2)
 
 
-@query()
+@query(lambda: sql.cached(b.PHASES_SQL, False) + f" SELECT i, j, s AS site_idx, {_POS}, round(pow(10.0::DOUBLE, m) * 20000.0, 2) AS mean FROM f")
 def flow_cached_fwd(spark, sf_dir):
-    return _rounded(_context(spark).run_fwd(phases(spark, sf_dir)), "mean", digits=4)
+    return _rounded(_context(spark).run_fwd(phases(spark, sf_dir)), "mean", digits=2)
 
 
-@query()
+@query(lambda: sql.cached(b.PHASES_SQL, False) + f" SELECT i, j, s AS site_idx, {_POS}, round(m, 6) AS mean_log10, round(c, 6) AS cv_log10 FROM f")
 def flow_fwd_states(spark, sf_dir):
     return _rounded(_context(spark).run_fwd_states(phases(spark, sf_dir)), "mean_log10", "cv_log10", digits=6)
 
 
-@query()
+@query(lambda: sql.cached(b.PAIRS_SQL) + " SELECT s AS site_idx, round(avg(mean), 2) AS site_mean, round(min(mean), 2) AS site_min, round(max(mean), 2) AS site_max, count(*) AS n_pairs FROM z GROUP BY 1")
 def flow_fb_summary(spark, sf_dir):
-    return _rounded(_context(spark).run_fb_summary(within_pop(spark, sf_dir)), "site_mean", "site_min", "site_max", digits=4)
+    return _rounded(_context(spark).run_fb_summary(within_pop(spark, sf_dir)), "site_mean", "site_min", "site_max", digits=2)
 
 
-@query()
+@query(lambda: sql.blockwise(b.PHASES_SQL, 24, 16) + f" SELECT i, j, n::INT AS block_id, s AS site_idx, {_POS}, round(mean, 2) AS mean FROM z")
 def flow_fb_blockwise(spark, sf_dir):
-    return _rounded(_context(spark).run_fb_blockwise(phases(spark, sf_dir), core_block_sites=24, flank_sites=16), "mean", digits=4)
+    return _rounded(_context(spark).run_fb_blockwise(phases(spark, sf_dir), core_block_sites=24, flank_sites=16), "mean", digits=2)
 
 
-@query()
+@query(lambda: sql.cached(b.PAIRS_SQL, rates=_THETA) + f" SELECT i, j, s AS site_idx, {_POS}, round(mean, 2) AS mean FROM z")
 def infer(spark, sf_dir):
     """Segregating sites, rates from the panel, all pairs within populations."""
-    return _rounded(api.infer(b.panel(spark, sf_dir), within=("pop",)), "mean", digits=4)
+    return _rounded(api.infer(b.panel(spark, sf_dir), within=("pop",)), "mean", digits=2)
 
 
-@query()
+@query(lambda: sql.blockwise(b.PHASES_SQL, 32, 16, rates=_THETA) + f" SELECT i, j, n::INT AS block_id, s AS site_idx, {_POS}, round(mean, 2) AS mean FROM z")
 def infer_blockwise(spark, sf_dir):
     pairs = phases(spark, sf_dir).select("i", "j")
-    return _rounded(api.infer_blockwise(b.panel(spark, sf_dir), pairs, core_block_sites=32, flank_sites=16), "mean", digits=4)
+    return _rounded(api.infer_blockwise(b.panel(spark, sf_dir), pairs, core_block_sites=32, flank_sites=16), "mean", digits=2)
 
 
 @query("""WITH v AS (SELECT l_extendedprice AS x FROM lineitem), e AS (SELECT k, 100000.0::DOUBLE * (k / 20.0::DOUBLE) * (k / 20.0::DOUBLE) AS lo, 100000.0::DOUBLE * ((k + 1) / 20.0::DOUBLE) * ((k + 1) / 20.0::DOUBLE) AS hi FROM (SELECT unnest(range(20)) AS k)),

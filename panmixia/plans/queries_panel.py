@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panmixia.functions.columns import pair_index, pair_members
 from panmixia.operators import diversity, panel
 from panmixia.plans import bindings as b
+from panmixia.plans.decoder_sql import SAMPLE_SQL
 from panmixia.plans.registry import query
 
 MU, RHO, NE = 1.25e-8, 1e-8, 10_000.0
@@ -97,10 +98,9 @@ def split_pairs(spark, sf_dir):
     return panel.split_pairs(panel.pairs(b.wide(spark, sf_dir), "pop").select("i", "j"), 1000)
 
 
-@query("""SELECT i, j FROM (SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id > b.vec_id)
-  ORDER BY md5(i || ':' || j || ':42'), i, j LIMIT 100""")
+@query(SAMPLE_SQL + " SELECT i, j FROM pairs")
 def default_pairs(spark, sf_dir):
-    return panel.sample_pairs(panel.pairs(b.wide(spark, sf_dir).select("hap_id")), 100)
+    return panel.draw_pairs(b.wide(spark, sf_dir), 100)
 
 
 @query("""SELECT pop, i, j FROM (SELECT a.label AS pop, a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id > b.vec_id AND a.label = b.label)
@@ -129,8 +129,7 @@ def site_pi_exact(spark, sf_dir):
   SELECT x.site_idx, round(avg((x.allele <> y.allele)::INT), 9) AS pi FROM firsts p JOIN panel x ON x.hap_id = p.i JOIN panel y ON y.hap_id = p.j AND y.site_idx = x.site_idx GROUP BY 1""")
 def site_pi_sampled(spark, sf_dir):
     haps = packed(spark, sf_dir)
-    firsts = panel.pairs(haps.select("hap_id")).orderBy(pair_index(F.col("i"), F.col("j"))).limit(1000)
-    return diversity.sampled_site_pi(panel.explicit_pairs(firsts, haps)).select("site_idx", F.round("pi", 9).alias("pi"))
+    return diversity.sampled_site_pi(panel.explicit_pairs(panel.numbered_pairs(haps, list(range(1000))), haps)).select("site_idx", F.round("pi", 9).alias("pi"))
 
 
 @query(b.PAIRS_SQL + " SELECT i, j, site_idx, (sum(d) OVER (PARTITION BY i, j ORDER BY site_idx ROWS BETWEEN 4 PRECEDING AND 5 FOLLOWING))::BIGINT AS n_diff FROM diffs")
