@@ -20,11 +20,16 @@ END = b""
 #: Words of at least this share of the training tokens are modelled one by one; there are at most 1 / HEAD_SHARE.
 HEAD_SHARE = 2e-6
 LEAST_COUNT = 3
-CLASSES, CLUSTERS, SUFFIXES, CONTEXTS = 64, 8, 8, 32
+CLASSES, CLUSTERS, CONTEXTS = 64, 8, 32
+#: A class's words have so many hashes as contexts; a word has one of up to 2^SLOT_BITS hashes as what follows.
+HASHES, SLOT_BITS = 32, 13
+BUCKETS = CLASSES * HASHES
 #: The last class holds all words outside the head, unseen ones included.
 TAIL = CLASSES - 1
-CELLS = CLASSES * SUFFIXES * CLASSES
+CELLS = BUCKETS * CLASSES
 CHUNK = 200_000
+#: Counts that a weight must outweigh.
+RIDGE = 1.0
 
 
 def tokens(text: str) -> list[bytes]:
@@ -32,8 +37,8 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def suffix(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % SUFFIXES
+def hashed(word: bytes, n: int) -> int:
+    return zlib.crc32(word) % n
 
 
 @trimmed
@@ -55,16 +60,25 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Head:
-    """The frequent words: counts, suffix buckets, and, once induced, clusters and classes."""
+    """The frequent words: counts, hashes, and, once induced, classes.
+
+    A word before is known by its class and a hash of the word itself; one outside by that of its ending.
+    """
 
     words: list[bytes]
     counts: np.ndarray
-    cluster: np.ndarray | None = None
     word_class: np.ndarray | None = None
 
     def __post_init__(self):
         self.id = {w: i for i, w in enumerate(self.words)}
-        self.suffix = np.array([suffix(w) for w in self.words], np.int32)
+        self.hash = np.array([hashed(w, HASHES) for w in self.words], np.int32)
+        self.slots = 1 << min(SLOT_BITS, max(8, len(self.words).bit_length() - 1))
+        self.slot = np.array([hashed(w + b"\0", self.slots) for w in self.words], np.int32)
+
+    def base(self) -> np.ndarray:
+        """log P(word | class) by counts alone."""
+        mass = np.bincount(self.word_class, weights=self.counts + 0.5, minlength=CLASSES)
+        return np.log((self.counts + 0.5) / mass[self.word_class])
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Numbers of words, -1 for those outside."""
@@ -88,13 +102,13 @@ def _documents(texts: list[str]) -> Iterator[tuple[list[bytes], list[int]]]:
 
 @dataclass
 class Stream:
-    """A run of documents as arrays: word numbers, and each token's context."""
+    """A run of documents as arrays: word numbers and classes, and each token's contexts."""
 
     ids: np.ndarray
     starts: np.ndarray
     classes: np.ndarray
-    cell: np.ndarray
     before: np.ndarray
+    cell: np.ndarray
 
 
 def stream(head: Head, words: list[bytes], sizes: list[int]) -> Stream:
@@ -103,9 +117,8 @@ def stream(head: Head, words: list[bytes], sizes: list[int]) -> Stream:
     starts = np.cumsum([0, *sizes[:-1]])
     outside = np.flatnonzero(ids < 0)
     classes = np.where(ids < 0, TAIL, head.word_class[ids])
-    suffixes = head.suffix[ids]
-    suffixes[outside] = [suffix(words[i]) for i in outside.tolist()]
-    cluster = np.where(ids < 0, CLUSTERS, head.cluster[ids])
+    hashes = head.hash[ids]
+    hashes[outside] = [hashed(words[i][-2:], HASHES) for i in outside.tolist()]
     end = head.id[END]
 
     def shifted(a: np.ndarray, first: int, by: int) -> np.ndarray:
@@ -116,10 +129,10 @@ def stream(head: Head, words: list[bytes], sizes: list[int]) -> Stream:
             out[at[at < len(out)]] = first
         return out
 
-    # the word before with the hash of its ending, and the class of the one before that
-    one = shifted(classes * SUFFIXES + suffixes, int(head.word_class[end]) * SUFFIXES + int(head.suffix[end]), 1)
+    # the word before by class and hash, and with the class of the one before that
+    one = shifted(classes * HASHES + hashes, int(head.word_class[end]) * HASHES + int(head.hash[end]), 1)
     two = shifted(classes, int(head.word_class[end]), 2)
-    return Stream(ids, starts, classes, one * CLASSES + two, shifted(cluster, int(head.cluster[end]), 1))
+    return Stream(ids, starts, classes, one, one * CLASSES + two)
 
 
 def _neighbours(train: DataFrame, head: Head, width: int) -> np.ndarray:
@@ -152,7 +165,7 @@ def _neighbours(train: DataFrame, head: Head, width: int) -> np.ndarray:
 
 
 def _induce(train: DataFrame, head: Head) -> None:
-    """Clusters of head words by their neighbours among the most frequent ones, then classes of like frequency in each."""
+    """Classes of head words: clusters by their neighbours among the most frequent ones, each split into words of like frequency."""
     width = min(CONTEXTS, len(head.words))
     m = _neighbours(train, head, width)
     m = np.log1p(m.reshape(len(head.words), width))
@@ -168,7 +181,6 @@ def _induce(train: DataFrame, head: Head) -> None:
         for g in range(CLUSTERS):
             if (own := x[(cluster == g) & (norms > 0)]).size:
                 c[g] = own.sum(0) / max(np.linalg.norm(own.sum(0)), 1e-9)
-    head.cluster = cluster.astype(np.int32)
     mass = np.bincount(cluster, weights=head.counts + 1, minlength=CLUSTERS)
     bins = np.maximum(1, np.floor((TAIL - CLUSTERS) * mass / mass.sum())).astype(int)
     head.word_class = np.zeros(len(head.words), np.int32)
@@ -183,40 +195,63 @@ def _induce(train: DataFrame, head: Head) -> None:
 
 
 def _statistics(train: DataFrame, shared) -> DataFrame:
-    """Counts of (context cell, class) and of (cluster before, head word) over all training tokens.
+    """Over all training tokens, counts of (word before, class of the one before that, class), a row per word before's bucket, and of (bucket, slot of the word) and (bucket, class) behind them.
 
-    Both tables have a fixed number of entries, so a task adds up dense arrays and sends what it has once.
+    A task adds up dense arrays of fixed size and sends what has any counts once, as rows of numbers.
     """
 
     @trimmed
     def tallied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
-        one = np.zeros(CELLS * CLASSES, np.int64)
-        two = np.zeros((CLUSTERS + 1) * len(head.words), np.int64)
+        one = np.zeros(CELLS * CLASSES, np.int32)
+        two = np.zeros(BUCKETS * head.slots, np.int32)
         for batch in batches:
             for words, sizes in _documents(strings(batch)):
                 s = stream(head, words, sizes)
                 at, n = np.unique(s.cell.astype(np.int64) * CLASSES + s.classes, return_counts=True)
-                one[at] += n
+                one[at] += n.astype(np.int32)
                 ok = s.ids >= 0
-                at, n = np.unique(s.before[ok].astype(np.int64) * len(head.words) + s.ids[ok], return_counts=True)
-                two[at] += n
-        for kind, table in ((0, one), (1, two)):
-            at = np.flatnonzero(table)
-            for k in range(0, max(len(at), 1), 100_000):
-                part = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind), pa.int32()), pa.array(part, pa.int64()), pa.array(table[part], pa.int64())], names=["kind", "at", "n"])
+                at, n = np.unique(s.before[ok].astype(np.int64) * head.slots + head.slot[s.ids[ok]], return_counts=True)
+                two[at] += n.astype(np.int32)
+        one, two = one.reshape(BUCKETS, -1), two.reshape(BUCKETS, -1)
+        own = np.flatnonzero(one.any(axis=1))
+        for k in range(0, len(own), 64):
+            part = own[k : k + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([x.tobytes() for x in one[part]]), pa.array([x.tobytes() for x in two[part]])], names=["bucket", "cells", "slots"])
+
+    return train.select("text").mapInArrow(tallied, "bucket int, cells binary, slots binary")
 
-    return train.select("text").mapInArrow(tallied, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
 
+def _summed(counts: DataFrame) -> DataFrame:
+    """One row per bucket: the sums of all tasks' counts, as longs."""
+
+    @trimmed
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, [0, 0]
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x.tobytes()]) for x in held]], names=["bucket", "cells", "slots"])
+
+        for batch in batches:
+            for b, *both in zip(*[batch.column(c).to_pylist() for c in ("bucket", "cells", "slots")], strict=True):
+                if b != bucket:
+                    if bucket is not None:
+                        yield row()
+                    bucket, held = b, [0, 0]
+                held = [x + np.frombuffer(y, np.int32).astype(np.int64) for x, y in zip(held, both, strict=True)]
+        if bucket is not None:
+            yield row()
+
+    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(added, "bucket int, cells binary, slots binary")
 
-#: Weights of the class model, one row of CLASSES each: bias, the word before with its ending, its class, the class before, both classes.
-OFFSETS = np.cumsum([0, 1, CLASSES * SUFFIXES, CLASSES, CLASSES, CLASSES * CLASSES])
+
+#: Weights that cells share, one row of CLASSES each: bias, the word before by its hash, its class, the class before, both classes.
+OFFSETS = np.cumsum([0, 1, BUCKETS, CLASSES, CLASSES, CLASSES * CLASSES])
 
 
 def _features(cell: np.ndarray) -> list[np.ndarray]:
     one, two = cell // CLASSES, cell % CLASSES
-    c = one // SUFFIXES
+    c = one // HASHES
     return [np.zeros_like(cell), OFFSETS[1] + one, OFFSETS[2] + c, OFFSETS[3] + two, OFFSETS[4] + c * CLASSES + two]
 
 
@@ -229,20 +264,31 @@ def class_log_probs(weights: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return _log_softmax(sum(weights[f] for f in _features(cell)))
 
 
-def _train_classes(stats: DataFrame, steps: int, partitions: int = 4) -> np.ndarray:
-    """Gradient updates of the class model: each step's gradient is summed over the partitions of the counts.
+def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each bucket's cells with any counts, and their counts by class."""
+    for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+        counts = np.frombuffer(raw, np.int64).reshape(CLASSES, CLASSES)
+        own = np.flatnonzero(counts.any(axis=1))
+        yield b * CLASSES + own, counts[own].astype(np.float32)
+
+
+def _train_classes(stats: DataFrame, steps: int, partitions: int = 8) -> np.ndarray:
+    """Gradient updates of the weights that cells share: each step's gradient is summed over the partitions of the counts.
 
     A step divides by the model's own expected counts, which bound the curvature from above; a small
     ridge keeps weights of rare features near 0.
     """
     spark = stats.sparkSession
-    rows = stats.where("kind = 0").select(F.floor(F.col("at") / CLASSES).cast("int").alias("cell"), (F.col("at") % CLASSES).cast("int").alias("class"), "n")
     # each task sends a gradient as large as the weights, so their number is fixed here
-    rows = cut(rows.repartition("cell").sortWithinPartitions("cell")).coalesce(partitions)
+    rows = stats.select("bucket", "cells").coalesce(partitions)
     weights = np.zeros((int(OFFSETS[-1]), CLASSES), np.float32)
-    total = np.zeros(CLASSES)
-    for r in rows.groupBy("class").agg(F.sum("n").alias("n")).collect():
-        total[r["class"]] = r["n"]
+
+
+    def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((n.sum(axis=0, dtype=float) for batch in batches for _, n in _cells(batch)), np.zeros(CLASSES))
+        yield pa.RecordBatch.from_pydict({"total": [total.tolist()]})
+
+    total = sum((np.array(r["total"]) for r in rows.mapInArrow(classes, "total array<double>").collect()), np.zeros(CLASSES))
     weights[0] = np.log((total + 0.5) / (total.sum() + 0.5 * CLASSES))
     active = 4
 
@@ -253,16 +299,13 @@ def _train_classes(stats: DataFrame, steps: int, partitions: int = 4) -> np.ndar
             w = shared.value
             seen, expected = np.zeros((2, *w.shape), np.float32)
             for batch in batches:
-                cell, k, n = (batch.column(c).to_numpy() for c in ("cell", "class", "n"))
-                own, at = np.unique(cell, return_inverse=True)
-                counts = np.zeros((len(own), CLASSES), np.float32)
-                np.add.at(counts, (at, k), n)
-                model = np.exp(class_log_probs(w, own)) * counts.sum(1, keepdims=True)
-                for f in _features(own):
-                    order = np.argsort(f, kind="stable")
-                    ids, first = np.unique(f[order], return_index=True)
-                    seen[ids] += np.add.reduceat(counts[order], first, axis=0)
-                    expected[ids] += np.add.reduceat(model[order], first, axis=0)
+                for own, counts in _cells(batch):
+                    model = np.exp(class_log_probs(w, own)) * counts.sum(1, keepdims=True)
+                    for f in _features(own):
+                        order = np.argsort(f, kind="stable")
+                        ids, first = np.unique(f[order], return_index=True)
+                        seen[ids] += np.add.reduceat(counts[order], first, axis=0)
+                        expected[ids] += np.add.reduceat(model[order], first, axis=0)
             yield pa.RecordBatch.from_pydict({"seen": [seen.tobytes()], "expected": [expected.tobytes()]})
 
         parts = rows.mapInArrow(gradient, "seen binary, expected binary").collect()
@@ -274,57 +317,67 @@ def _train_classes(stats: DataFrame, steps: int, partitions: int = 4) -> np.ndar
     return weights
 
 
-def _train_words(stats: DataFrame, head: Head, shared, steps: int = 40) -> np.ndarray:
-    """log P(word | class, cluster before). Classes share no weights, so each one's updates run in one task."""
-    size = len(head.words)
+def _train_buckets(stats: DataFrame, shared, weights, steps: int = 12) -> DataFrame:
+    """bucket, classes, slots, norms: what only a bucket's own tokens tell, on top of the shared weights.
 
+    Log probabilities of the classes in each of its cells, with a weight per (bucket, class of the word
+    before that, class); weights per (bucket, slot of the word), the hashed pairs of words; and the
+    logarithms by which these make each class's words sum to 1. Buckets share none of them, so each
+    one's updates run where its counts are. Pairs without counts have the weight 0.
+    """
+
+    @trimmed
     def trained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        held: dict[int, list] = {}
+        head, w = shared.value, weights.value
+        share, by_slot = np.exp(head.base()), np.argsort(head.slot, kind="stable")
+        first = np.searchsorted(head.slot[by_slot], np.arange(head.slots + 1))
         for batch in batches:
-            word, before, n, k = (batch.column(c).to_numpy() for c in ("word", "before", "n", "class"))
-            for c in np.unique(k).tolist():
-                m = k == c
-                held.setdefault(c, []).append((word[m], before[m], n[m]))
-        for c, parts in held.items():
-            words = np.flatnonzero(known.word_class == c)
-            word, before, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            counts = np.zeros((CLUSTERS + 1, len(words)))
-            counts[before, np.searchsorted(words, word)] += n
-            bias = np.log(counts.sum(0) + 0.5)
-            extra = np.zeros_like(counts)
-            for _ in range(steps):
-                expected = np.exp(_log_softmax(bias + extra)) * counts.sum(1, keepdims=True)
-                extra += 0.5 * np.clip((counts - expected - extra) / (np.maximum(expected, counts / 4) + 2), -2, 2)
-            yield pa.RecordBatch.from_pydict({"class": pa.array([c], pa.int32()), "p": [_log_softmax(bias + extra).astype(np.float32).tobytes()]})
-
-    rows = stats.where("kind = 1").select((F.col("at") % size).cast("int").alias("word"), F.floor(F.col("at") / size).cast("int").alias("before"), "n")
-    kinds = stats.sparkSession.createDataFrame(pa.table({"word": pa.array(range(size), pa.int32()), "class": pa.array(head.word_class, pa.int32())}).to_pandas())
-    rows = rows.join(kinds, "word").repartition(4, "class")
-    out = np.zeros((CLUSTERS + 1, size), np.float32)
-    done = set()
-    for r in rows.mapInArrow(trained, "class int, p binary").collect():
-        words = np.flatnonzero(head.word_class == r["class"])
-        out[:, words] = np.frombuffer(r["p"], np.float32).reshape(CLUSTERS + 1, len(words))
-        done.add(r["class"])
-    for c in set(head.word_class.tolist()) - done:
-        words = np.flatnonzero(head.word_class == c)
-        out[:, words] = -math.log(len(words))
-    return out
+            for b, (own, counts), raw in zip(batch.column("bucket").to_pylist(), _cells(batch), batch.column("slots").to_pylist(), strict=True):
+                base = class_log_probs(w, b * CLASSES + np.arange(CLASSES))
+                z, at = base[own % CLASSES], np.zeros_like(counts)
+                for _ in range(steps):
+                    expected = np.exp(_log_softmax(z + at)) * counts.sum(1, keepdims=True)
+                    at += 0.5 * np.clip((counts - expected - RIDGE * at) / (np.maximum(expected, counts / 4) + RIDGE), -2, 2)
+                base[own % CLASSES] = _log_softmax(z + at)
+                seen = np.frombuffer(raw, np.int64)
+                held = np.flatnonzero(seen)
+                size = first[held + 1] - first[held]
+                words = by_slot[np.repeat(first[held] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                of, kind, p = np.repeat(np.arange(len(held)), size), head.word_class[words], share[words]
+                n = counts.sum(axis=0, dtype=float)
+                pair = np.zeros(len(held))
+                for _ in range(steps):
+                    e = p * np.exp(pair[of])
+                    norm = 1 + np.bincount(kind, e - p, CLASSES)
+                    expected = np.bincount(of, n[kind] * e / norm[kind], len(held))
+                    pair += 0.7 * np.clip((seen[held] - expected - RIDGE * pair) / (np.maximum(expected, seen[held] / 4) + RIDGE), -2, 2)
+                slots = np.zeros(head.slots, np.float16)
+                slots[held] = pair
+                pair = slots[held].astype(float)
+                norm = np.log(1 + np.bincount(kind, p * np.exp(pair[of]) - p, CLASSES)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x.tobytes()]) for x in (base.astype(np.float32), slots, norm)]], names=["bucket", "classes", "slots", "norms"])
+
+    return stats.mapInArrow(trained, "bucket int, classes binary, slots binary, norms binary")
 
 
 @dataclass
 class Model:
-    """What scoring needs: bounded by the head's size and the fixed tables, whatever the corpus."""
+    """What scoring needs: bounded by the head's size and the hashed tables, whatever the corpus."""
 
     head: Head
     classes: np.ndarray
-    words: np.ndarray
+    pairs: np.ndarray
+    norms: np.ndarray
     n: int
     v: int
     tail: int
     unseen: float
 
+    def word_log_probs(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log P(word | class, word before) of head words."""
+        head = self.head
+        return head.base()[ids] + self.pairs[before, head.slot[ids]] - self.norms[before, head.word_class[ids]]
+
 
 def fit(train: DataFrame, counts: DataFrame, steps: int = 14) -> Model:
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -339,10 +392,15 @@ def fit(train: DataFrame, counts: DataFrame, steps: int = 14) -> Model:
     _induce(train, head)
     sc = train.sparkSession.sparkContext
     shared = sc.broadcast(head)
-    stats = cut(_statistics(train, shared))
+    stats = stored(_summed(_statistics(train, shared)))
     weights = _train_classes(stats, steps)
-    words = _train_words(stats, head, shared)
-    return Model(head, class_log_probs(weights, np.arange(CELLS)), words, int(n), int(v), tail, min(unseen, 0.99) if tail else 1.0)
+    trained = _train_buckets(stats, shared, sc.broadcast(weights)).toArrow()
+    classes = class_log_probs(weights, np.arange(CELLS)).reshape(BUCKETS, -1)
+    pairs, norms = np.zeros((BUCKETS, head.slots), np.float16), np.zeros((BUCKETS, CLASSES), np.float32)
+    for batch in trained.to_batches():
+        for b, c, p, z in zip(*[batch.column(k).to_pylist() for k in ("bucket", "classes", "slots", "norms")], strict=True):
+            classes[b], pairs[b], norms[b] = np.frombuffer(c, np.float32), np.frombuffer(p, np.float16), np.frombuffer(z, np.float32)
+    return Model(head, classes.reshape(CELLS, CLASSES), pairs, norms, int(n), int(v), tail, min(unseen, 0.99) if tail else 1.0)
 
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("n_tail", pa.int64()), ("base_head", pa.float64()), ("score_head", pa.float64()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
@@ -356,7 +414,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         head = m.head
-        base = np.log10((head.counts + 1) / (m.n + m.v + 1))
+        base, own = np.log10((head.counts + 1) / (m.n + m.v + 1)), head.base()
         for batch in batches:
             doc_ids = batch.column("doc_id")
             at = 0
@@ -364,7 +422,8 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 s = stream(head, words, sizes)
                 inside = s.ids >= 0
                 p = m.classes[s.cell, s.classes].astype(float)
-                p[inside] += m.words[s.before[inside], s.ids[inside]]
+                ids, before = s.ids[inside], s.before[inside]
+                p[inside] += own[ids] + m.pairs[before, head.slot[ids]] - m.norms[before, s.classes[inside]]
                 b = np.where(inside, base[s.ids], 0.0)
                 ends = np.append(s.starts[1:], len(words))
                 tails = [Counter(words[a + i] for i in np.flatnonzero(~inside[a:z]).tolist()) for a, z in zip(s.starts.tolist(), ends.tolist(), strict=True)]
