@@ -22,11 +22,13 @@ BASE = {
 }
 # High recall: forms that the base leaves out. They may overlap each other and the base.
 LOOSE = {
-    "mail": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\s?(?:\(at\)|\[at\]|\sat\s)\s?{_LABEL}{{1,63}}(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?){_LABEL}{{2,63}}){{1,4}}",
-    "number": r"(?<![0-9])\(?[0-9]{2,5}\)?(?:[\x20./-]\(?[0-9]{2,6}\)?){1,5}(?![0-9])",
-    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])",
+    "mail": rf"(?<!{_LOCAL}){_LOCAL}++\s?(?:\(at\)|\[at\]|\sat\s)\s?{_LABEL}++(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?){_LABEL}{{2,}}+)++",
+    "number": r"(?<![0-9])\(?[0-9]{2,}+\)?(?:[\x20./-]\(?[0-9]{2,}+\)?)++(?![0-9])",
+    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])",  # of 15 to 34 signs, by its standard
 }
 KINDS = (*BASE_KINDS, *LOOSE)
+# Top-level domains that an obfuscated address may end in.
+DOMAINS = r"(?i)(?:\.|\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?)(?:com|org|net|edu|gov|info|biz|io|co|eu|de|at|ch|fr|es|it|nl|uk|us|ca|au|jp|cn|in|br|ru|pl|se|example|invalid|test)$"
 CUES = r"(?i)(?:phone|call|tel|fax|mobile|handy|mail|contact|ssn|social|passport|account|konto|iban|card|address|dial|whatsapp|nummer|numéro|teléfono)[^\n]{0,12}$"
 COUNTER_CUES = r"(?i)(?:version|page|figure|table|isbn|order|item|\bno\b|total|price|usd|eur|\$|€|section|chapter|pages|build|date)[^\n]{0,8}$"
 
@@ -92,13 +94,24 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _mod97(value: Column) -> Column:
+    """Whether a bank account number's letters and digits, the first four moved to the end, leave 1 by 97."""
+    plain = F.regexp_replace(value, " ", "")
+    signs = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "")
+
+    def add(rest: Column, c: Column) -> Column:
+        v = F.ascii(c)
+        return F.when(c == "", rest).when(v < 58, (rest * 10 + v - 48) % 97).otherwise((rest * 100 + v - 55) % 97)
+
+    return F.aggregate(signs, F.lit(0), add) == 1
+
+
 #: Bits of a candidate's pattern: its format, then its context.
-FEATURES = ("digits_7_up", "digits_10_up", "digits_14_up", "parts_3_up", "spaced", "dashed", "dotted", "paren", "letters", "slashed", "cue", "counter_cue", "glued")
+FEATURES = ("digits_7_up", "digits_10_up", "digits_14_up", "parts_3_up", "spaced", "dashed", "dotted", "paren", "letters", "slashed", "domain", "bracketed", "checksum", "cue", "counter_cue", "glued")
 
 
-def _pattern(span: Column, text: Column) -> Column:
-    """The features as bits of an int."""
-    value = span["value"]
+def _pattern(kind: str, value: Column, span: Column, text: Column) -> Column:
+    """The features of ``value``, which stands or might stand in a span of the text, as bits of an int."""
     before = F.substring(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24)))
     after = F.substring(text, span["end"] + 1, F.lit(1))
 
@@ -106,8 +119,10 @@ def _pattern(span: Column, text: Column) -> Column:
         flags = [
             n >= 7, n >= 10, n >= 14, F.length(F.regexp_replace(value, "[^ ./-]", "")) >= 2, F.contains(value, F.lit(" ")), F.contains(value, F.lit("-")),
             F.contains(value, F.lit(".")), F.contains(value, F.lit("(")), value.rlike("[A-Za-z]"), F.contains(value, F.lit("/")),
+            value.rlike(DOMAINS) if kind == "mail" else F.lit(False), value.rlike(r"[(\[]at[)\]]") if kind == "mail" else F.lit(False), _mod97(value) if kind == "iban" else F.lit(False),
         ]
-        around = let(before, lambda b: F.when(b.rlike(CUES), 1 << 10).otherwise(0) + F.when(b.rlike(COUNTER_CUES), 1 << 11).otherwise(0) + F.when(b.rlike(r"[\w$€%]$") | after.rlike(r"[\w%$€]"), 1 << 12).otherwise(0))
+        at = len(flags)
+        around = let(before, lambda b: F.when(b.rlike(CUES), 1 << at).otherwise(0) + F.when(b.rlike(COUNTER_CUES), 2 << at).otherwise(0) + F.when(b.rlike(r"[\w$€%]$") | after.rlike(r"[\w%$€]"), 4 << at).otherwise(0))
         total = around
         for i, f in enumerate(flags):
             total = total + F.when(f, 1 << i).otherwise(0)
@@ -141,7 +156,7 @@ class PiiModel:
 def boost(counts: dict[int, tuple[float, float]], rounds: int = 24, rate: float = 0.3, ridge: float = 1.0) -> PiiModel:
     """Newton boosting on counts of (pattern: negatives, positives).
 
-    There are at most 2 ** 13 patterns whatever the corpus, so the trees' splits are searched over
+    There are at most 2 ** 16 patterns whatever the corpus, so the trees' splits are searched over
     counts of all candidates rather than over a sample of them.
     """
     negatives, positives = (sum(c[i] for c in counts.values()) for i in (0, 1))
@@ -186,10 +201,13 @@ def calibrate(model: PiiModel, counts: dict[int, tuple[float, float]], precision
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Per document: base spans by kind, and loose candidates (kind, start, end, pattern, label).
+    """Per document: base spans by kind, loose candidates (kind, start, end, pattern, label), and made ones (pattern).
 
-    A loose candidate's silver label: 1 if it lies in a span that the base accepts, 0 if it lies in one
-    that the base matches and drops, or looks like a date, a decimal or a plain count; null otherwise.
+    Silver labels, from what the trees do not see as such. A number has 1 if it lies in a span that the
+    base accepts by its sign or checksum, 0 if it lies in one that the base matches and drops, or looks
+    like a date, a decimal or a plain count. A bank account number has 1 if it leaves 1 by 97, else 0. A
+    mail form has 0 if it has neither a known domain nor brackets, and 1 where an address that the base
+    accepts is rewritten into one, in its own place: those are the made candidates, which give no span.
     """
     text = F.col("text")
     needs = {"email": text.contains("@"), "phone": text.contains("+")}
@@ -225,14 +243,26 @@ def candidates(docs: DataFrame) -> DataFrame:
         def of(good: Column, tried: Column) -> Column:
             def one(s: Column) -> Column:
                 plain = s["value"].rlike(r"^(?:[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}|[0-9]+[. ][0-9]{2,3}|[0-9]{2,4}[-/][0-9]{2,4})$")
-                label = F.when(inside(s, good), 1).when(plain | inside(s, tried), 0)
-                return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _pattern(s, text).alias("pattern"), label.alias("label"))
+                if kind == "number":
+                    label = F.when(inside(s, good), 1).when(plain | inside(s, tried), 0)
+                elif kind == "iban":
+                    label = _mod97(s["value"]).cast("int")
+                else:
+                    label = F.when(~s["value"].rlike(DOMAINS) & ~s["value"].rlike(r"[(\[]at[)\]]"), 0)
+                return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _pattern(kind, s["value"], s, text).alias("pattern"), label.alias("label"))
 
             return F.transform(F.col(f"all_{kind}"), one)
 
         return F.when(F.size(f"all_{kind}") > 0, let(accepted, lambda g: let(matched, lambda t: of(g, t)))).otherwise(F.array().cast(LOOSE_SPANS))
 
-    return base.select("doc_id", *BASE, F.flatten(F.array(*[judged(k) for k in LOOSE])).alias("loose"))
+    def rewritten(s: Column, i: Column) -> Column:
+        # the forms in turn, so that each is as frequent
+        forms = [F.regexp_replace(s["value"], "@", f) for f in (" (at) ", " at ", "[at]")]
+        spelt = F.when(i % 2 == 0, F.get(F.array(*forms), i % 3)).otherwise(F.regexp_replace(F.get(F.array(*forms), i % 3), r"\.", " dot "))
+        return let(spelt, lambda v: _pattern("mail", v, s, text))
+
+    made = F.when(F.size("all_email") > 0, F.transform(F.col("all_email"), rewritten)).otherwise(F.array().cast("array<int>"))
+    return base.select("doc_id", *BASE, F.flatten(F.array(*[judged(k) for k in LOOSE])).alias("loose"), made.alias("made"))
 
 
 LOOSE_SPANS = "array<struct<kind:string,start:int,end:int,pattern:int,label:int>>"
@@ -241,6 +271,8 @@ LOOSE_SPANS = "array<struct<kind:string,start:int,end:int,pattern:int,label:int>
 def fit(found: DataFrame, precision: float = 0.97) -> PiiModel:
     """Boost on the silver labels of all loose candidates, and calibrate a threshold for each kind."""
     one = found.where(F.size("loose") > 0).select(F.explode("loose").alias("c")).select("c.*").where("label is not null")
+    made = found.where(F.size("made") > 0).select(F.lit("mail").alias("kind"), F.explode("made").alias("pattern"), F.lit(1).alias("label"))
+    one = one.select("kind", "pattern", "label").unionByName(made)
     rows = one.groupBy("kind", "pattern").agg(F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == 1).alias("pos")).collect()
     whole: dict[int, tuple[float, float]] = {}
     for r in rows:

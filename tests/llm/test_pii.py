@@ -71,6 +71,27 @@ def test_loose_candidates_are_added(spark):
     assert sum(added[i] for i in range(200)) > 100 and sum(added[1000 + i] for i in range(200)) == 0
 
 
+def account(i):
+    """A bank account number with its check digits."""
+    rest = f"{i * 7919 % 10**18:018d}"
+    check = 98 - int(rest + "131400") % 97
+    return f"DE{check:02d} " + " ".join(rest[k : k + 4] for k in range(0, 18, 4))
+
+
+def test_mail_forms_and_accounts_are_added(spark):
+    """Neither kind has any base span of its own form to learn from."""
+    ends = ("com", "org", "de")
+    given = {i: f"write to user{i}@host{i % 40}.{ends[i % 3]} soon" for i in range(300)}
+    given |= {1000 + i: f"write to friend{i} (at) place{i % 30}.{ends[i % 3]} soon, or see him {'xyz'[i % 3]}{i} at the.corner of it" for i in range(100)}
+    given |= {2000 + i: f"pay to {account(i)} now" for i in range(100)}
+    given |= {3000 + i: f"part AB{i % 90 + 10} {1000 + i} {2000 + i} {3000 + i} {4000 + i} in stock" for i in range(100)}
+    rows = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(list(given.items()), "doc_id long, text string")).collect()}
+    added = {i: [given[i][int(a) : int(z)] for k, a, z in (x.split(":") for x in r["spans"].split(",") if x) if k in ("mail", "iban")] for i, r in rows.items()}
+    assert sum(len(added[1000 + i]) == 1 and added[1000 + i][0].startswith(f"friend{i} (at)") for i in range(100)) > 95
+    assert sum(added[2000 + i] == [account(i)] for i in range(100)) > 95
+    assert sum(len(added[3000 + i]) for i in range(100)) < 5
+
+
 def test_no_python_on_the_main_path(documents):
     plan = pii.detect(documents)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
