@@ -11,6 +11,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,6 +26,8 @@ LEAST_BYTES = 100
 #: Repeated payloads up to this many (about 60 bytes each) are broadcast; more are joined in a shuffle.
 BROADCAST_ROWS = 100_000
 MANIFEST = "_manifest.json"
+#: Bytes of an archive from which on a reader's next partition begins, at a record.
+SPLIT_BYTES = 64 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, payload_digest string, payload_bytes long, refers_to long, payload binary"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -49,14 +52,20 @@ def _unline(value: str) -> str:
     return re.sub("%(0D|0A|25)", lambda m: chr(int(m[1], 16)), value)
 
 
-def record_bytes(row) -> bytes:
-    """One record: headers, and for a response the payload behind its HTTP header."""
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id} {digest}'.encode()).digest())}>"
+
+
+def record_bytes(row, date: str) -> bytes:
+    """One record: headers, and for a response the payload behind its HTTP header. A revisit names the response that has its payload."""
     body = HTTP + row.html.encode("utf-8", "replace") if row.record_type == "response" else HTTP
     head = {
         "WARC-Type": row.record_type,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{row.page_id} {row.payload_digest}'.encode()).digest())}>",
+        "WARC-Record-ID": record_id(row.page_id, row.payload_digest),
+        "WARC-Date": date,
         "WARC-Target-URI": None if row.url is None else _line(row.url),
         "WARC-Payload-Digest": f"sha256:{row.payload_digest}",
+        "WARC-Refers-To": None if row.refers_to is None else record_id(row.refers_to, row.payload_digest),
         "X-Page-ID": row.page_id,
         "X-Payload-Length": row.payload_bytes,
         "X-Refers-To-Page": row.refers_to,
@@ -69,11 +78,16 @@ def record_bytes(row) -> bytes:
 
 
 def member(raw: bytes, level: int = 1) -> bytes:
-    """A gzip member whose extra field "sl" tells its compressed and plain length, so that readers can skip it."""
+    """A gzip member whose extra field "sl" tells its compressed and plain length, so that readers can skip it.
+
+    The field holds lengths under 4 GiB; a longer member goes without, and readers decode it to find its end.
+    """
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(raw) + packer.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\x03" + struct.pack("<H2sHII", 12, b"sl", 8, size & 0xFFFFFFFF, len(raw) & 0xFFFFFFFF)
+    told = size < 1 << 32 and len(raw) < 1 << 32
+    head = b"\x1f\x8b\x08" + (b"\x04" if told else b"\0") + b"\0\0\0\0\0\x03"
+    head += struct.pack("<H2sHII", 12, b"sl", 8, size, len(raw)) if told else b""
     return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
@@ -121,8 +135,11 @@ def headers(stream) -> dict[str, str] | None:
 
 @dataclass
 class Archive(InputPartition):
+    """A stretch of whole records of a file."""
+
     uri: str
-    length: int
+    start: int
+    stop: int
 
 
 def _value(column: str, head: dict[str, str]):
@@ -153,22 +170,22 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        """One partition per archive that the manifest lists, or per file where there is none; large first."""
+        """Stretches of records that the manifest lists, or whole files where there is none; large first."""
         from pyarrow.fs import FileSelector, FileType
 
         fs, path = filesystem(self.uri)
         manifest = fs.get_file_info(f"{path}/{MANIFEST}")
         if manifest.type == FileType.File:
             with fs.open_input_stream(manifest.path) as f:
-                found = [(f"{path}/{x['name']}", x["length"]) for x in json.loads(f.read())]
+                found = [(f"{path}/{x['name']}", [0, *x.get("splits", []), x["length"]]) for x in json.loads(f.read())]
         elif (one := fs.get_file_info(path)).type == FileType.File:
-            found = [(path, one.size)]
+            found = [(path, [0, one.size])]
         else:
-            found = [(x.path, x.size) for x in fs.get_file_info(FileSelector(path)) if re.search(r"\.warc(\.gz)?$", x.path)]
+            found = [(x.path, [0, x.size]) for x in fs.get_file_info(FileSelector(path)) if re.search(r"\.warc(\.gz)?$", x.path)]
         # a file system's own paths carry no scheme, so the folder's is kept
         base = self.uri.rstrip("/")
-        at = [Archive(base if p == path else f"{base}/{p.rsplit('/', 1)[-1]}", n) for p, n in found]
-        return sorted(at, key=lambda a: -a.length) or [Archive("", 0)]
+        at = [Archive(base if p == path else f"{base}/{p.rsplit('/', 1)[-1]}", a, z) for p, ends in found for a, z in zip(ends, ends[1:], strict=False)]
+        return sorted(at, key=lambda a: a.start - a.stop) or [Archive("", 0, 0)]
 
     def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
         if not partition.uri:
@@ -178,7 +195,7 @@ class WarcReader(DataSourceReader):
         size = 0
         with fs.open_input_file(path) as f:
             source = io.BufferedReader(f, 1 << 20)
-            records = self._gzipped(source, partition.length) if path.endswith(".gz") else self._plain(source)
+            records = (self._gzipped if path.endswith(".gz") else self._plain)(source, partition.start, partition.stop)
             for head, payload in records:
                 for c in HEADERS:
                     rows[c].append(_value(c, head))
@@ -208,8 +225,10 @@ class WarcReader(DataSourceReader):
             return None
         return raw.partition(b"\r\n\r\n")[2] if head.get("content-type", "").startswith("application/http") else raw
 
-    def _plain(self, source):
-        while (head := headers(source)) is not None:
+    def _plain(self, source, at: int, stop: int):
+        source.seek(at)
+        # what is left of a record is the four line breaks behind it
+        while source.tell() + 4 < stop and (head := headers(source)) is not None:
             length = int(head.get("content-length", 0))
             if not self._take(head):
                 source.seek(length, 1)
@@ -219,10 +238,9 @@ class WarcReader(DataSourceReader):
                 source.seek(length, 1)
                 yield head, None
 
-    def _gzipped(self, source, length: int):
+    def _gzipped(self, source, at: int, stop: int):
         """Members one by one: headers are decoded first, the rest only if its payload is wanted."""
-        at = 0
-        while at < length:
+        while at < stop:
             source.seek(at)
             lead = source.read(24)
             if len(lead) < 10:
@@ -245,6 +263,7 @@ class WarcReader(DataSourceReader):
 class Written(WriterCommitMessage):
     name: str
     length: int
+    splits: list[int]
 
 
 class WarcWriter(DataSourceWriter):
@@ -253,26 +272,30 @@ class WarcWriter(DataSourceWriter):
     def __init__(self, options):
         self.uri = options["path"]
         self.gzip = options.get("compression", "gzip") == "gzip"
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
+        self.date = options.get("date") or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, rows) -> Written:
         fs, path = filesystem(self.uri)
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.warc" + ".gz" * self.gzip
         fs.create_dir(path, recursive=True)
-        length = 0
+        length, splits = 0, [0]
         with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
             for row in rows:
-                raw = record_bytes(row)
+                if length - splits[-1] >= self.split:
+                    splits.append(length)
+                raw = record_bytes(row, self.date)
                 raw = member(raw) if self.gzip else raw
                 out.write(raw)
                 length += len(raw)
-        return Written(name, length)
+        return Written(name, length, splits[1:])
 
     def commit(self, messages):
         fs, path = filesystem(self.uri)
         fs.create_dir(path, recursive=True)
         with fs.open_output_stream(f"{path}/{MANIFEST}", compression=None) as out:
-            out.write(json.dumps([{"name": m.name, "length": m.length} for m in messages if m and m.length]).encode())
+            out.write(json.dumps([{"name": m.name, "length": m.length, "splits": m.splits} for m in messages if m and m.length]).encode())
 
     def abort(self, messages):
         fs, path = filesystem(self.uri)
@@ -282,7 +305,7 @@ class WarcWriter(DataSourceWriter):
 
 
 class WarcSource(DataSource):
-    """``warc``: options path, payload (load or skip), recordTypes, compression (gzip or none)."""
+    """``warc``: options path, payload (load or skip), recordTypes, compression (gzip or none), splitBytes and date of what is written."""
 
     @classmethod
     def name(cls):
@@ -304,7 +327,7 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def write_pages(pages: DataFrame, uri: str) -> None:
+def write_pages(pages: DataFrame, uri: str, **options) -> None:
     """Archive pages under ``uri``. Of records with equal payloads of 100 bytes or more, those of the smallest page_id are responses and the others revisit it.
 
     A null html is an empty payload; a null page_id is larger than any other, and where a group has
@@ -325,7 +348,7 @@ def write_pages(pages: DataFrame, uri: str) -> None:
         "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_digest", "payload_bytes",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
     )
-    rows.write.format("warc").mode("append").option("path", uri).save()
+    rows.write.format("warc").mode("append").options(path=uri, **options).save()
 
 
 def read(spark: SparkSession, uri: str, **options) -> DataFrame:
@@ -349,7 +372,13 @@ def checked(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive pages in the shared folder and read them back, payloads included."""
-    uri = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    """Archive pages in the shared folder and read them back: responses with their payloads, revisits by their headers alone.
+
+    Both filters are decided on the headers, before a payload is decoded.
+    """
+    spark = pages.sparkSession
+    uri = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_pages(pages, uri)
-    return checked(read(pages.sparkSession, uri))
+    responses = read(spark, uri).where(F.col("record_type") == "response")
+    revisits = read(spark, uri, payload="skip").where(F.col("record_type") == "revisit")
+    return checked(responses.unionByName(revisits))

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -85,5 +86,21 @@ def test_other_writers_archives(spark, tmp_path):
     assert {bytes(r["payload"]) for r in warc.read(spark, str(tmp_path), recordTypes="resource").collect()} == {b"raw", b"one", b"two"}
 
 
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_archives_are_read_in_stretches(spark, pages, tmp_path, compression):
+    """A partition a record or two, and the headers that the format asks for."""
+    warc.write_pages(pages.coalesce(1), f"{tmp_path}/s", splitBytes=1, compression=compression, date="2024-02-03T04:05:06Z")
+    warc.register(spark)
+    rows = warc.read(spark, f"{tmp_path}/s")
+    assert rows.rdd.getNumPartitions() == rows.count() == pages.count()
+    assert {r["payload_digest"] for r in rows.collect()} == {hashlib.sha256((r["html"] or "").encode()).hexdigest() for r in pages.collect()}
+    raw = b"".join((gzip.decompress if compression == "gzip" else bytes)(p.read_bytes()) for p in Path(f"{tmp_path}/s").glob("*.warc*"))
+    heads = [dict(line.split(": ", 1) for line in h.decode().split("\r\n")[1:]) for h in re.findall(rb"WARC/1\.1\r\nWARC-Type.*?(?=\r\n\r\n)", raw, re.S)]
+    assert len(heads) == pages.count() and {h["WARC-Date"] for h in heads} == {"2024-02-03T04:05:06Z"}
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert revisits and all(ids[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] for h in revisits)
+
+
 def test_empty(spark, pages):
     assert warc.round_trip(pages.where(F.lit(False))).count() == 0
