@@ -394,21 +394,24 @@ def fit(train: DataFrame, counts: DataFrame, steps: int = 14) -> Model:
     shared = sc.broadcast(head)
     stats = stored(_summed(_statistics(train, shared)))
     weights = _train_classes(stats, steps)
-    trained = _train_buckets(stats, shared, sc.broadcast(weights)).toArrow()
-    classes = class_log_probs(weights, np.arange(CELLS)).reshape(BUCKETS, -1)
+    shared_weights = sc.broadcast(weights)
+    trained = stored(_train_buckets(stats, shared, shared_weights))
+    classes = np.empty((BUCKETS, CLASSES * CLASSES), np.float32)
+    for b in range(BUCKETS):
+        classes[b] = class_log_probs(weights, b * CLASSES + np.arange(CLASSES)).ravel()
     pairs, norms = np.zeros((BUCKETS, head.slots), np.float16), np.zeros((BUCKETS, CLASSES), np.float32)
-    for batch in trained.to_batches():
-        for b, c, p, z in zip(*[batch.column(k).to_pylist() for k in ("bucket", "classes", "slots", "norms")], strict=True):
-            classes[b], pairs[b], norms[b] = np.frombuffer(c, np.float32), np.frombuffer(p, np.float16), np.frombuffer(z, np.float32)
+    for r in trained.toLocalIterator():  # tens of MB in all, a partition at a time
+        classes[r["bucket"]], pairs[r["bucket"]], norms[r["bucket"]] = np.frombuffer(r["classes"], np.float32), np.frombuffer(r["slots"], np.float16), np.frombuffer(r["norms"], np.float32)
+    shared_weights.destroy()
+    shared.destroy()
     return Model(head, classes.reshape(CELLS, CLASSES), pairs, norms, int(n), int(v), tail, min(unseen, 0.99) if tail else 1.0)
 
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("n_tail", pa.int64()), ("base_head", pa.float64()), ("score_head", pa.float64()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
+def _scored(docs: DataFrame, shared) -> DataFrame:
     """Per row: sums over head words and over classes, and the words outside the head with their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @trimmed
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +454,10 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, **options) -> Data
     train = docs.where(fold_of("doc_id", folds) != held_out).select("doc_id", "text")
     counts = stored(train.select("text").mapInArrow(_counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
     model = fit(train, counts, **options)
-    table = stored(_scored(docs, model).withColumn("row", F.monotonically_increasing_id()))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    table = stored(_scored(docs, shared).withColumn("row", F.monotonically_increasing_id()))
+    shared.destroy()  # the table is written, so nothing reads it again
+    model.classes = model.pairs = model.norms = None
     tails = table.where("n_tail > 0").select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.times").alias("times"))
     joined = tails.join(counts, "token", "left").select("row", "times", F.coalesce(F.col("n"), F.lit(0)).alias("c"))
     sums = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(F.greatest("c", F.lit(1)))).alias("shares"))

@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import zlib
 from collections import Counter
@@ -84,7 +85,7 @@ def test_scores_match_a_plain_version(spark, documents, monkeypatch):
     docs = documents.where("doc_id < 60")
     models = []
     fitted = maxent.fit
-    monkeypatch.setattr(maxent, "fit", lambda *a, **k: models.append(fitted(*a, **k)) or models[-1])
+    monkeypatch.setattr(maxent, "fit", lambda *a, **k: models.append(fitted(*a, **k)) or dataclasses.replace(models[-1]))
     rows = {r["doc_id"]: r for r in maxent.score(docs).collect()}
     model, texts = models[0], {r["doc_id"]: r["text"] for r in docs.collect()}
     head, counts = model.head, Counter()
