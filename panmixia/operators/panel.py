@@ -13,7 +13,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panmixia.functions.columns import let
 
 
 def to_wide(panel: DataFrame, *keep: str) -> DataFrame:
@@ -133,31 +132,8 @@ def xor_bit(xor: Column, site: Column) -> Column:
     return F.call_function("shiftright", word, (site % 64).cast("int")).bitwiseAND(F.lit(1)).cast("int")
 
 
-def prefix_counts(xor: Column, n_sites: Column) -> Column:
-    """Inclusive running counts of differences: the set bits up to a site in its word, and all of the words before."""
-
-    def with_totals(totals: Column) -> Column:
-        def upto(s: Column) -> Column:
-            w, bit = F.floor(s / 64).cast("int"), (s % 64).cast("int")
-            kept = F.call_function("shiftleft", F.get(xor, w), F.lit(63) - bit)
-            return F.bit_count(kept).cast("long") + F.when(w > 0, F.get(totals, w - 1)).otherwise(F.lit(0).cast("long"))
-
-        return F.transform(F.sequence(F.lit(0), n_sites - 1), upto)
-
-    def running() -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("all"))
-
-        def add(a: Column, w: Column) -> Column:
-            n = a["n"] + F.bit_count(w).cast("long")
-            return F.struct(n.alias("n"), F.concat(a["all"], F.array(n)).alias("all"))
-
-        return F.aggregate(xor, start, add, lambda a: a["all"])
-
-    return let(running(), with_totals)
-
-
 def prefix_scan(pairs_xor: DataFrame) -> DataFrame:
-    """i, j, site_idx, n_diff: inclusive running counts as rows (``prefix_counts`` has them as an array in the JVM)."""
+    """i, j, site_idx, n_diff: inclusive running counts."""
     import numpy as np
 
     from panmixia.operators import fold

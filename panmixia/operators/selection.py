@@ -42,14 +42,15 @@ def variant_evidence(freqs: DataFrame, genes: DataFrame, by: str = "superpop", h
     centre = F.floor((F.col("start") + F.col("end")) / 2).cast("double")
     rows = band_join(fst(drop_fixed_in_both(freqs)), genes.select("gene_id", centre.alias("centre")), half)
     diff = F.col("p1") - F.col("p2")
-    top = F.slice(F.sort_array(F.collect_list("fst"), asc=False), 1, 10)
-    out = rows.withColumn("diff", diff).groupBy("gene_id", by).agg(
+    place = F.row_number().over(Window.partitionBy("gene_id", by).orderBy(F.desc_nulls_last("fst")))
+    top = F.when(place <= 10, F.col("fst"))
+    out = rows.withColumn("diff", diff).withColumn("top_fst", top).groupBy("gene_id", by).agg(
         F.count(F.lit(1)).alias("n_variants"), F.count_if(F.col("diff") > 0).alias("n_enriched"), F.count_if(F.col("diff") < 0).alias("n_depleted"),
-        F.max("fst").alias("max_fst"), top.alias("top"), F.min_by("pos", F.struct(-F.abs("diff"), F.col("pos"))).alias("most_diff_pos"), F.max(F.abs("diff")).alias("max_diff"),
+        F.max("fst").alias("max_fst"), F.avg("top_fst").alias("top"), F.count("top_fst").alias("n_top"), F.min_by("pos", F.struct(-F.abs("diff"), F.col("pos"))).alias("most_diff_pos"), F.max(F.abs("diff")).alias("max_diff"),
     )
     ratio = F.when(F.col("n_enriched") > 0, F.col("n_depleted") / F.col("n_enriched")).otherwise(F.lit(float("inf")))
-    mean10 = F.when(F.size("top") == 10, F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / 10)
-    return out.withColumns({"ratio": ratio, "mean_top10_fst": mean10}).drop("top")
+    mean10 = F.when(F.col("n_top") == 10, F.col("top"))
+    return out.withColumns({"ratio": ratio, "mean_top10_fst": mean10}).drop("top", "n_top")
 
 
 def delta_af(freqs: DataFrame, focal, near: list, far: list, maf: float = 0.05, k: int = 15) -> DataFrame:
@@ -84,13 +85,12 @@ def ld_scan(r2: DataFrame, k: int = 20, strong: float = 0.5) -> tuple[DataFrame,
 def haplotype_windows(panel: DataFrame, size: int, step: int, by: str = "pop", midpoint: str = "centre") -> DataFrame:
     """by, win, mid, hap, n: haplotypes of each full window of ``size`` sites and their numbers.
 
-    ``panel`` numbers the sites that count (site_no from 0). midpoint is the position at the middle
+    ``panel`` numbers the sites that count (site_no from 0, last_no at the end). midpoint is the position at the middle
     site, or with "ends" the mean of the first and the last one. A window's haplotype is one string,
     so windows are grouped without their sites meeting again.
     """
-    last = F.max("site_no").over(Window.partitionBy(by))
     win = F.sequence(F.greatest(F.ceil((F.col("site_no") - size + 1) / step), F.lit(0)), F.floor(F.col("site_no") / step))
-    rows = panel.withColumn("last", last).withColumn("win", F.explode(win)).where(F.col("win") * step + size - 1 <= F.col("last"))
+    rows = panel.withColumn("win", F.explode(win)).where(F.col("win") * step + size - 1 <= F.col("last_no"))
     cells = F.sort_array(F.collect_list(F.struct("site_no", "allele", "pos")))
     mid = F.get("cells", F.lit(size // 2))["pos"] if midpoint == "centre" else (F.get("cells", F.lit(0))["pos"] + F.get("cells", F.lit(size - 1))["pos"]) / 2
     haps = rows.groupBy(by, "win", "hap_id").agg(cells.alias("cells"))
@@ -100,19 +100,22 @@ def haplotype_windows(panel: DataFrame, size: int, step: int, by: str = "pop", m
 
 def h_statistics(windows: DataFrame, by: str = "pop") -> DataFrame:
     """H1, H12 and H2/H1 of each window's haplotype frequencies; (1, 0) where there is a single haplotype."""
-    freq = windows.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(by, "win")))
-    g = freq.groupBy(by, "win", "mid").agg(F.sum(F.col("p") * F.col("p")).alias("h1"), F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, 2).alias("top"), F.count(F.lit(1)).alias("n_haps"))
-    p1, p2 = F.get("top", F.lit(0)), F.coalesce(F.get("top", F.lit(1)), F.lit(0.0))
+    window = Window.partitionBy(by, "win")
+    freq = windows.withColumns({"p": F.col("n") / F.sum("n").over(window), "place": F.row_number().over(window.orderBy(F.desc("n")))})
+    first, second = (F.max(F.when(F.col("place") == k, F.col("p"))) for k in (1, 2))
+    g = freq.groupBy(by, "win", "mid").agg(F.sum(F.col("p") * F.col("p")).alias("h1"), first.alias("p1"), F.coalesce(second, F.lit(0.0)).alias("p2"), F.count(F.lit(1)).alias("n_haps"))
+    p1, p2 = F.col("p1"), F.col("p2")
     return g.select(by, "win", "mid", "h1", (F.col("h1") + 2 * p1 * p2).alias("h12"), ((F.col("h1") - p1 * p1) / F.col("h1")).alias("h2h1"), "n_haps")
 
 
 def number_sites(panel: DataFrame, by: str = "pop", drop_monomorphic: bool = True) -> DataFrame:
-    """Adds site_no: the sites in order, those without both alleles in the group left out if asked."""
+    """Adds site_no and last_no: the sites in order, those without both alleles in the group left out if asked."""
     sites = panel.groupBy(by, "site_idx").agg(F.sum("allele").alias("ac"), F.count(F.lit(1)).alias("an"))
     if drop_monomorphic:
         sites = sites.where((F.col("ac") > 0) & (F.col("ac") < F.col("an")))
     no = (F.row_number().over(Window.partitionBy(by).orderBy("site_idx")) - 1).alias("site_no")
-    return panel.join(sites.select(by, "site_idx", no), [by, "site_idx"])
+    last = (F.count(F.lit(1)).over(Window.partitionBy(by)) - 1).alias("last_no")
+    return panel.join(sites.select(by, "site_idx", no, last), [by, "site_idx"])
 
 
 def gene_max(windows: DataFrame, genes: DataFrame, by: str = "pop") -> DataFrame:
@@ -132,10 +135,10 @@ def frequency_bins(freq: Column, width: float = 0.05, bins: int = 20, closed: st
 
 def normalise_in_bins(df: DataFrame, stat: str = "stat", bin_: str = "bin", least: int = 50, *by: str) -> DataFrame:
     """z-scores by the population deviation inside frequency bins; null in bins of few values or no spread."""
-    w = Window.partitionBy(*by, bin_)
-    sd = F.stddev_pop(stat).over(w)
-    ok = (F.count(stat).over(w) >= least) & (sd > 0) & F.col(bin_).isNotNull()
-    return df.withColumn("z", F.when(ok, (F.col(stat) - F.avg(stat).over(w)) / sd))
+    told = df.groupBy(*by, bin_).agg(F.count(stat).alias("__n"), F.avg(stat).alias("__mean"), F.stddev_pop(stat).alias("__sd"))
+    told = told.where((F.col("__n") >= least) & (F.col("__sd") > 0) & F.col(bin_).isNotNull())  # a few bins a group
+    z = (F.col(stat) - F.col("__mean")) / F.col("__sd")
+    return df.join(told, [*by, bin_], "left").withColumn("z", z).drop("__n", "__mean", "__sd")
 
 
 def gene_extremes(z: DataFrame, gene: str = "gene", cut: float = 2.0, value: str = "z") -> DataFrame:
@@ -143,29 +146,49 @@ def gene_extremes(z: DataFrame, gene: str = "gene", cut: float = 2.0, value: str
     return z.where(F.col(value).isNotNull()).groupBy(gene).agg(F.count(F.lit(1)).alias("n_sites"), F.max(F.abs(value)).alias("max_abs"), F.avg((F.abs(value) > cut).cast("double")).alias("frac_extreme"))
 
 
-def xpehh(panel_wide: DataFrame, positions: list[float], by: str = "pop", group_a=0, group_b=1, cutoff: float = 0.05) -> DataFrame:
-    """site_idx, ihh_a, ihh_b, xpehh: log ratio of the two groups' integrated site-wise haplotype homozygosity.
+def integrated_homozygosity(panel_wide: DataFrame, positions: list[float], by: str = "pop", cutoff: float = 0.05, core_sites: int = 2048, flank_sites: int = 8192) -> DataFrame:
+    """by, site_idx, pos, ihh: each group's homozygosity around every site, integrated over positions.
 
     Homozygosity around a core site is the chance that two haplotypes of a group agree from the core
-    out to a site; it is integrated by trapezes on both sides until it falls under the cutoff. Each
-    core site is a task's unit, so the fold runs over sites in parallel; a group's alleles are one
-    row, collected once per group.
+    out to a site; it is integrated by trapezes on both sides until it falls under the cutoff. A task has
+    a group's alleles in one block of core sites with flanks, beyond which nothing is integrated.
     """
-    spark = panel_wide.sparkSession
-    rows = panel_wide.where(F.col(by).isin([group_a, group_b])).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("hap_id", "alleles"))).alias("haps"))
-    held = {r[by]: np.array([list(h["alleles"]) for h in r["haps"]], np.int8) for r in rows.collect()}
-    shared = spark.sparkContext.broadcast((held.get(group_a), held.get(group_b), np.asarray(positions, float)))
-
-    def integrate(batches):
-        a, b, pos = shared.value
-        for batch in batches:
-            sites = batch.column("site_idx").to_pylist()
-            ia, ib = [integrated_ehh(a, pos, s, cutoff) for s in sites], [integrated_ehh(b, pos, s, cutoff) for s in sites]
-            score = [float(np.log(x / y)) if x > 0 and y > 0 else None for x, y in zip(ia, ib, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(sites, pa.int32()), pa.array(ia, pa.float64()), pa.array(ib, pa.float64()), pa.array(score, pa.float64())], names=["site_idx", "ihh_a", "ihh_b", "xpehh"])
-
-    cores = spark.range(len(positions)).select(F.col("id").cast("int").alias("site_idx"))
-    return cores.mapInArrow(integrate, "site_idx int, ihh_a double, ihh_b double, xpehh double")
+    from panmixia.operators.flow import block_windows
+
+    pos = np.asarray(positions, float)
+    blocks = block_windows(len(pos), core_sites, flank_sites)
+    core = F.col("block") * core_sites
+    start = F.greatest(core - flank_sites, F.lit(0))
+    stop = F.least(F.least(core + core_sites, F.lit(len(pos))) + flank_sites, F.lit(len(pos)))
+    rows = panel_wide.select(by, "alleles", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))).alias("block"))
+    rows = rows.select(by, "block", F.slice("alleles", start + 1, stop - start).alias("alleles"))
+
+    def integrated(key, group):
+        _, first, last, a, z = blocks[key[1].as_py()]
+        haps = group.column("alleles").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, z - a)
+        area = [integrated_ehh(haps, pos[a:z], site - a, cutoff) for site in range(first, last)]
+        n = last - first
+        return pa.table({by: pa.array([key[0].as_py()] * n, group.schema.field(by).type), "site_idx": pa.array(range(first, last), pa.int32()), "pos": pa.array(pos[first:last]), "ihh": pa.array(area, pa.float64())})
+
+    kind = panel_wide.schema[by].dataType.simpleString()
+    return rows.groupBy(by, "block").applyInArrow(integrated, f"`{by}` {kind}, site_idx int, pos double, ihh double")
+
+
+def xpehh(ihh: DataFrame, by: str = "pop") -> DataFrame:
+    """a, b, site_idx, pos, ihh_a, ihh_b, xpehh: log ratios of two groups' integrated homozygosity, for all pairs of groups."""
+    a, b = ihh.alias("a"), ihh.alias("b")
+    pairs = a.join(b, (F.col("a.site_idx") == F.col("b.site_idx")) & (F.col(f"a.{by}") < F.col(f"b.{by}")))
+    x, y = F.col("a.ihh"), F.col("b.ihh")
+    return pairs.select(F.col(f"a.{by}").alias("a"), F.col(f"b.{by}").alias("b"), "a.site_idx", "a.pos", x.alias("ihh_a"), y.alias("ihh_b"), F.when((x > 0) & (y > 0), F.log(x / y)).alias("xpehh"))
+
+
+def gene_xpehh(scores: DataFrame, genes: DataFrame, flank: float = 500_000.0) -> DataFrame:
+    """Per gene and pair of groups the largest and the mean score of sites within ``flank`` of the gene."""
+    from panmixia.operators.intervals import point_join
+
+    wide = genes.select("gene_id", (F.col("start") - flank).alias("start"), (F.col("end") + flank).alias("end"))
+    met = point_join(scores.where("xpehh is not null"), wide, pos="pos")
+    return met.groupBy("gene_id", "a", "b").agg(F.max("xpehh").alias("max_xpehh"), F.avg("xpehh").alias("mean_xpehh"), F.count(F.lit(1)).alias("n_sites"))
 
 
 def integrated_ehh(haps: np.ndarray | None, pos: np.ndarray, core: int, cutoff: float) -> float:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panmixia import api
@@ -113,6 +115,11 @@ def hmm_posterior_batched_64(spark, sf_dir):
     return _rounded(hmm.hmm_posterior_batched(phases(spark, sf_dir), b.positions(), k=64), "mean", "lower", "upper", digits=2)
 
 
+@query(sql.hmm(b.PHASES_SQL, 128) + _SUMMARIES)
+def hmm_posterior_batched_128(spark, sf_dir):
+    return _rounded(hmm.hmm_posterior_batched(phases(spark, sf_dir), b.positions(), k=128), "mean", "lower", "upper")
+
+
 @query(sql.hmm(sql.SAMPLE_SQL) + " SELECT told.i, told.j, told.s AS site_idx, 1000.0::DOUBLE * (told.s + 1) AS pos, round(mean, 2) AS mean, round(lower, 2) AS lower, round(upper, 2) AS upper, round(e.ll, 2) AS loglik FROM told JOIN (SELECT i, j, ll FROM h WHERE s = 63) e ON e.i = told.i AND e.j = told.j")
 def infer_tmrca(spark, sf_dir):
     """The estimator's default: a hundred sampled pairs of the panel."""
@@ -183,6 +190,24 @@ def flow_fb_summary(spark, sf_dir):
     return _rounded(_context(spark).run_fb_summary(within_pop(spark, sf_dir)), "site_mean", "site_min", "site_max", digits=2)
 
 
+@query(lambda: sql.cached(b.PAIRS_SQL) + " SELECT s AS site_idx, round(avg(mean), 2) AS site_mean, round(min(mean), 2) AS site_min, round(max(mean), 2) AS site_max, count(*) AS n_pairs FROM z GROUP BY 1")
+def flow_fb_summary_merged(spark, sf_dir):
+    """Summaries of four disjoint sets of pairs, each by a context of its own, as one."""
+    pairs = within_pop(spark, sf_dir)
+    parts = [_context(spark).run_fb_summary(pairs.where(F.pmod("i", F.lit(4)) == k)) for k in range(4)]
+    return _rounded(flow.merge_summaries(functools.reduce(DataFrame.unionByName, parts)), "site_mean", "site_min", "site_max")
+
+
+@query("""WITH g AS (SELECT n_sites, n_pairs, free, mean_only FROM (SELECT unnest([1000, 100000, 1000000]) AS n_sites), (SELECT unnest([0, 100, 10000, 1000000]) AS n_pairs), (SELECT unnest([1073741824, 17179869184]) AS free), (SELECT unnest([true, false]) AS mean_only)),
+c AS (SELECT *, CASE WHEN n_pairs > 0 THEN greatest(free - greatest(536870912, free // 5), 0) // (4 * (CASE WHEN mean_only THEN 3 ELSE 5 END) * n_pairs) - 4096 END AS core FROM g)
+SELECT n_sites, n_pairs, free, mean_only, CASE WHEN n_pairs = 0 THEN least(n_sites, 32768) WHEN core <= 0 THEN least(n_sites, 1024) WHEN core >= n_sites THEN n_sites
+  ELSE greatest(1024, least(pow(2, floor(log2(core)))::BIGINT, 32768, n_sites)) END::BIGINT AS core_block FROM c""")
+def recommended_core_blocks(spark, sf_dir):
+    """Block sizes for panels, numbers of pairs and memory from small to large."""
+    rows = [(n, p, m, o, flow.recommend_core_block_size(n, p, m, o)) for n in (1000, 100_000, 1_000_000) for p in (0, 100, 10_000, 1_000_000) for m in (1 << 30, 1 << 34) for o in (True, False)]
+    return spark.createDataFrame(rows, "n_sites int, n_pairs int, free long, mean_only boolean, core_block long")
+
+
 @query(lambda: sql.blockwise(b.PHASES_SQL, 24, 16) + f" SELECT i, j, n::INT AS block_id, s AS site_idx, {_POS}, round(mean, 2) AS mean FROM z")
 def flow_fb_blockwise(spark, sf_dir):
     return _rounded(_context(spark).run_fb_blockwise(phases(spark, sf_dir), core_block_sites=24, flank_sites=16), "mean", digits=2)

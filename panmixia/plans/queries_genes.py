@@ -369,7 +369,14 @@ def neutral_control_candidates(spark, sf_dir):
     return rows.groupBy((F.col("gene") % 5).alias("superpop")).agg(F.count(F.lit(1)).alias("candidates"), F.round(F.min(F.abs(F.col("low") - 0.5)), 9).alias("nearest"))
 
 
-@query()
+_CONTROLS = _LOWS.replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT gene % 5 AS sp, gene // 20 AS chrom, 'G' || gene AS gene_name, abs(low - 0.5) AS d FROM low),
+pick AS (SELECT -1 AS sp, ''::VARCHAR AS gene_name, -1::BIGINT AS chrom, []::BIGINT[] AS used
+  UNION ALL SELECT p.sp + 1, coalesce(c.gene_name, ''), coalesce(c.chrom, -1), list_append(p.used, coalesce(c.chrom, -1)) FROM pick p LEFT JOIN (
+    SELECT q.sp AS of, arg_min(g.gene_name, (g.d, g.gene_name)) AS gene_name, arg_min(g.chrom, (g.d, g.gene_name)) AS chrom FROM pick q JOIN g ON g.sp = q.sp + 1 AND NOT list_contains(q.used, g.chrom) GROUP BY q.sp) c ON c.of = p.sp WHERE p.sp < 4)
+SELECT sp::BIGINT AS superpop, gene_name, chrom FROM pick WHERE gene_name <> ''"""
+
+
+@query(_CONTROLS)
 def neutral_controls(spark, sf_dir):
     """One control per superpopulation, each on a chromosome of its own."""
     rows = ranks(spark, sf_dir).groupBy("gene").agg(F.min("rank").alias("min_rank"))

@@ -90,9 +90,9 @@ def h12_h2h1(spark, sf_dir):
     return _windows(spark, sf_dir, drop=False).select("pop", "win", "h1", "h12", "h2h1")
 
 
-@query(_WINS + ", " + b.GENES_SQL + ' SELECT gene_id, pop, max(h12) AS max_h12, count(*) AS n_windows FROM hs JOIN genes ON mid BETWEEN "start" AND "end" GROUP BY 1, 2')
+@query(_WINS + ", " + b.GENES_SQL + ' SELECT gene_id, pop, max(h12) AS max_h12, arg_max(h2h1, h12 * 1e6 - win) AS h2h1_at_max, count(*) AS n_windows FROM hs JOIN genes ON mid BETWEEN "start" AND "end" GROUP BY 1, 2')
 def gene_max_h12(spark, sf_dir):
-    return s.gene_max(_windows(spark, sf_dir), b.genes(spark, sf_dir)).select("gene_id", "pop", "max_h12", "n_windows")
+    return s.gene_max(_windows(spark, sf_dir), b.genes(spark, sf_dir)).select("gene_id", "pop", "max_h12", "h2h1_at_max", "n_windows")
 
 
 @query(_WINS + " SELECT pop, max(h12) AS peak, arg_min(h12, abs(mid - 500 - 30000) * 1000 + win) AS at_focal FROM hs GROUP BY 1")
@@ -147,7 +147,27 @@ def tmrca_selscan_join(spark, sf_dir):
     return left.join(_gene_z(spark, sf_dir).select("gene", "max_abs", "n_sites"), "gene", "left")
 
 
-@query()
+_IHH = b.PAIRS_SQL + """, n AS (SELECT pop, i, j, site_idx AS s, coalesce(min(CASE WHEN d = 1 THEN site_idx END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 64) AS nxt,
+  coalesce(max(CASE WHEN d = 1 THEN site_idx END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS prv FROM diffs WINDOW w AS (PARTITION BY pop, i, j ORDER BY site_idx)),
+e AS (SELECT pop, n.s, k.o, avg((nxt > k.o)::INT) AS h FROM n JOIN (SELECT unnest(range(64)) AS o) k ON k.o >= n.s GROUP BY 1, 2, 3
+  UNION ALL SELECT pop, n.s, k.o, avg((prv < k.o)::INT) AS h FROM n JOIN (SELECT unnest(range(64)) AS o) k ON k.o < n.s GROUP BY 1, 2, 3),
+t AS (SELECT a.pop, a.s, a.o, (a.h + z.h) / 2 * 1000 AS area, z.h AS before FROM e a JOIN e z ON z.pop = a.pop AND z.s = a.s AND z.o = CASE WHEN a.o > a.s THEN a.o - 1 ELSE a.o + 1 END WHERE a.o <> a.s),
+ihh AS (SELECT pop, s, coalesce(sum(area) FILTER (before >= 0.05), 0) AS ihh FROM t GROUP BY 1, 2),
+x AS (SELECT a.pop AS a, z.pop AS b, a.s AS site_idx, 1000.0::DOUBLE * (a.s + 1) AS pos, a.ihh AS ihh_a, z.ihh AS ihh_b, CASE WHEN a.ihh > 0 AND z.ihh > 0 THEN ln(a.ihh / z.ihh) END AS xpehh FROM ihh a JOIN ihh z ON a.s = z.s AND a.pop < z.pop)"""
+
+
+def _xpehh(spark, sf_dir):
+    return s.xpehh(s.integrated_homozygosity(b.wide(spark, sf_dir), b.positions(), core_sites=24, flank_sites=40))
+
+
+@query(_IHH + " SELECT a, b, site_idx, round(ihh_a, 4) AS ihh_a, round(ihh_b, 4) AS ihh_b, round(xpehh, 6) AS xpehh FROM x")
 def xpehh(spark, sf_dir):
-    r = s.xpehh(b.wide(spark, sf_dir), b.positions())
-    return r.select("site_idx", F.round("ihh_a", 4).alias("ihh_a"), F.round("ihh_b", 4).alias("ihh_b"), F.round("xpehh", 6).alias("xpehh"))
+    """All pairs of populations."""
+    r = _xpehh(spark, sf_dir)
+    return r.select("a", "b", "site_idx", F.round("ihh_a", 4).alias("ihh_a"), F.round("ihh_b", 4).alias("ihh_b"), F.round("xpehh", 6).alias("xpehh"))
+
+
+@query(_IHH + ", " + b.GENES_SQL + ' SELECT gene_id, a, b, round(max(xpehh), 6) AS max_xpehh, round(avg(xpehh), 6) AS mean_xpehh, count(*) AS n_sites FROM x JOIN genes ON pos BETWEEN "start" - 5000 AND "end" + 5000 WHERE xpehh IS NOT NULL GROUP BY 1, 2, 3')
+def gene_xpehh(spark, sf_dir):
+    r = s.gene_xpehh(_xpehh(spark, sf_dir), b.genes(spark, sf_dir), 5000.0)
+    return r.select("gene_id", "a", "b", F.round("max_xpehh", 6).alias("max_xpehh"), F.round("mean_xpehh", 6).alias("mean_xpehh"), "n_sites")

@@ -15,8 +15,12 @@ from panmixia.streaming import accumulators
 
 
 def _scratch(spark) -> str:
-    """A new folder next to the checkpoints that the cluster names, or a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    """A new folder next to the checkpoints that the cluster names, or a temporary one in a local session that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp()
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -173,13 +177,26 @@ def streaming_accumulators(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("gene", "pop", "count", F.round("lin_sum", 4).alias("lin_sum"), "min_lin")
 
 
-@query()
+@query("SELECT r::INT AS r, c::INT AS c, (r - 25) * 0.125::DOUBLE AS u, (c * r - 7) * 0.0625::DOUBLE AS v FROM (SELECT unnest(range(51)) AS r), (SELECT unnest(range(50)) AS c)")
 def flow_field_text(spark, sf_dir):
-    """A field written as text and read back."""
-    from panmixia.api import default_flow_field
+    """A field of the published grid written as text and read back."""
+    import numpy as np
+
+    from panmixia.operators.flow import C_N, M_N, FlowField
     from panmixia.sources import flow_text
 
+    row, column = np.indices((M_N, C_N))
     path = _scratch(spark)
-    flow_text.write_flow_field(spark, path, default_flow_field(spark))
+    flow_text.write_flow_field(spark, path, FlowField((row - 25) * 0.125, (column * row - 7) * 0.0625))
     f = flow_text.read_flow_field(spark, path)
-    return spark.createDataFrame([(r, c, float(f.u[r, c]), float(f.v[r, c])) for r in range(f.u.shape[0]) for c in range(f.u.shape[1])], "r int, c int, u double, v double")
+    return spark.createDataFrame([(r, c, float(f.u[r, c]), float(f.v[r, c])) for r in range(M_N) for c in range(C_N)], "r int, c int, u double, v double")
+
+
+@query("SELECT 'species' || (r_regionkey % 2) AS species, r_name AS model_id, r_regionkey * 0.25::DOUBLE AS r FROM region")
+def load_results(spark, sf_dir):
+    """Benchmark results, a JSON document per file, written and loaded."""
+    path = _scratch(spark)
+    r = F.col("r_regionkey")
+    rows = b.read(spark, sf_dir, "region").select(F.concat(F.lit("species"), r % 2).alias("species"), F.col("r_name").alias("model_id"), (r * 0.25).alias("r"))
+    rows.repartitionByRange(8, "model_id").write.mode("overwrite").json(path)
+    return tables.load_results(spark, path, "species string, model_id string, r double")
