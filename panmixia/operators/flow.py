@@ -7,6 +7,7 @@ positions go to the tasks as they are; pairs are folded in batches.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, field
 
@@ -179,23 +180,29 @@ class Decoder:
             ms[s], cs[s] = m, c
         return ms, cs
 
-    def posterior(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        """Means in generations and the joined Gamma parameters; limits hold the shape at 1 or more."""
-        ms, cs = self.forward(x)
-        alpha, beta = np.empty_like(ms), np.empty_like(ms)
+    def posterior(self, x: np.ndarray, columns: tuple[str, ...] = ("mean", "lower", "upper", "alpha", "beta")) -> dict[str, np.ndarray]:
+        """Means in generations and the joined Gamma parameters; limits hold the shape at 1 or more. Only what is asked is worked out."""
+        ms, cs = self.forward(x)  # overwritten by the joined parameters from the end on
         m = c = np.zeros(len(x))
         for s in range(x.shape[1] - 1, -1, -1):
             (fa, fb), (ba, bb) = gamma_parameters(ms[s], cs[s]), gamma_parameters(m, c)
-            alpha[s], beta[s] = fa + ba - 1, fb + bb - 1
-            m, c = self.cache.retreat(m, c, int(self.lengths[s]), x[:, s])
-        mean = alpha / np.maximum(beta, 1e-10) * (2 * self.ne)
-        k = 1 / (9 * np.maximum(alpha, 1))
-        lo, hi = np.maximum(1 - k - 1.96 * np.sqrt(k), 0), 1 - k + 1.96 * np.sqrt(k)
-        out = {"mean": mean, "lower": np.maximum(mean * lo**3, 0), "upper": mean * hi**3, "alpha": alpha, "beta": beta}
-        return {name: v.T for name, v in out.items()}
-
-    def kernel(self, x, pos):
-        return self.posterior(x)
+            np.add(fa, ba - 1, out=ms[s])
+            np.add(fb, bb - 1, out=cs[s])
+            if s:
+                m, c = self.cache.retreat(m, c, int(self.lengths[s]), x[:, s])
+        out = {"alpha": ms, "beta": cs, "mean": ms / np.maximum(cs, 1e-10) * (2 * self.ne)}
+        if "lower" in columns or "upper" in columns:
+            k = 1 / (9 * np.maximum(ms, 1))
+            spread = 1.96 * np.sqrt(k)
+            lo, hi = np.maximum(1 - k - spread, 0), 1 - k + spread
+            out |= {"lower": np.maximum(out["mean"] * (lo * lo * lo), 0), "upper": out["mean"] * (hi * hi * hi)}
+        return {name: out[name].T for name in columns}
+
+    def kernel(self, columns: tuple[str, ...] = ("mean",)):
+        return functools.partial(self._posterior_of, columns)
+
+    def _posterior_of(self, columns, x, pos):
+        return self.posterior(x, columns)
 
     def state_kernel(self, x, pos):
         m, c = self.forward(x)
@@ -237,24 +244,37 @@ class StepCache:
         return self._stretch(*_emit(m, c, self.scaled_mu, het), n)
 
 
+_CACHES: dict[tuple, FlowCache] = {}
+
+
+def _cache(flow: FlowField, rho: float, mu: float, steps: int) -> FlowCache:
+    """Tables are kept for the last few fields and rates of an application."""
+    key = (id(flow), rho, mu, steps)
+    if key not in _CACHES:
+        if len(_CACHES) >= 4:
+            del _CACHES[next(iter(_CACHES))]
+        _CACHES[key] = FlowCache(flow, rho, mu, steps)  # holds the field, so its id stays its own
+    return _CACHES[key]
+
+
 class FlowContext:
     """Decoding of pairs of a panel under one field; parameters per bp and generation."""
 
     def __init__(self, positions: list[float], flow: FlowField, ne: float = 1e4, mu: float = 1.25e-8, rho: float = 1e-8, cache_steps: int = 0):
         self.positions, self.ne = list(map(float, positions)), ne
-        self.cache = FlowCache(flow, 4 * ne * rho, 4 * ne * mu, cache_steps or CACHE_STEPS)
+        self.cache = _cache(flow, 4 * ne * rho, 4 * ne * mu, cache_steps or CACHE_STEPS)
 
     def _decoder(self) -> Decoder:
         return Decoder(self.cache, self.ne, np.array(self.positions))
 
     def run_fb(self, pairs_xor: DataFrame, mean_only: bool = True, return_posterior: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
         columns = ("mean",) + (() if mean_only else ("lower", "upper")) + (("alpha", "beta") if return_posterior else ())
-        return fold.per_site(pairs_xor, self.positions, self._decoder().kernel, columns, keep)
+        return fold.per_site(pairs_xor, self.positions, self._decoder().kernel(columns), columns, keep)
 
     def run_fb_iterative(self, pairs_xor: DataFrame) -> DataFrame:
         """Both passes by steps instead of tables."""
         steps = StepCache(self.cache.field, self.cache.scaled_rho, self.cache.scaled_mu)
-        return fold.per_site(pairs_xor, self.positions, Decoder(steps, self.ne, np.array(self.positions)).kernel, ("mean", "lower", "upper"))
+        return fold.per_site(pairs_xor, self.positions, Decoder(steps, self.ne, np.array(self.positions)).kernel(("mean", "lower", "upper")), ("mean", "lower", "upper"))
 
     def run_fwd(self, pairs_xor: DataFrame) -> DataFrame:
         """The forward pass alone: the very states that run_fb joins."""
@@ -264,7 +284,7 @@ class FlowContext:
         return fold.per_site(pairs_xor, self.positions, self._decoder().state_kernel, ("mean_log10", "cv_log10"))
 
     def run_fb_summary(self, pairs_xor: DataFrame) -> DataFrame:
-        return fold.site_summary(pairs_xor, self.positions, self._decoder().kernel)
+        return fold.site_summary(pairs_xor, self.positions, self._decoder().kernel())
 
     def run_fb_blockwise(self, pairs_xor: DataFrame, core_block_sites: int = 8192, flank_sites: int = FLANK, mean_only: bool = True, return_posterior: bool = False) -> DataFrame:
         """Blocks of sites with flanks, each decoded from a fresh state; only a block's own sites come out.
@@ -293,7 +313,7 @@ class FlowContext:
                     step = max(1, fold.CELLS // (stop - start))
                     for at in range(0, own.num_rows, step):
                         part = own.slice(at, step)
-                        got = decoder.posterior(fold.unpack(part.column("xor"), sites)[:, start:stop])
+                        got = decoder.posterior(fold.unpack(part.column("xor"), sites)[:, start:stop], columns)
                         keep = slice(core - start, core_stop - start)
                         pick = pa.array(np.repeat(np.arange(part.num_rows), core_stop - core))
                         arrays = [part.column(c).take(pick) for c in ("i", "j", "block_id")]
