@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panmixia.functions.columns import histogram_bin
+from panmixia.operators import fold
 
 LO, HI, BINS = math.log(10.0), math.log(1e6), 50
 
@@ -19,6 +21,30 @@ def pair_means(sites: DataFrame, *by: str) -> DataFrame:
     return g.where("n_sites >= 2")
 
 
+def lead_pair_means(pairs_xor: DataFrame, positions: list[float], leads: list[tuple[int, float]], half: float, kernel: fold.Kernel, least_sites: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
+    """lead, i, j, n_sites, lin, log: means of a pair's times and of their logs within ``half`` of each lead, both ends included.
+
+    Windows of fewer than ``least_sites`` sites are left out. The kernel's times are reduced to windows
+    inside the fold, so no row per site leaves a task.
+    """
+    at = np.asarray(positions, float)
+    spans = [(lead, int(np.searchsorted(at, c - half)), int(np.searchsorted(at, c + half, side="right"))) for lead, c in leads]
+    spans = [(lead, a, z) for lead, a, z in spans if z - a >= max(least_sites, 1)]
+    first, last = (np.array([s[k] for s in spans], int) for k in (1, 2))
+
+    def windows(x, pos):
+        t = kernel(x, pos)["mean"]
+        out = {}
+        for name, v in (("lin", t), ("log", np.log(np.maximum(t, 1.0)))):
+            sums = np.concatenate([np.zeros((len(x), 1)), np.cumsum(v, axis=1)], axis=1)
+            out[name] = ((sums[:, last] - sums[:, first]) / np.maximum(last - first, 1)).tolist()
+        return out | {"lead": [[lead for lead, _, _ in spans]] * len(x), "n": [[z - a for _, a, z in spans]] * len(x)}
+
+    rows = fold.per_pair(pairs_xor, positions, windows, ("lead:array<long>", "n:array<long>", "lin:array<double>", "log:array<double>"), keep)
+    rows = rows.select("i", "j", *keep, F.explode(F.arrays_zip("lead", "n", "lin", "log")).alias("e"))
+    return rows.select("e.lead", "i", "j", *keep, F.col("e.n").alias("n_sites"), "e.lin", "e.log")
+
+
 def from_values(rows: DataFrame, value: str = "value") -> DataFrame:
     """Pairs that have one time each, in the form of ``pair_means``."""
     return rows.withColumns({"lin": F.col(value), "log": F.ln(F.greatest(F.col(value), F.lit(1.0)))})

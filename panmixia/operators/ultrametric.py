@@ -82,21 +82,34 @@ def propagate(haps: np.ndarray, pos: np.ndarray, model: Model, iterations: int =
     return gamma, ll, converged, n
 
 
-def ultrametric_project(posteriors: DataFrame, bins: int) -> DataFrame:
-    """Per set and site (set_id, site_idx, i, j, k, p) the assigned bin of each pair: one group per site, a few dozen haplotypes each."""
+def _trees(names_i: np.ndarray, names_j: np.ndarray, log_post: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bins by sites) of all pairs of a set, from log posteriors (pairs, sites, bins)."""
+    names = np.unique(np.concatenate([names_i, names_j]))
+    a, b = np.searchsorted(names, names_i), np.searchsorted(names, names_j)
+    table = np.full((log_post.shape[1], len(names), len(names), log_post.shape[2]), -1e30)
+    table[:, a, b] = table[:, b, a] = log_post.transpose(1, 0, 2)
+    i, j = _square(len(names))
+    return names[i], names[j], project(table)[:, i, j].T
+
+
+def ultrametric_project(pairs_xor: DataFrame, positions: list[float], **model) -> DataFrame:
+    """set_id, site_idx, i, j, k: the bin of each pair in the trees of its set, from all pairs of small sets (set_id, i, j, xor).
+
+    A set's posteriors and trees are one task's work: what is shuffled are packed differences, a row per
+    pair, not posteriors of sites and bins.
+    """
+    pos = np.asarray(positions, float)
+    hmm = Model(**model)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
-        a, b = np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"])
-        table = np.full((1, len(names), len(names), bins), -1e30)
+        words = np.ascontiguousarray(np.stack(pdf["xor"].to_numpy()).astype(np.int64))
+        x = np.unpackbits(words.view(np.uint8).reshape(len(pdf), -1), axis=1, bitorder="little")[:, : len(pos)]
         with np.errstate(divide="ignore"):
-            table[0, a, b, pdf["k"]] = np.log(pdf["p"])
-        table[0, b, a, pdf["k"]] = table[0, a, b, pdf["k"]]
-        out = project(table)[0]
-        i, j = _square(len(names))
-        return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "site_idx": pdf["site_idx"].iloc[0], "i": names[i], "j": names[j], "k": out[i, j]})
+            i, j, bins = _trees(pdf["i"].to_numpy(), pdf["j"].to_numpy(), np.log(hmm.passes(x, pos)[0]))
+        sites = len(pos)
+        return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "site_idx": np.tile(np.arange(sites, dtype=np.int32), len(i)), "i": np.repeat(i, sites), "j": np.repeat(j, sites), "k": bins.ravel()})
 
-    return posteriors.groupBy("set_id", "site_idx").applyInPandas(one, "set_id long, site_idx int, i long, j long, k int")
+    return pairs_xor.select("set_id", "i", "j", "xor").groupBy("set_id").applyInPandas(one, "set_id long, site_idx int, i long, j long, k int")
 
 
 def ep_infer(haps: DataFrame, positions: list[float], max_iterations: int = 5, damping: float = 0.5, tol: float = 0.01, **model) -> DataFrame:

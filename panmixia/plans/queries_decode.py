@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panmixia import api
-from panmixia.operators import flow, gamma_filter, hmm, panel, segments, ultrametric
+from panmixia.operators import flow, gamma_filter, genes, hmm, panel, segments, ultrametric
 from panmixia.plans import bindings as b
 from panmixia.plans import decoder_sql as sql
 from panmixia.plans.registry import query
@@ -92,6 +92,21 @@ def within_population_landscape(spark, sf_dir):
     return _rounded(gamma_filter.gamma_filter_site_summary(within_pop(spark, sf_dir), b.positions(), NE, MU, RHO), "site_mean", "site_min", "site_max")
 
 
+_LEAD_TIMES = _GAMMA_POP + """, t AS (SELECT n_nationkey::BIGINT AS lead, l.label AS pop, f.i, f.j, avg(a / b) AS lin, avg(ln(greatest(a / b, 1.0))) AS lg FROM f JOIN nation ON abs(1000.0 * (s + 1) - (2500.0 * n_nationkey + 2500)) <= 8000
+  JOIN embeddings l ON l.vec_id = f.i GROUP BY 1, 2, 3, 4 HAVING count(*) >= 12)
+  SELECT lead, pop, count(*) AS count, round(sum(lin) / count(*), 2) AS arith, round(exp(sum(lg) / count(*)), 2) AS geom, round(min(lin), 2) AS least FROM t GROUP BY 1, 2"""
+
+
+@query(_LEAD_TIMES)
+def lead_window_times(spark, sf_dir):
+    """Accumulators of pairs' mean times in windows around leads, of 12 sites at least (200 on a chromosome), by population."""
+    leads = [(k, 2500.0 * k + 2500) for k in range(25)]
+    kernel = gamma_filter.Filter(MU, RHO, NE).forward_kernel
+    means = genes.lead_pair_means(within_pop(spark, sf_dir), b.positions(), leads, 8000.0, kernel, 12, ("pop",))
+    acc = genes.accumulate(means, "lead", "pop")
+    return acc.select("lead", "pop", "count", F.round(F.col("lin_sum") / F.col("count"), 2).alias("arith"), F.round(F.exp(F.col("log_sum") / F.col("count")), 2).alias("geom"), F.round("min_lin", 2).alias("least"))
+
+
 _HMM = sql.hmm(b.PHASES_SQL)
 
 
@@ -146,8 +161,7 @@ def _sets(spark, sf_dir, size=8):
 def ultrametric_project(spark, sf_dir):
     """Trees of the posteriors of every four haplotypes."""
     quads = panel.pair_words(panel.packed_wide(b.wide(spark, sf_dir).withColumn("set_id", F.floor(F.col("hap_id") / 4))).drop("alleles"), "set_id")
-    post = hmm.hmm_posterior(quads, b.positions()).withColumn("set_id", F.floor(F.col("i") / 4))
-    return ultrametric.ultrametric_project(post, 32)
+    return ultrametric.ultrametric_project(quads, b.positions())
 
 
 @query()
