@@ -112,13 +112,13 @@ def read_selscan_table(spark, sf_dir):
     return tables.parse_selscan(lines).groupBy("pos", "freq", "stat", "abs_stat").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + b.VALUES_SQL + " SELECT gene, pop, count(*)::INT AS n_pairs, min(value) AS min_tmrca FROM vals GROUP BY 1, 2")
+@query("WITH " + b.VALUES_SQL + " SELECT gene, pop, count(*)::INT AS n_pairs, min(value) AS min_tmrca, round(exp(avg(ln(greatest(value, 1.0)))), 4) AS geom, round(avg(value), 4) AS arith FROM vals GROUP BY 1, 2")
 def write_gene_csv(spark, sf_dir):
     """Written as CSV and read back."""
     path = _scratch(spark)
     tables.gene_csv(g.accumulate(g.from_values(b.pair_values(spark, sf_dir)), "gene", "pop")).write.option("header", True).csv(path)
     schema = "gene long, pop long, geom_mean_tmrca double, arith_mean_tmrca double, min_tmrca double, n_pairs int"
-    return spark.read.schema(schema).option("header", True).csv(path).select("gene", "pop", "n_pairs", "min_tmrca")
+    return spark.read.schema(schema).option("header", True).csv(path).select("gene", "pop", "n_pairs", "min_tmrca", F.round("geom_mean_tmrca", 4).alias("geom"), F.round("arith_mean_tmrca", 4).alias("arith"))
 
 
 @query("WITH " + b.VALUES_SQL + " SELECT gene, pop::INT AS pop, count(*) AS count, round(sum(value), 4) AS lin_sum FROM vals WHERE pop = 4 GROUP BY 1, 2")
@@ -174,7 +174,7 @@ def streaming_accumulators(spark, sf_dir):
     rows = stream.select((F.col("l_partkey") % 200).alias("gene"), (F.col("l_suppkey") % 10).alias("pop"), F.col("l_extendedprice").alias("value"))
     path = _scratch(spark)
     accumulators.run_available(rows, f"{path}/out", f"{path}/checkpoint", "gene", "pop").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("gene", "pop", "count", F.round("lin_sum", 4).alias("lin_sum"), "min_lin")
+    return accumulators.latest(spark, f"{path}/out").select("gene", "pop", "count", F.round("lin_sum", 4).alias("lin_sum"), "min_lin")
 
 
 @query("SELECT r::INT AS r, c::INT AS c, (r - 25) * 0.125::DOUBLE AS u, (c * r - 7) * 0.0625::DOUBLE AS v FROM (SELECT unnest(range(51)) AS r), (SELECT unnest(range(50)) AS c)")

@@ -125,3 +125,22 @@ def test_texts(spark):
     assert [tuple(r) for r in vcf.sample_names(lines).collect()] == [(0, "S1"), (1, "S2")]
     empty = genes.accumulate(genes.from_values(spark.createDataFrame([(1, 1, float("nan"))], "gene long, pop long, value double")), "gene", "pop")
     assert tables.gene_csv(empty).first()["arith_mean_tmrca"] == ""
+
+
+def test_streamed_accumulators_survive_a_half_written_batch(spark, tmp_path):
+    import os
+    import shutil
+
+    from panmixia.streaming import accumulators
+
+    source, out, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "checkpoint"))
+    for k in range(4):
+        spark.createDataFrame([(1, 2.0 + k), (2, 5.0)], "gene long, value double").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("gene long, value double").parquet(source)
+        accumulators.run_available(stream, out, checkpoint, "gene").awaitTermination()
+        assert {r["gene"]: r["count"] for r in accumulators.latest(spark, out).collect()} == {1: k + 1, 2: k + 1}
+    batches = sorted(d for d in os.listdir(out) if d.startswith("batch="))
+    assert len(batches) == 2
+    shutil.copytree(f"{out}/{batches[-1]}", f"{out}/batch=99")
+    os.remove(f"{out}/batch=99/_SUCCESS")
+    assert accumulators.latest(spark, out).count() == 2 and accumulators._batches(spark, out)[0][-1] == 3
