@@ -91,7 +91,8 @@ def host_quality(docs: DataFrame, host: str = "source", reject_rate: float = 0.5
     """Judge documents by their own rules and by their host's record.
 
     Rule failures are summed by host. A Beta prior for each rule is fitted to all hosts' rates by
-    moments, and a host's rate is shrunk to (failures + a) / (documents + a + b). A host whose
+    moments, its strength a + b held to 1 to 10,000 (where hosts differ no more than counting does, it
+    is 10,000), and a host's rate is shrunk to (failures + a) / (documents + a + b). A host whose
     shrunk rate of any rule is over ``reject_rate`` loses, besides the documents that fail outright
     (under 50 words, or over half of the words in repeated 3-word windows), those that break any rule.
 
