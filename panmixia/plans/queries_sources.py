@@ -112,13 +112,16 @@ def read_selscan_table(spark, sf_dir):
     return tables.parse_selscan(lines).groupBy("pos", "freq", "stat", "abs_stat").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + b.VALUES_SQL + " SELECT gene, pop, count(*)::INT AS n_pairs, min(value) AS min_tmrca, round(exp(avg(ln(greatest(value, 1.0)))), 4) AS geom, round(avg(value), 4) AS arith FROM vals GROUP BY 1, 2")
+@query("WITH " + b.VALUES_SQL + " SELECT gene, pop, count(*)::INT AS n_pairs, min(value) AS min_tmrca, true AS geom_close, true AS arith_close FROM vals GROUP BY 1, 2")
 def write_gene_csv(spark, sf_dir):
-    """Written as CSV and read back."""
+    """Written as CSV and read back; means must be those of the values to the two decimals that are written."""
     path = _scratch(spark)
     tables.gene_csv(g.accumulate(g.from_values(b.pair_values(spark, sf_dir)), "gene", "pop")).write.option("header", True).csv(path)
     schema = "gene long, pop long, geom_mean_tmrca double, arith_mean_tmrca double, min_tmrca double, n_pairs int"
-    return spark.read.schema(schema).option("header", True).csv(path).select("gene", "pop", "n_pairs", "min_tmrca", F.round("geom_mean_tmrca", 4).alias("geom"), F.round("arith_mean_tmrca", 4).alias("arith"))
+    exact = b.pair_values(spark, sf_dir).groupBy("gene", "pop").agg(F.exp(F.avg(F.ln(F.greatest("value", F.lit(1.0))))).alias("geom"), F.avg("value").alias("arith"))
+    back = spark.read.schema(schema).option("header", True).csv(path).join(exact, ["gene", "pop"])
+    close = [(F.abs(F.col(f"{m}_mean_tmrca") - F.col(m)) < 0.00501).alias(f"{m}_close") for m in ("geom", "arith")]
+    return back.select("gene", "pop", "n_pairs", "min_tmrca", *close)
 
 
 @query("WITH " + b.VALUES_SQL + " SELECT gene, pop::INT AS pop, count(*) AS count, round(sum(value), 4) AS lin_sum FROM vals WHERE pop = 4 GROUP BY 1, 2")
