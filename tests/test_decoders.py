@@ -1,6 +1,7 @@
 """Decoders against plain per-pair versions."""
 
 import inspect
+import itertools
 import math
 
 import numpy as np
@@ -35,21 +36,17 @@ def by_pair(df, column):
 
 
 def plain_filter(d, pos):
-    a, b, out = 1.0, 1 / (2 * NE), []
-    for s in range(len(pos)):
-        if s:
-            gap = pos[s] - pos[s - 1]
-            p = 1 - math.exp(-RHO * gap)
-            if p > 1e-7:
-                m1 = (1 - p) * a / b + p * 2 * NE
-                m2 = (1 - p) * a * (a + 1) / b**2 + p * 2 * (2 * NE) ** 2
-                v = m2 - m1 * m1
-                if v > 1e-30:
-                    b = m1 / v
-                    a = m1 * b
-            b += 2 * MU * gap
-        a += d[s]
-        out.append((a, b))
+    """(shape, rate) after each site: mean and variance by the laws of total expectation and variance over recombination."""
+    prior = 2 * NE
+    mean, variance, out = prior, prior**2, []
+    for s, x in enumerate(d):
+        gap = pos[s] - pos[s - 1] if s else 0.0
+        moved = -math.expm1(-RHO * gap)
+        variance = (1 - moved) * variance + moved * prior**2 + moved * (1 - moved) * (mean - prior) ** 2
+        mean += moved * (prior - mean)
+        shape, rate = mean**2 / variance + x, mean / variance + 2 * MU * gap
+        out.append((shape, rate))
+        mean, variance = shape / rate, shape / rate**2
     return out
 
 
@@ -154,20 +151,19 @@ def test_segments_cover_the_sites(haps):
 
 
 def plain_tree(post, m, bins):
-    members, top, out = {i: [i] for i in range(m)}, dict.fromkeys(range(m), 0), {}
-    for _ in range(m - 1):
-        best = None
-        for a in sorted(members):
-            for b in sorted(x for x in members if x > a):
-                for k in range(max(top[a], top[b]), bins):
-                    s = sum(post[i, j, k] for i in members[a] for j in members[b])
-                    if best is None or s > best[0] + 1e-12 or (abs(s - best[0]) <= 1e-12 and k < best[3]):
-                        best = (s, a, b, k)
-        _, a, b, k = best
-        out |= {(min(i, j), max(i, j)): k for i in members[a] for j in members[b]}
-        members[a] += members.pop(b)
-        top[a] = k
-    return out
+    """Pairs' bins in the greedy tree: of all unions of two clusters at all bins not below theirs, the best; then the lowest and first."""
+    heights, pairs = {frozenset([i]): 0 for i in range(m)}, {}
+    while len(heights) > 1:
+        moves = []
+        for a, b in itertools.combinations(sorted(heights, key=min), 2):
+            for k in range(max(heights[a], heights[b]), bins):
+                total = math.fsum(post[i, j, k] for i in a for j in b)
+                moves.append(((round(total, 9), -k, -min(a), -min(b)), a, b))
+        (_, k, _, _), a, b = max(moves, key=lambda move: move[0])
+        pairs |= {tuple(sorted(pair)): -k for pair in itertools.product(a, b)}
+        del heights[a], heights[b]
+        heights[a | b] = -k
+    return pairs
 
 
 def test_trees_equal_the_plain_search():
