@@ -47,6 +47,28 @@ told AS (SELECT i, j, s, list_sum(list_transform({each}, lambda k: p[k] * t[k]))
     t[least(len(list_filter({each}, lambda k: list_sum(p[1:k]) < 0.025)) + 1, {k})] AS lower, t[least(len(list_filter({each}, lambda k: list_sum(p[1:k]) < 0.975)) + 1, {k})] AS upper FROM post, g)"""
 
 
+#: All pairs of every four haplotypes.
+QUADS_SQL = b.PANEL_SQL + """, diffs AS (SELECT x.hap_id AS i, y.hap_id AS j, x.site_idx, x.pos, (x.allele <> y.allele)::INT AS d
+  FROM panel x JOIN panel y ON y.hap_id // 4 = x.hap_id // 4 AND y.hap_id < x.hap_id AND y.site_idx = x.site_idx)"""
+
+
+def trees() -> str:
+    """Three unions of clusters per set and site: the best pair of clusters at the best bin not below theirs, then the lowest bin and the first clusters."""
+    out = hmm(QUADS_SQL) + """,
+lp AS MATERIALIZED (SELECT i // 4 AS set_id, s, i, j, u.k - 1 AS k, greatest(ln(p[u.k]), -1e30::DOUBLE) AS v FROM post, (SELECT unnest(range(1, 33)) AS k) u),
+c0 AS (SELECT DISTINCT set_id, s, hap, hap AS label, 0 AS floor FROM (SELECT set_id, s, i AS hap FROM lp UNION ALL SELECT set_id, s, j FROM lp))"""
+    for n in range(3):
+        out += f""",
+m{n} AS MATERIALIZED (SELECT set_id, s, arg_max({{'a': a, 'b': b, 'k': k}}, (v, -k, -a, -b)) AS m FROM (
+  SELECT l.set_id, l.s, least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, l.k, sum(l.v) AS v FROM lp l
+  JOIN c{n} x ON x.set_id = l.set_id AND x.s = l.s AND x.hap = l.i JOIN c{n} y ON y.set_id = l.set_id AND y.s = l.s AND y.hap = l.j
+  WHERE x.label <> y.label AND l.k >= x.floor AND l.k >= y.floor GROUP BY ALL) GROUP BY 1, 2),
+c{n + 1} AS MATERIALIZED (SELECT c.set_id, c.s, hap, CASE WHEN label = m.b THEN m.a ELSE label END AS label, CASE WHEN label IN (m.a, m.b) THEN m.k ELSE floor END AS floor, label AS before
+  FROM c{n} c JOIN m{n} m ON m.set_id = c.set_id AND m.s = c.s)"""
+    told = " UNION ALL ".join(f"SELECT x.set_id, x.s, x.hap AS i, y.hap AS j, m.m.k AS k FROM c{n + 1} x JOIN c{n + 1} y ON y.set_id = x.set_id AND y.s = x.s AND y.hap < x.hap AND x.label = y.label AND x.before <> y.before JOIN m{n} m ON m.set_id = x.set_id AND m.s = x.s" for n in range(3))
+    return out + f" SELECT set_id, s AS site_idx, i, j, k::INT AS k FROM ({told})"
+
+
 def pelt(prefix: str) -> str:
     """Best segmentations by the full recursion, nothing pruned; costs that agree to 1e-9 are ties, which the earliest start wins."""
     return recursive(prefix) + """,

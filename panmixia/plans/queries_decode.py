@@ -157,7 +157,7 @@ def _sets(spark, sf_dir, size=8):
     return b.wide(spark, sf_dir).select(F.floor(F.col("hap_id") / size).alias("set_id"), "hap_id", "alleles")
 
 
-@query()
+@query(sql.trees())
 def ultrametric_project(spark, sf_dir):
     """Trees of the posteriors of every four haplotypes."""
     quads = panel.pair_words(panel.packed_wide(b.wide(spark, sf_dir).withColumn("set_id", F.floor(F.col("hap_id") / 4))).drop("alleles"), "set_id")
