@@ -47,6 +47,34 @@ told AS (SELECT i, j, s, list_sum(list_transform({each}, lambda k: p[k] * t[k]))
     t[least(len(list_filter({each}, lambda k: list_sum(p[1:k]) < 0.025)) + 1, {k})] AS lower, t[least(len(list_filter({each}, lambda k: list_sum(p[1:k]) < 0.975)) + 1, {k})] AS upper FROM post, g)"""
 
 
+def reestimated(prefix: str, rounds: int = 20, k: int = 32) -> str:
+    """q0, q1, ...: the prior (q, done, n) before each round of both passes, blended with the mean posterior until it settles."""
+    each, emission = f"range(1, {k + 1})", "CASE WHEN d = 1 THEN 1 - same[k] ELSE same[k] END"
+    out = recursive(prefix) + f""",
+e AS (SELECT k, 100000.0::DOUBLE * (k / {k}.0) * (k / {k}.0) AS lo, 100000.0::DOUBLE * ((k + 1) / {k}.0) * ((k + 1) / {k}.0) AS hi FROM (SELECT unnest(range({k})) AS k)),
+g AS MATERIALIZED (SELECT list(exp(-1e-5::DOUBLE * (lo + hi) / 2) ORDER BY k) AS stay, list(exp(-2.5e-8::DOUBLE * (lo + hi) / 2) ORDER BY k) AS same, list(exp(-2.5e-8::DOUBLE * (lo + hi) / 2 * 999.0) ORDER BY k) AS gap FROM e),
+q0 AS MATERIALIZED (SELECT list((exp(-lo / 20000) - exp(-hi / 20000)) / (1 - exp(-5.0::DOUBLE)) ORDER BY k) AS q, false AS done, 1 AS n FROM e)"""
+    for r in range(rounds - 1):
+        out += f""",
+h{r} AS (SELECT i, j, s, list_transform(raw, lambda x: x / list_sum(raw)) AS a FROM (
+    SELECT i, j, s, list_transform({each}, lambda k: q[k] * {emission}) AS raw FROM dd, g, q{r} WHERE s = 0 AND NOT done)
+  UNION ALL SELECT i, j, s, list_transform(raw, lambda x: x / list_sum(raw)) FROM (
+    SELECT i, j, s, list_transform({each}, lambda k: (stay[k] * a[k] + q[k] * moved) * gap[k] * {emission}) AS raw FROM (
+      SELECT h.i, h.j, dd.s, dd.d, h.a, g.*, q, list_sum(list_transform({each}, lambda l: (1 - g.stay[l]) * h.a[l])) AS moved FROM h{r} h JOIN dd ON dd.i = h.i AND dd.j = h.j AND dd.s = h.s + 1, g, q{r}))),
+w{r} AS (SELECT i, j, s, list_transform({each}, lambda k: 1.0::DOUBLE) AS b FROM dd, q{r} WHERE s = 63 AND NOT done
+  UNION ALL SELECT i, j, s, list_transform(raw, lambda x: x / list_sum(raw)) FROM (
+    SELECT i, j, s, list_transform({each}, lambda k: stay[k] * be[k] + (1 - stay[k]) * sent) AS raw FROM (
+      SELECT *, list_sum(list_transform({each}, lambda k: be[k] * q[k])) AS sent FROM (
+        SELECT i, j, s, stay, q, list_transform({each}, lambda k: b[k] * gap[k] * {emission}) AS be FROM (
+          SELECT w.i, w.j, w.s - 1 AS s, dd.d, w.b, g.*, q FROM w{r} w JOIN dd ON dd.i = w.i AND dd.j = w.j AND dd.s = w.s, g, q{r} WHERE w.s > 0))))),
+m{r} AS MATERIALIZED (SELECT list(v ORDER BY k) AS v FROM (SELECT u.k, avg(p[u.k]) AS v FROM (SELECT list_transform(raw, lambda x: x / list_sum(raw)) AS p FROM (
+    SELECT list_transform({each}, lambda k: h.a[k] * w.b[k]) AS raw FROM h{r} h JOIN w{r} w ON w.i = h.i AND w.j = h.j AND w.s = h.s)), (SELECT unnest({each}) AS k) u GROUP BY 1)),
+q{r + 1} AS MATERIALIZED (SELECT CASE WHEN done THEN q ELSE new END AS q, done OR list_max(list_transform({each}, lambda k: abs(new[k] - q[k]))) < 1e-6::DOUBLE AS done, CASE WHEN done THEN n ELSE n + 1 END AS n FROM (
+    SELECT q, done, n, list_transform(raw, lambda x: x / list_sum(raw)) AS new FROM (
+      SELECT *, list_transform({each}, lambda k: exp((1 - 0.7::DOUBLE) * ln(greatest(q[k], 1e-30::DOUBLE)) + 0.7::DOUBLE * ln(greatest(v[k], 1e-30::DOUBLE)))) AS raw FROM q{r}, m{r})))"""
+    return out + f" SELECT (u.k - 1)::INT AS k, round(q[u.k], 7) AS q, n::INT AS n_iterations, done AS converged FROM q{rounds - 1}, (SELECT unnest({each}) AS k) u"
+
+
 #: All pairs of every four haplotypes.
 QUADS_SQL = b.PANEL_SQL + """, diffs AS (SELECT x.hap_id AS i, y.hap_id AS j, x.site_idx, x.pos, (x.allele <> y.allele)::INT AS d
   FROM panel x JOIN panel y ON y.hap_id // 4 = x.hap_id // 4 AND y.hap_id < x.hap_id AND y.site_idx = x.site_idx)"""

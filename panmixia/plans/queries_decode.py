@@ -142,10 +142,10 @@ def infer_tmrca(spark, sf_dir):
     return _rounded(r, "mean", "lower", "upper", "loglik", digits=2)
 
 
-@query()
+@query(sql.reestimated(b.PHASES_SQL))
 def adaptive_prior_infer(spark, sf_dir):
     summary, prior, history, converged = hmm.adaptive_prior_infer(phases(spark, sf_dir), b.positions())
-    return spark.createDataFrame([(k, round(float(q), 9), len(history), bool(converged)) for k, q in enumerate(prior)], "k int, q double, n_iterations int, converged boolean")
+    return spark.createDataFrame([(k, round(float(q), 7), len(history), bool(converged)) for k, q in enumerate(prior)], "k int, q double, n_iterations int, converged boolean")
 
 
 @query(sql.pelt(b.PAIRS_SQL))
