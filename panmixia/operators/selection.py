@@ -153,6 +153,12 @@ def integrated_homozygosity(panel_wide: DataFrame, positions: list[float], by: s
     out to a site; it is integrated by trapezes on both sides until it falls under the cutoff. A task has
     a group's alleles in one block of core sites with flanks, beyond which nothing is integrated.
     """
+    one = _in_blocks(panel_wide, positions, by, core_sites, flank_sites, lambda haps, pos, core: [integrated_ehh(haps, pos, core, cutoff)])
+    return one.select(by, "site_idx", "pos", F.get("area", F.lit(0)).alias("ihh"))
+
+
+def _in_blocks(panel_wide: DataFrame, positions: list[float], by: str, core_sites: int, flank_sites: int, areas) -> DataFrame:
+    """by, site_idx, pos, area: what ``areas`` gives for each core site, from a group's alleles in a block with flanks."""
     from panmixia.operators.flow import block_windows
 
     pos = np.asarray(positions, float)
@@ -166,12 +172,12 @@ def integrated_homozygosity(panel_wide: DataFrame, positions: list[float], by: s
     def integrated(key, group):
         _, first, last, a, z = blocks[key[1].as_py()]
         haps = group.column("alleles").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, z - a)
-        area = [integrated_ehh(haps, pos[a:z], site - a, cutoff) for site in range(first, last)]
+        found = [areas(haps, pos[a:z], site - a) for site in range(first, last)]
         n = last - first
-        return pa.table({by: pa.array([key[0].as_py()] * n, group.schema.field(by).type), "site_idx": pa.array(range(first, last), pa.int32()), "pos": pa.array(pos[first:last]), "ihh": pa.array(area, pa.float64())})
+        return pa.table({by: pa.array([key[0].as_py()] * n, group.schema.field(by).type), "site_idx": pa.array(range(first, last), pa.int32()), "pos": pa.array(pos[first:last]), "area": pa.array(found, pa.list_(pa.float64()))})
 
     kind = panel_wide.schema[by].dataType.simpleString()
-    return rows.groupBy(by, "block").applyInArrow(integrated, f"`{by}` {kind}, site_idx int, pos double, ihh double")
+    return rows.groupBy(by, "block").applyInArrow(integrated, f"`{by}` {kind}, site_idx int, pos double, area array<double>")
 
 
 def xpehh(ihh: DataFrame, by: str = "pop") -> DataFrame:
@@ -191,6 +197,45 @@ def gene_xpehh(scores: DataFrame, genes: DataFrame, flank: float = 500_000.0) ->
     return met.groupBy("gene_id", "a", "b").agg(F.max("xpehh").alias("max_xpehh"), F.avg("xpehh").alias("mean_xpehh"), F.count(F.lit(1)).alias("n_sites"))
 
 
+def ihs(panel_wide: DataFrame, positions: list[float], by: str = "pop", cutoff: float = 0.05, core_sites: int = 2048, flank_sites: int = 8192) -> DataFrame:
+    """by, site_idx, pos, ihh_0, ihh_1, ihs: the log ratio of integrated homozygosity around a site among the carriers of either allele.
+
+    Not standardised: ``normalise_in_bins`` does that by frequency. Blocks as in ``integrated_homozygosity``.
+    """
+    both = _in_blocks(panel_wide, positions, by, core_sites, flank_sites, lambda haps, pos, core: [integrated_ehh(haps[haps[:, core] == a], pos, core, cutoff) for a in (0, 1)])
+    x, y = F.get("area", F.lit(0)), F.get("area", F.lit(1))
+    return both.select(by, "site_idx", "pos", x.alias("ihh_0"), y.alias("ihh_1"), F.when((x > 0) & (y > 0), F.log(x / y)).alias("ihs"))
+
+
+def site_spread(panel: DataFrame, by: str = "pop") -> DataFrame:
+    """a, b, site_idx, d: the chance that a haplotype of group a and another one of group b differ at a site, from allele counts alone."""
+    counts = panel.groupBy(by, "site_idx").agg(F.sum("allele").cast("double").alias("c"), F.count(F.lit(1)).cast("double").alias("n"))
+    x, y = counts.alias("x"), counts.alias("y")
+    met = x.join(y, (F.col("x.site_idx") == F.col("y.site_idx")) & (F.col(f"x.{by}") <= F.col(f"y.{by}")))
+    own = F.col(f"x.{by}") == F.col(f"y.{by}")
+    within = 2 * F.col("x.c") * (F.col("x.n") - F.col("x.c")) / (F.col("x.n") * (F.col("x.n") - 1))
+    between = (F.col("x.c") * (F.col("y.n") - F.col("y.c")) + F.col("y.c") * (F.col("x.n") - F.col("x.c"))) / (F.col("x.n") * F.col("y.n"))
+    return met.select(F.col(f"x.{by}").alias("a"), F.col(f"y.{by}").alias("b"), "x.site_idx", F.when(own & (F.col("x.n") > 1), within).when(~own, between).alias("d"))
+
+
+def group_distances(panel: DataFrame, by: str = "pop", replicates: int = 100, seed: int = 42) -> DataFrame:
+    """a, b, mean, lower, upper: mean distance per site within (a = b) and between groups, with 95 percent bootstrap limits over sites.
+
+    No pair of haplotypes is made. Draw k of replicate r is the site numbered by md5 over "seed:r:k"; a
+    replicate is a sum over the sites' draws, so sites are joined with their counts, not drawn rows with sites.
+    """
+    spread = site_spread(panel, by)
+    sites = spread.select("site_idx").distinct().withColumn("no", F.row_number().over(Window.orderBy("site_idx")) - 1)  # a number per site
+    n = sites.count()
+    draws = panel.sparkSession.range(replicates * n).select(F.floor(F.col("id") / max(n, 1)).alias("r"), (F.col("id") % max(n, 1)).alias("k"))
+    named = F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("k").cast("string"))
+    drawn = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long") % max(n, 1)
+    times = draws.groupBy("r", drawn.alias("no")).agg(F.count(F.lit(1)).alias("times"))
+    rows = spread.join(sites, "site_idx").join(times, "no").groupBy("a", "b", "r").agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("m"))
+    limits = rows.groupBy("a", "b").agg(F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"))
+    return spread.groupBy("a", "b").agg(F.avg("d").alias("mean")).join(limits, ["a", "b"])
+
+
 def integrated_ehh(haps: np.ndarray | None, pos: np.ndarray, core: int, cutoff: float) -> float:
     """Area under homozygosity on both sides of a core; classes of equal haplotypes split as sites are added."""
     if haps is None or len(haps) < 2:

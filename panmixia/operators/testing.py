@@ -109,6 +109,17 @@ def hierarchical_fdr(ranks: DataFrame, neff: DataFrame, family: str = "superpop"
     return both.withColumn("stage2_rank", F.row_number().over(Window.orderBy("q_hier", "gene")))
 
 
+def candidate_cascade(genes: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
+    """step, name, n_genes: how many genes are left by each condition and all before it, one aggregation for all; null is no."""
+    left, counts = F.lit(True), []
+    for name, condition in steps:
+        left = left & F.coalesce(condition, F.lit(False))
+        counts.append((name, F.count_if(left)))
+    row = genes.agg(*[c.alias(f"c{k}") for k, (_, c) in enumerate(counts)])
+    each = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(name).alias("name"), F.col(f"c{k}").alias("n_genes")) for k, (name, _) in enumerate(counts)])
+    return row.select(F.inline(each))
+
+
 def candidate_replication(ranks: DataFrame, family: str = "superpop") -> DataFrame:
     """Per gene and family: populations under 1, 5 and 10 percent, their binomial tails and expected numbers."""
     g = ranks.groupBy("gene", family).agg(F.count("rank").alias("n"), *[F.count_if(F.col("rank") < t / 100).alias(f"b{t}") for t in (1, 5, 10)])

@@ -317,6 +317,18 @@ def hierarchical_fdr(spark, sf_dir):
     return testing.hierarchical_fdr(rows, neff).select("gene", F.round("q_family", 8).alias("q_family"), F.round("q_hier", 8).alias("q_hier"))
 
 
+@query(_RANKS + ", t AS (SELECT gene, pop // 2 AS grp, 1 - pow(1 - min(rank), 1.8) AS p FROM ranks GROUP BY 1, 2), s1 AS (SELECT gene, min(q) AS p, 0 AS grp FROM " + _BH.format("t") + " GROUP BY 1), h AS (SELECT gene, q FROM " + _BH.format("s1") + """),
+  b AS (SELECT gene, min(rank) AS low, count(*) FILTER (rank < 0.05) AS b5 FROM ranks GROUP BY 1), x AS (SELECT *, TRUE AS c0, low < 0.1 AS c1, q < 0.9 AS c2, b5 >= 2 AS c3 FROM b LEFT JOIN h USING (gene))
+  SELECT step::INT AS step, name, n_genes FROM (SELECT 0 AS step, 'all' AS name, count(*) FILTER (c0) AS n_genes FROM x UNION ALL SELECT 1, 'tenth', count(*) FILTER (c0 AND c1) FROM x
+  UNION ALL SELECT 2, 'hierarchical', count(*) FILTER (c0 AND c1 AND c2) FROM x UNION ALL SELECT 3, 'replicated', count(*) FILTER (c0 AND c1 AND c2 AND c3) FROM x)""")
+def candidate_cascade(spark, sf_dir):
+    """Genes left by rank, by the hierarchical q, and by replication in two populations."""
+    rows = ranks(spark, sf_dir).withColumn("superpop", F.floor(F.col("pop") / 2))
+    q = testing.hierarchical_fdr(rows, rows.select("superpop", F.lit(1.8).alias("neff")).distinct()).select("gene", "q_hier")
+    table = rows.groupBy("gene").agg(F.min("rank").alias("low"), F.count_if(F.col("rank") < 0.05).alias("b5")).join(q, "gene", "left")
+    return testing.candidate_cascade(table, [("all", F.lit(True)), ("tenth", F.col("low") < 0.1), ("hierarchical", F.col("q_hier") < 0.9), ("replicated", F.col("b5") >= 2)])
+
+
 _RUNS = """WITH a AS (SELECT l_partkey AS gene, avg(l_extendedprice) AS a FROM lineitem GROUP BY 1), b AS (SELECT l_partkey AS gene, avg(l_extendedprice) * (1 + (l_partkey % 7) / 1000.0::DOUBLE) AS b FROM lineitem GROUP BY 1),
  m AS (SELECT gene, round(a, 6) AS a, round(b, 6) AS b FROM a JOIN b USING (gene))"""
 

@@ -160,14 +160,42 @@ def _xpehh(spark, sf_dir):
     return s.xpehh(s.integrated_homozygosity(b.wide(spark, sf_dir), b.positions(), core_sites=24, flank_sites=40))
 
 
-@query(_IHH + " SELECT a, b, site_idx, round(ihh_a, 4) AS ihh_a, round(ihh_b, 4) AS ihh_b, round(xpehh, 6) AS xpehh FROM x")
+@query(_IHH + " SELECT a, b, site_idx, round(ihh_a, 4) AS ihh_a, round(ihh_b, 4) AS ihh_b, round(xpehh, 6) + 0.0 AS xpehh FROM x")
 def xpehh(spark, sf_dir):
     """All pairs of populations."""
     r = _xpehh(spark, sf_dir)
-    return r.select("a", "b", "site_idx", F.round("ihh_a", 4).alias("ihh_a"), F.round("ihh_b", 4).alias("ihh_b"), F.round("xpehh", 6).alias("xpehh"))
+    return r.select("a", "b", "site_idx", F.round("ihh_a", 4).alias("ihh_a"), F.round("ihh_b", 4).alias("ihh_b"), (F.round("xpehh", 6) + 0.0).alias("xpehh"))
 
 
-@query(_IHH + ", " + b.GENES_SQL + ' SELECT gene_id, a, b, round(max(xpehh), 6) AS max_xpehh, round(avg(xpehh), 6) AS mean_xpehh, count(*) AS n_sites FROM x JOIN genes ON pos BETWEEN "start" - 5000 AND "end" + 5000 WHERE xpehh IS NOT NULL GROUP BY 1, 2, 3')
+@query(_IHH + ", " + b.GENES_SQL + ' SELECT gene_id, a, b, round(max(xpehh), 6) + 0.0 AS max_xpehh, round(avg(xpehh), 6) + 0.0 AS mean_xpehh, count(*) AS n_sites FROM x JOIN genes ON pos BETWEEN "start" - 5000 AND "end" + 5000 WHERE xpehh IS NOT NULL GROUP BY 1, 2, 3')
 def gene_xpehh(spark, sf_dir):
     r = s.gene_xpehh(_xpehh(spark, sf_dir), b.genes(spark, sf_dir), 5000.0)
-    return r.select("gene_id", "a", "b", F.round("max_xpehh", 6).alias("max_xpehh"), F.round("mean_xpehh", 6).alias("mean_xpehh"), "n_sites")
+    return r.select("gene_id", "a", "b", (F.round("max_xpehh", 6) + 0.0).alias("max_xpehh"), (F.round("mean_xpehh", 6) + 0.0).alias("mean_xpehh"), "n_sites")
+
+
+_IHS = b.PAIRS_SQL + """, n AS (SELECT pop, i, j, site_idx AS s, d, coalesce(min(CASE WHEN d = 1 THEN site_idx END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 64) AS nxt,
+  coalesce(max(CASE WHEN d = 1 THEN site_idx END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS prv FROM diffs WINDOW w AS (PARTITION BY pop, i, j ORDER BY site_idx)),
+c AS MATERIALIZED (SELECT n.pop, n.s, p.allele, nxt, prv FROM n JOIN panel p ON p.hap_id = n.i AND p.site_idx = n.s WHERE n.d = 0),
+e AS (SELECT pop, allele, s, o, avg((CASE WHEN o >= s THEN nxt > o ELSE prv < o END)::INT) AS h FROM c, (SELECT unnest(range(64)) AS o) GROUP BY 1, 2, 3, 4),
+t AS (SELECT a.pop, a.allele, a.s, a.o, (a.h + z.h) / 2 * 1000 AS area, z.h AS before FROM e a JOIN e z ON z.pop = a.pop AND z.allele = a.allele AND z.s = a.s AND z.o = CASE WHEN a.o > a.s THEN a.o - 1 ELSE a.o + 1 END WHERE a.o <> a.s),
+h AS (SELECT pop, allele, s, coalesce(sum(area) FILTER (before >= 0.05), 0) AS ihh FROM t GROUP BY 1, 2, 3),
+g AS (SELECT pop, site_idx AS s, pos FROM panel GROUP BY 1, 2, 3),
+r AS (SELECT g.pop, g.s, g.pos, coalesce(x.ihh, 0) AS x, coalesce(y.ihh, 0) AS y FROM g LEFT JOIN h x ON x.pop = g.pop AND x.s = g.s AND x.allele = 0 LEFT JOIN h y ON y.pop = g.pop AND y.s = g.s AND y.allele = 1)
+SELECT pop, s AS site_idx, pos, round(x, 4) AS ihh_0, round(y, 4) AS ihh_1, round(CASE WHEN x > 0 AND y > 0 THEN ln(x / y) END, 6) + 0.0 AS ihs FROM r"""
+
+
+@query(_IHS)
+def ihs(spark, sf_dir):
+    r = s.ihs(b.wide(spark, sf_dir), b.positions(), core_sites=24, flank_sites=40)
+    return r.select("pop", "site_idx", "pos", *[F.round(c, 4).alias(c) for c in ("ihh_0", "ihh_1")], (F.round("ihs", 6) + 0.0).alias("ihs"))
+
+
+@query(b.PANEL_SQL + """, c AS (SELECT pop, site_idx, sum(allele)::DOUBLE AS c, count(*)::DOUBLE AS n FROM panel GROUP BY 1, 2),
+d AS (SELECT x.pop AS a, y.pop AS b, x.site_idx AS s, CASE WHEN x.pop = y.pop THEN 2 * x.c * (x.n - x.c) / (x.n * (x.n - 1)) ELSE (x.c * (y.n - y.c) + y.c * (x.n - x.c)) / (x.n * y.n) END AS d FROM c x JOIN c y ON x.site_idx = y.site_idx AND x.pop <= y.pop),
+w AS (SELECT r, ('0x' || substr(md5('42:' || r || ':' || k), 1, 15))::BIGINT % 64 AS s, count(*) AS times FROM (SELECT unnest(range(100)) AS r), (SELECT unnest(range(64)) AS k) GROUP BY 1, 2),
+m AS (SELECT a, b, r, sum(d * times) / sum(times) AS m FROM d JOIN w USING (s) GROUP BY 1, 2, 3), l AS (SELECT a, b, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM m GROUP BY 1, 2)
+SELECT a, b, round(avg(d), 8) AS mean, round(any_value(lower), 8) AS lower, round(any_value(upper), 8) AS upper FROM d JOIN l USING (a, b) GROUP BY 1, 2""")
+def group_distances(spark, sf_dir):
+    """Within and between populations, with bootstrap limits."""
+    r = s.group_distances(b.panel(spark, sf_dir))
+    return r.select("a", "b", *[F.round(c, 8).alias(c) for c in ("mean", "lower", "upper")])
