@@ -123,25 +123,37 @@ def sd_mask(spark, sf_dir):
 _MASKED = ", " + b.GENES_SQL + ", " + b.MASKS_SQL + """, bad AS (SELECT g.gene_id FROM genes g JOIN masks m ON g."start" <= m."end" AND m."start" <= g."end" GROUP BY 1 HAVING sum(least(g."end", m."end") - greatest(g."start", m."start")) / 4000 >= 0.5)"""
 
 
-@query(_RANKS + _MASKED + " SELECT gene, round(min(rank), 9) AS min_rank FROM ranks WHERE gene % 25 NOT IN (SELECT gene_id FROM bad) GROUP BY 1 ORDER BY min_rank, gene LIMIT 50")
+_FIVE = _ACC + """, cum AS (SELECT gene, pop, bin, sum(n) OVER (PARTITION BY gene, pop ORDER BY bin) AS c, sum(n) OVER (PARTITION BY gene, pop) AS t FROM hist),
+  cutoff AS (SELECT (ln(20000.0::DOUBLE) - ln(10.0)) / ((ln(1e6) - ln(10.0)) / 50) AS x),
+  s AS (SELECT gene, pop, 'geom_mean' AS stat, round(exp(log_sum / n), 6) AS v FROM acc UNION ALL SELECT gene, pop, 'min', min_lin FROM acc
+  UNION ALL SELECT gene, pop, 'p' || p, round(exp(ln(10.0) + (min(bin) + 0.5) * ((ln(1e6) - ln(10.0)) / 50)), 6) FROM cum, (SELECT unnest([5, 10]) AS p) WHERE c >= p / 100.0::DOUBLE * t GROUP BY gene, pop, p
+  UNION ALL SELECT gene, pop, 'frac_below_20000', round(-sum(CASE WHEN bin < floor(x) THEN n WHEN bin = floor(x) THEN n * (x - floor(x)) ELSE 0 END) / sum(n), 6) FROM hist, cutoff GROUP BY gene, pop),
+  r AS (SELECT gene, stat, (rank() OVER (PARTITION BY stat, pop ORDER BY v) + (count(*) OVER (PARTITION BY stat, pop, v) - 1) / 2.0) / count(*) OVER (PARTITION BY stat, pop) AS rank FROM s),
+  m AS (SELECT gene, stat, min(rank) AS m FROM r GROUP BY 1, 2)"""
+
+
+def five_lows(spark, sf_dir):
+    """gene, stat, min_rank of the five statistics that are compared; many young pairs rank as a small time does."""
+    acc = accumulators(spark, sf_dir)
+    values = {"geom_mean": g.statistic("geom_mean"), "p5": g.statistic("p5"), "p10": g.statistic("p10"), "min": g.statistic("min"), "frac_below_20000": -g.statistic("frac_below_20000")}
+    each = F.array(*[F.struct(F.lit(n).alias("stat"), F.round(v, 6).alias("v")) for n, v in values.items()])
+    rows = acc.select("gene", "pop", F.inline(each)).withColumn("rank", rank_pct("v", "stat", "pop"))
+    return rows.groupBy("gene", "stat").agg(F.min("rank").alias("min_rank"))
+
+
+@query(_FIVE + _MASKED + " SELECT stat, gene, round(m, 9) AS min_rank FROM m WHERE gene % 25 NOT IN (SELECT gene_id FROM bad) QUALIFY row_number() OVER (PARTITION BY stat ORDER BY round(m, 9), gene) <= 50")
 def sd_filtered_top50(spark, sf_dir):
-    """The 50 smallest ranks without genes that the mask covers (genes are laid over the intervals in turn)."""
+    """For each statistic the 50 smallest ranks without genes that the mask covers (genes are laid over the intervals in turn)."""
     masks = b.masks(spark, sf_dir).select(F.col("start").alias("m_start"), F.col("end").alias("m_end"))
     bad = intervals.mask_flags(b.genes(spark, sf_dir), masks).where("masked").select(F.col("gene_id").alias("bad"))
-    r = g.rank_summary(ranks(spark, sf_dir)).select("gene", F.round("min_rank", 9).alias("min_rank"))
-    return g.top_k(r.join(bad, F.col("gene") % 25 == F.col("bad"), "left_anti"), 50, F.col("min_rank"), F.col("gene"))
+    rows = five_lows(spark, sf_dir).withColumn("min_rank", F.round("min_rank", 9)).join(bad, F.col("gene") % 25 == F.col("bad"), "left_anti")
+    place = F.row_number().over(Window.partitionBy("stat").orderBy("min_rank", "gene"))
+    return rows.withColumn("place", place).where("place <= 50").select("stat", "gene", "min_rank")
 
 
-@query(_ACC + """, s AS (SELECT gene, pop, 'geom_mean' AS stat, round(exp(log_sum / n), 6) AS v FROM acc UNION ALL SELECT gene, pop, 'arith_mean', round(lin_sum / n, 6) FROM acc UNION ALL SELECT gene, pop, 'min', min_lin FROM acc),
-  r AS (SELECT gene, stat, (rank() OVER (PARTITION BY stat, pop ORDER BY v) + (count(*) OVER (PARTITION BY stat, pop, v) - 1) / 2.0) / count(*) OVER (PARTITION BY stat, pop) AS rank FROM s),
-  m AS (SELECT gene, stat, min(rank) AS m FROM r GROUP BY 1, 2)
-  SELECT stat, count(*) FILTER (m < 0.10) AS below_10, count(*) FILTER (m < 0.05) AS below_5, count(*) FILTER (m < 0.01) AS below_1 FROM m WHERE gene IN (SELECT n_nationkey FROM nation) GROUP BY 1""")
+@query(_FIVE + " SELECT stat, count(*) FILTER (m < 0.10) AS below_10, count(*) FILTER (m < 0.05) AS below_5, count(*) FILTER (m < 0.01) AS below_1 FROM m WHERE gene IN (SELECT n_nationkey FROM nation) GROUP BY 1")
 def stat_comparison(spark, sf_dir):
-    acc = accumulators(spark, sf_dir)
-    parts = [acc.select("gene", "pop", F.lit(s).alias("stat"), F.round(g.statistic(s), 6).alias("v")) for s in ("geom_mean", "arith_mean", "min")]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("rank", rank_pct("v", "stat", "pop"))
-    lows = rows.groupBy("gene", "stat").agg(F.min("rank").alias("min_rank"))
-    return g.control_counts(lows, b.genes(spark, sf_dir).select(F.col("gene_id").alias("gene")))
+    return g.control_counts(five_lows(spark, sf_dir), b.genes(spark, sf_dir).select(F.col("gene_id").alias("gene")))
 
 
 @query(_ACC + ", y AS (SELECT gene, pop, sum(CASE WHEN bin < 5 THEN n ELSE 0 END) AS young FROM hist GROUP BY 1, 2) SELECT a.gene, a.pop, round(young / n, 9) AS young_share, round(lin_sum / n, 7) AS arith, min_lin AS least FROM acc a JOIN y ON a.gene = y.gene AND a.pop = y.pop")
