@@ -76,12 +76,10 @@ def percentile(q: float) -> Column:
     """exp of the centre of the first bin at which the counts up to it reach q of all."""
     target = q * F.col("count")
     centre = LO + (HI - LO) / BINS * 0.5
-
-    def upto(k: Column) -> Column:
-        return F.aggregate(F.slice("hist", F.lit(1), k + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-
-    first = F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.when(upto(k) >= target, k)), lambda k: k.isNotNull()))
-    return F.exp(centre + first * ((HI - LO) / BINS))
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("passed"))
+    # one pass: bins whose running sum stays below the target come before the first that reaches it
+    walked = F.aggregate("hist", start, lambda a, x: F.struct((a["upto"] + x).alias("upto"), (a["passed"] + F.when(a["upto"] + x < target, 1).otherwise(0)).alias("passed")), lambda a: a["passed"])
+    return F.when(target <= F.col("count"), F.exp(centre + walked * ((HI - LO) / BINS)))
 
 
 def frac_below(years: float) -> Column:
