@@ -72,6 +72,15 @@ def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.orderBy(h, *keys).limit(n)
 
 
+def give_back() -> None:
+    """Return memory that a worker no longer needs to the system; workers are used again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def trimmed(f):
     """A map over batches whose worker gives memory back when its task ends, since workers are used again.
 
@@ -85,11 +94,7 @@ def trimmed(f):
             yield from f(batches)
         finally:
             gc.enable()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from panmixia.llm.common import cut, salted, shared_dir
+from panmixia.llm.common import cut, give_back, salted, shared_dir
 
 #: Payloads below this are never replaced by a revisit record.
 LEAST_BYTES = 100
@@ -28,6 +28,8 @@ BROADCAST_ROWS = 100_000
 MANIFEST = "_manifest.json"
 #: Bytes of an archive from which on a reader's next partition begins, at a record.
 SPLIT_BYTES = 64 << 20
+#: Payloads that a reader hands on at once.
+BATCH_BYTES = 4 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, payload_digest string, payload_bytes long, refers_to long, payload binary"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -188,6 +190,12 @@ class WarcReader(DataSourceReader):
         return sorted(at, key=lambda a: a.start - a.stop) or [Archive("", 0, 0)]
 
     def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from self._batches(partition)
+        finally:
+            give_back()
+
+    def _batches(self, partition: Archive) -> Iterator[pa.RecordBatch]:
         if not partition.uri:
             return
         fs, path = filesystem(partition.uri)
@@ -205,7 +213,7 @@ class WarcReader(DataSourceReader):
                 rows["refers_to"].append(int(refers) if refers else None)
                 rows["payload"].append(payload)
                 size += 200 + len(payload or b"")
-                if size > 8 << 20:
+                if size > BATCH_BYTES:
                     yield self._batch(rows)
                     rows, size = {c: [] for c in COLUMNS}, 0
         yield self._batch(rows)
@@ -289,6 +297,7 @@ class WarcWriter(DataSourceWriter):
                 raw = member(raw) if self.gzip else raw
                 out.write(raw)
                 length += len(raw)
+        give_back()
         return Written(name, length, splits[1:])
 
     def commit(self, messages):
