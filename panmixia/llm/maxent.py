@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,44 +277,58 @@ def _train_classes(stats: DataFrame, steps: int, partitions: int = 8) -> np.ndar
     """Gradient updates of the weights that cells share: each step's gradient is summed over the partitions of the counts.
 
     A step divides by the model's own expected counts, which bound the curvature from above; a small
-    ridge keeps weights of rare features near 0.
+    ridge keeps weights of rare features near 0. Sums over partitions are made by a task, so that the
+    driver gets one table as large as the weights a step, and the counts seen, which no step changes, once.
     """
     spark = stats.sparkSession
     # each task sends a gradient as large as the weights, so their number is fixed here
     rows = stats.select("bucket", "cells").coalesce(partitions)
     weights = np.zeros((int(OFFSETS[-1]), CLASSES), np.float32)
 
-
     def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = sum((n.sum(axis=0, dtype=float) for batch in batches for _, n in _cells(batch)), np.zeros(CLASSES))
         yield pa.RecordBatch.from_pydict({"total": [total.tolist()]})
 
+    def by_feature(f: np.ndarray, values: np.ndarray, to: np.ndarray) -> None:
+        order = np.argsort(f, kind="stable")
+        ids, first = np.unique(f[order], return_index=True)
+        to[ids] += np.add.reduceat(values[order], first, axis=0)
+
+    def summed(of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum over all cells of what ``of`` makes of cells and their counts, by feature."""
+        shape = weights.shape
+
+        def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape, np.float32)
+            for batch in batches:
+                for own, counts in _cells(batch):
+                    values = of(own, counts)
+                    for f in _features(own):
+                        by_feature(f, values, total)
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "total": [total.tobytes()]})
+
+        def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape)
+            for batch in batches:
+                for raw in batch.column("total"):
+                    total += np.frombuffer(raw.as_buffer(), np.float32).reshape(shape)
+            yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
+
+        parts = rows.mapInArrow(part, "part long, total binary").repartition(1).sortWithinPartitions("part")
+        return np.frombuffer(parts.select("total").mapInArrow(whole, "total binary").first()["total"]).reshape(shape)
+
     total = sum((np.array(r["total"]) for r in rows.mapInArrow(classes, "total array<double>").collect()), np.zeros(CLASSES))
     weights[0] = np.log((total + 0.5) / (total.sum() + 0.5 * CLASSES))
     active = 4
+    seen = summed(lambda own, counts: counts)
 
     for _ in range(steps):
         shared = spark.sparkContext.broadcast(weights)
-
-        def gradient(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            w = shared.value
-            seen, expected = np.zeros((2, *w.shape), np.float32)
-            for batch in batches:
-                for own, counts in _cells(batch):
-                    model = np.exp(class_log_probs(w, own)) * counts.sum(1, keepdims=True)
-                    for f in _features(own):
-                        order = np.argsort(f, kind="stable")
-                        ids, first = np.unique(f[order], return_index=True)
-                        seen[ids] += np.add.reduceat(counts[order], first, axis=0)
-                        expected[ids] += np.add.reduceat(model[order], first, axis=0)
-            yield pa.RecordBatch.from_pydict({"seen": [seen.tobytes()], "expected": [expected.tobytes()]})
-
-        parts = rows.mapInArrow(gradient, "seen binary, expected binary").collect()
-        seen, expected = (sum((np.frombuffer(p[k], np.float32).astype(float) for p in parts), np.zeros(weights.size)).reshape(weights.shape) for k in ("seen", "expected"))
+        expected = summed(lambda own, counts, shared=shared: np.exp(class_log_probs(shared.value, own)) * counts.sum(1, keepdims=True))
         step = (seen - expected - weights) / (np.maximum(expected, seen / 4) + 2.0)
         step[0] = 0.0
         weights = (weights + np.clip(step, -2, 2) / active).astype(np.float32)
-        shared.unpersist()
+        shared.destroy()
     return weights
 
 

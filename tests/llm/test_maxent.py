@@ -121,3 +121,18 @@ def test_scores_match_a_plain_version(spark, documents, monkeypatch):
 def test_awkward(awkward, empty):
     check(maxent.score(awkward).collect(), [(r["doc_id"], r["text"]) for r in awkward.collect()])
     assert maxent.score(empty).count() == 0
+
+
+def test_driver_gets_one_table_a_step(spark, monkeypatch):
+    """The driver's share of the training does not follow the number of partitions, and neither does the result."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng, steps, got = np.random.default_rng(5), 3, []
+    counts = [(int(b), rng.poisson(0.2, maxent.CLASSES**2).astype(np.int64).tobytes()) for b in rng.choice(maxent.BUCKETS, 24, replace=False)]
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    found = [maxent._train_classes(spark.createDataFrame(counts, "bucket int, cells binary").repartition(n), steps, n) for n in (8, 1)]
+    assert np.allclose(*found, atol=1e-4)
+    assert found[0][0].std() > 0
+    tables = [x for rows in got for r in rows for x in r if isinstance(x, (bytes, bytearray))]
+    assert len(tables) == 2 * (steps + 1)
