@@ -78,33 +78,54 @@ def packed_wide(wide: DataFrame) -> DataFrame:
     return wide.withColumn("words", pack_words(F.col("alleles"))).withColumn("n_sites", F.size("alleles"))
 
 
-def pairs(haps: DataFrame, *within: str, ordered: str = "i>j") -> DataFrame:
-    """All pairs of haplotypes that agree on ``within``, the larger number first (or last with "i<j")."""
-    a, b = haps.alias("a"), haps.alias("b")
+def _grid(haps: DataFrame, *within: str, blocks: int | None = None) -> DataFrame:
+    """Rows a.* and b.* of all pairs within groups, a's haplotype number the larger.
+
+    Groups are few and large, so haplotypes lie in blocks, and a cell of the grid of two blocks is a join
+    key: a group's pairs are made in ``blocks`` squared cells, for which a row is copied ``blocks`` times
+    on either side. Both sides are dealt by the join's own keys to a number of tasks that follows the
+    cores; Spark would else merge them by the bytes of the haplotypes, and what follows a pair costs much more.
+    """
+    cores = haps.sparkSession.sparkContext.defaultParallelism
+    n = blocks or max(8, math.ceil(math.sqrt(2 * cores)))
+    own, each = F.pmod("hap_id", F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = ["__a", "__b", *within]
+    a = haps.withColumn("__a", own).withColumn("__b", each).repartition(8 * cores, *cell).alias("a")
+    b = haps.withColumn("__b", own).withColumn("__a", each).repartition(8 * cores, *cell).alias("b")
     on = F.col("a.hap_id") > F.col("b.hap_id")
-    for c in within:
+    for c in cell:
         on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b.hint("shuffle_hash"), on)
+
+
+def pairs(haps: DataFrame, *within: str, ordered: str = "i>j") -> DataFrame:
+    """All pairs of haplotypes that agree on ``within``, the larger number first (or last with "i<j")."""
     i, j = ("a", "b") if ordered == "i>j" else ("b", "a")
-    return a.join(b, on).select(F.col(f"{i}.hap_id").alias("i"), F.col(f"{j}.hap_id").alias("j"), *[F.col(f"a.{c}").alias(c) for c in within])
+    rows = _grid(haps.select("hap_id", *within), *within)
+    return rows.select(F.col(f"{i}.hap_id").alias("i"), F.col(f"{j}.hap_id").alias("j"), *[F.col(f"a.{c}").alias(c) for c in within])
 
 
-def pair_words(packed: DataFrame, *within: str, blocks: int | None = None) -> DataFrame:
-    """i, j, xor: packed differences of all pairs within groups, by one join of packed rows.
+def sorted_pairs(haps: DataFrame, within: str, least: int = 1) -> DataFrame:
+    """The different pairs (i, j), i > j, of haplotypes that agree on ``within``, in order; groups of fewer than ``least`` rows have none.
 
-    Groups are few and large, so haplotypes lie in blocks, and a cell of the grid of two blocks is a join
-    key: a group's pairs are made by ``blocks`` squared tasks, for which a row is copied ``blocks`` times
-    on either side. Their number follows the cores. Rows are dealt to all cores beforehand, whichever
-    side a small join then broadcasts: what follows a pair costs much more than its words.
+    Haplotypes are made different and sorted, not pairs: a task has a range of them, each meets its
+    group's numbers in order, and those before its own are its pairs. Pairs are never moved.
     """
-    cores = packed.sparkSession.sparkContext.defaultParallelism
-    n = blocks or max(4, math.ceil(math.sqrt(2 * cores)))
-    own, each = F.pmod("hap_id", F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = packed.withColumn("__a", own).withColumn("__b", each).repartition(2 * cores, "hap_id", "__b").alias("a")
-    b = packed.withColumn("__b", own).withColumn("__a", each).repartition(2 * cores, "hap_id", "__a").alias("b")
-    on = (F.col("a.__a") == F.col("b.__a")) & (F.col("a.__b") == F.col("b.__b")) & (F.col("a.hap_id") > F.col("b.hap_id"))
-    for c in within:
-        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    return a.join(b, on).select(F.col("a.hap_id").alias("i"), F.col("b.hap_id").alias("j"), *[F.col(f"a.{c}").alias(c) for c in within], F.zip_with("a.words", "b.words", lambda x, y: x.bitwiseXOR(y)).alias("xor"), F.col("a.n_sites").alias("n_sites"))
+    cores = haps.sparkSession.sparkContext.defaultParallelism
+    group = haps.groupBy(within).agg(F.array_sort(F.collect_set("hap_id")).alias("__all"), F.count(F.lit(1)).alias("__n"))
+    first = haps.select("hap_id", within).distinct().repartitionByRange(8 * cores, "hap_id").sortWithinPartitions("hap_id")
+    first = first.mapInArrow(lambda batches: batches, first.schema)  # else the optimiser drops the sort, since a join follows
+    rows = first.join(F.broadcast(group.where(F.col("__n") >= least).drop("__n")), within)
+    rows = rows.select("hap_id", F.slice("__all", F.lit(1), (F.array_position("__all", F.col("hap_id")) - 1).cast("int")).alias("__below"))
+    if not haps.select("hap_id", within).distinct().groupBy("hap_id").count().where("count > 1").isEmpty():  # numbers that lie in several groups
+        rows = rows.groupBy("hap_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__below")))).alias("__below")).sortWithinPartitions("hap_id")
+    return rows.select(F.col("hap_id").alias("i"), F.explode("__below").alias("j"))
+
+
+def pair_words(packed: DataFrame, *within: str, blocks: int | None = None) -> DataFrame:
+    """i, j, xor: packed differences of all pairs within groups, by one join of packed rows."""
+    rows = _grid(packed, *within, blocks=blocks)
+    return rows.select(F.col("a.hap_id").alias("i"), F.col("b.hap_id").alias("j"), *[F.col(f"a.{c}").alias(c) for c in within], F.zip_with("a.words", "b.words", lambda x, y: x.bitwiseXOR(y)).alias("xor"), F.col("a.n_sites").alias("n_sites"))
 
 
 def explicit_pairs(pair_list: DataFrame, packed: DataFrame) -> DataFrame:
@@ -142,13 +163,66 @@ def prefix_scan(pairs_xor: DataFrame) -> DataFrame:
     return fold.per_site(pairs_xor, list(range(n)), lambda x, pos: {"n_diff": np.cumsum(x, axis=1, dtype=np.int64)}, ("n_diff:long",)).drop("pos")
 
 
+def _smallest(n: int, by: tuple[str, ...], most: int = 100_000):
+    """A map over batches that hands on the ``n`` rows of smallest (__key, i, j) of each group of its task.
+
+    Rows above a group's n-th smallest key so far are dropped as they come, so few are ever held.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def groups(t: pa.Table) -> tuple[np.ndarray, list[tuple]]:
+        codes, keys = np.zeros(t.num_rows, np.int64), [()]
+        for c in by:
+            d = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = codes * len(d.dictionary) + d.indices.to_numpy()
+            keys = [(*k, x) for k in keys for x in d.dictionary.to_pylist()]
+        return codes, keys
+
+    def run(batches):
+        bounds, held, size, full = {}, [], 0, most
+
+        def pruned() -> pa.Table:
+            t = pa.Table.from_batches([b for h in held for b in h.to_batches()])
+            codes, keys = groups(t)
+            t = t.append_column("__code", pa.array(codes))
+            t = t.take(pc.sort_indices(t, [(c, "ascending") for c in ("__code", "__key", "i", "j")]))
+            codes = t.column("__code").to_numpy()
+            rank = np.arange(len(codes)) - np.searchsorted(codes, codes)
+            last = np.flatnonzero(rank == n - 1)
+            bounds.update(zip((keys[k] for k in codes[last]), t.column("__key").take(pa.array(last)).to_pylist(), strict=True))
+            return t.filter(pa.array(rank < n)).drop_columns(["__code"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if bounds:
+                codes, keys = groups(t)
+                used, at = np.unique(codes, return_inverse=True)  # a bound that no key exceeds where there is none
+                t = t.filter(pc.less_equal(t.column("__key"), pa.array([bounds.get(keys[k], "g") for k in used], pa.string()).take(pa.array(at))))
+            held, size = [*held, t], size + t.num_rows
+            if size >= full:
+                held = [pruned()]
+                size = held[0].num_rows
+                full = size + most
+        if size:
+            yield from pruned().to_batches()
+
+    return run
+
+
 def sample_pairs(pair_rows: DataFrame, n: int, *by: str, seed: int = 42) -> DataFrame:
-    """``n`` pairs (of each group) without replacement: those of the smallest hash of (i, j, seed), so reruns agree."""
+    """``n`` pairs (of each group) without replacement: those of the smallest hash of (i, j, seed), so reruns agree.
+
+    A task hands on the n smallest of each group among its pairs, so the others are neither sorted nor moved.
+    """
     key = F.md5(F.concat_ws(":", "i", "j", F.lit(str(seed))))
     if not by:
         return pair_rows.orderBy(key, "i", "j").limit(n)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(key, "i", "j"))
-    return pair_rows.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    keyed = pair_rows.withColumn("__key", key)
+    rows = keyed.mapInArrow(_smallest(n, by), keyed.schema)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__key", "i", "j"))
+    return rows.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank", "__key")
 
 
 def numbered_pairs(haps: DataFrame, numbers: list[int]) -> DataFrame:

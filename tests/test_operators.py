@@ -144,3 +144,18 @@ def test_streamed_accumulators_survive_a_half_written_batch(spark, tmp_path):
     shutil.copytree(f"{out}/{batches[-1]}", f"{out}/batch=99")
     os.remove(f"{out}/batch=99/_SUCCESS")
     assert accumulators.latest(spark, out).count() == 2 and accumulators._batches(spark, out)[0][-1] == 3
+
+
+def test_smallest_hashes_of_groups_leave_a_task():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [(None if g == 3 else int(g), int(i), int(i) - 1, f"{k:04x}") for g, i, k in zip(rng.integers(0, 4, 6000), rng.integers(1, 50, 6000), rng.integers(0, 900, 6000), strict=True)]
+    rows += [(9, 2, 1, "0001")] * 3 + [(8, 7, 5, "ffff")]
+    names = ["pop", "i", "j", "__key"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) if k else pa.array(c, pa.int64()) for k, c in enumerate(zip(*rows[at : at + 250], strict=True))], names=names) for at in range(0, len(rows), 250)]
+    got = [tuple(r[c] for c in names) for b in panel._smallest(5, ("pop",), most=700)(iter(batches)) for r in b.to_pylist()]
+    groups = {r[0] for r in rows}
+    expected = [r for g in groups for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[3], r[1], r[2]))[:5]]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert list(panel._smallest(5, ("pop",))(iter([]))) == []
