@@ -27,8 +27,9 @@ def unpack(words: pa.Array, n_sites: int) -> np.ndarray:
     return bits[:, :n_sites]
 
 
-def _parts(batches: Iterable[pa.RecordBatch], n_sites: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    step = max(1, CELLS // max(n_sites, 1))
+def parts(batches: Iterable[pa.RecordBatch], n_sites: int, cells: int = CELLS) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of batches with their differences as matrices."""
+    step = max(1, cells // max(n_sites, 1))
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
@@ -48,7 +49,7 @@ def per_site(pairs_xor: DataFrame, positions: list[float], kernel: Kernel, colum
     arrow = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32()}
 
     def run(batches):
-        for part, x in _parts(batches, len(pos)):
+        for part, x in parts(batches, len(pos)):
             got = kernel(x, pos)
             pick = pa.array(np.repeat(np.arange(len(x)), len(out_sites)))
             arrays = [part.column(c).take(pick) for c in names]
@@ -68,7 +69,7 @@ def per_pair(pairs_xor: DataFrame, positions: list[float], kernel: Kernel, colum
     arrow = {"double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
     def run(batches):
-        for part, x in _parts(batches, len(pos)):
+        for part, x in parts(batches, len(pos)):
             got = kernel(x, pos)
             arrays = [part.column(c) for c in names] + [pa.array(list(got[c]), arrow[k]) for c, k in kinds.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *kinds])
@@ -84,7 +85,7 @@ def site_summary(pairs_xor: DataFrame, positions: list[float], kernel: Kernel, c
 
     def run(batches):
         total, low, high, n = np.zeros(len(out_sites)), np.full(len(out_sites), np.inf), np.full(len(out_sites), -np.inf), 0
-        for _, x in _parts(batches, len(pos)):
+        for _, x in parts(batches, len(pos)):
             v = kernel(x, pos)[column][:, out_sites]
             total, low, high, n = total + v.sum(0), np.minimum(low, v.min(0)), np.maximum(high, v.max(0)), n + len(v)
         if n:

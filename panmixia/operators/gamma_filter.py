@@ -37,6 +37,8 @@ class Filter:
         m2 = (1 - p) * a * (a + 1) / (b * b) + p * 2 * t * t
         v = m2 - m1 * m1
         ok = v > 1e-30
+        if ok.all():
+            return m1 * m1 / v, m1 / v
         shape = np.divide(m1 * m1, v, out=a.copy(), where=ok)
         rate = np.divide(m1, v, out=b.copy(), where=ok)
         return shape, rate
@@ -67,6 +69,11 @@ class Filter:
                 a, b = self.mixed(a, b + 2 * self.mu * gap, gap)
         return shapes.T, rates.T
 
+    def forward_means(self, x: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Means alone, sites by pairs."""
+        a, b = self.forward(x, pos)
+        return a.T / b.T
+
     def forward_kernel(self, x, pos):
         a, b = self.forward(x, pos)
         lo, hi = credible(a / b, a)

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from panmixia.functions.columns import histogram_bin
 from panmixia.operators import fold
 
 LO, HI, BINS = math.log(10.0), math.log(1e6), 50
+#: Pairs that lead windows take at once, so that a site's states stay in cache.
+LEAD_PAIRS = 2048
 
 
 def pair_means(sites: DataFrame, *by: str) -> DataFrame:
@@ -45,6 +50,51 @@ def lead_pair_means(pairs_xor: DataFrame, positions: list[float], leads: list[tu
     return rows.select("e.lead", "i", "j", *keep, F.col("e.n").alias("n_sites"), "e.lin", "e.log")
 
 
+def lead_pair_accumulators(pairs_xor: DataFrame, positions: list[float], leads: list[tuple[int, float]], half: float, means: Callable[[np.ndarray, np.ndarray], np.ndarray], least_sites: int, by: str) -> DataFrame:
+    """The accumulators of ``lead_pair_means`` per lead and ``by``; ``means`` gives a matrix of sites by pairs.
+
+    A task adds them up as ``accumulate`` would and sends a row per lead and group, not one per lead and pair.
+    """
+    at = np.asarray(positions, float)
+    spans = [(lead, int(np.searchsorted(at, c - half)), int(np.searchsorted(at, c + half, side="right"))) for lead, c in leads]
+    spans = [(lead, a, z) for lead, a, z in spans if z - a >= max(least_sites, 1)]
+    first, last = (np.array([s[k] for s in spans], int) for k in (1, 2))
+    size, row0 = (last - first)[:, None], np.arange(len(spans))[:, None] * BINS
+
+    def within(v: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
+        return (sums[last] - sums[first]) / size
+
+    def added(held: dict[str, np.ndarray] | None, lin: np.ndarray, log: np.ndarray) -> dict[str, np.ndarray]:
+        bins = np.clip(np.floor((log - LO) / ((HI - LO) / BINS)), 0, BINS - 1).astype(np.int64) + row0
+        hist = np.bincount(bins.ravel(), minlength=len(spans) * BINS).reshape(-1, BINS)
+        new = {"lin_sum": lin.sum(1), "log_sum": log.sum(1), "log_sq_sum": (log * log).sum(1), "min_lin": lin.min(1), "min_log": log.min(1), "hist": hist}
+        return {k: np.minimum(held[k], v) if k.startswith("min") else held[k] + v for k, v in new.items()} if held else new
+
+    def run(batches):
+        held: dict = {}
+        for part, x in fold.parts(batches, len(at), LEAD_PAIRS * len(at)):
+            groups = part.column(by).dictionary_encode(null_encoding="encode")
+            codes = groups.indices.to_numpy()
+            t = means(x, at)
+            lin, log = within(t), within(np.log(np.maximum(t, 1.0)))
+            for k, g in enumerate(groups.dictionary.to_pylist()):
+                own = codes == k
+                if own.any():
+                    held[g] = added(held.get(g), *((lin, log) if own.all() else (lin[:, own], log[:, own])))
+        for g, acc in held.items():
+            columns = {"lead": pa.array([lead for lead, _, _ in spans], pa.int64()), by: pa.array([g] * len(spans), kind), "count": pa.array(acc["hist"].sum(1))}
+            columns |= {k: pa.array(v) for k, v in acc.items() if k != "hist"} | {"hist": pa.array(acc["hist"].tolist(), pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    field = pairs_xor.schema[by].dataType
+    kind = to_arrow_type(field)
+    if not spans:
+        pairs_xor = pairs_xor.limit(0)
+    schema = f"lead long, `{by}` {field.simpleString()}, count long, lin_sum double, log_sum double, log_sq_sum double, min_lin double, min_log double, hist array<long>"
+    return merge(pairs_xor.select(by, "xor").mapInArrow(run, schema), "lead", by)
+
+
 def from_values(rows: DataFrame, value: str = "value") -> DataFrame:
     """Pairs that have one time each, in the form of ``pair_means``."""
     return rows.withColumns({"lin": F.col(value), "log": F.ln(F.greatest(F.col(value), F.lit(1.0)))})

@@ -116,7 +116,7 @@ def expected_bins(pairs_xor: DataFrame, positions: list[float], model: Model) ->
 
     def run(batches):
         total, ll, n = np.zeros(len(model.t)), 0.0, 0
-        for _, x in fold._parts(batches, len(pos)):
+        for _, x in fold.parts(batches, len(pos)):
             for at in range(0, len(x), 512):  # posteriors are bins times larger than differences
                 gamma, own = model.passes(x[at : at + 512], pos)
                 total, ll, n = total + gamma.sum((0, 1)), ll + own.sum(), n + gamma.shape[0] * gamma.shape[1]

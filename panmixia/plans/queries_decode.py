@@ -101,9 +101,8 @@ _LEAD_TIMES = _GAMMA_POP + """, t AS (SELECT n_nationkey::BIGINT AS lead, l.labe
 def lead_window_times(spark, sf_dir):
     """Accumulators of pairs' mean times in windows around leads, of 12 sites at least (200 on a chromosome), by population."""
     leads = [(k, 2500.0 * k + 2500) for k in range(25)]
-    kernel = gamma_filter.Filter(MU, RHO, NE).forward_kernel
-    means = genes.lead_pair_means(within_pop(spark, sf_dir), b.positions(), leads, 8000.0, kernel, 12, ("pop",))
-    acc = genes.accumulate(means, "lead", "pop")
+    means = gamma_filter.Filter(MU, RHO, NE).forward_means
+    acc = genes.lead_pair_accumulators(within_pop(spark, sf_dir), b.positions(), leads, 8000.0, means, 12, "pop")
     return acc.select("lead", "pop", "count", F.round(F.col("lin_sum") / F.col("count"), 2).alias("arith"), F.round(F.exp(F.col("log_sum") / F.col("count")), 2).alias("geom"), F.round("min_lin", 2).alias("least"))
 
 

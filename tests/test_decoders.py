@@ -363,3 +363,21 @@ def test_queries_do_not_work_less_than_the_operators(monkeypatch):
         with pytest.raises(Called) as said:
             run(None, None)
         assert not said.value.args[0]
+
+
+def test_lead_accumulators_are_those_of_pair_means(spark):
+    from panmixia.operators import fold, gamma_filter, genes, panel
+
+    rng = np.random.default_rng(11)
+    rows = [(i, None if i % 4 == 3 else int(i % 3), rng.integers(0, 2, 40).tolist()) for i in range(36)]
+    haps = panel.packed_wide(spark.createDataFrame(rows, "hap_id long, pop int, alleles array<int>")).drop("alleles")
+    pairs, pos, leads = panel.pair_words(haps, "pop"), [700.0 * (k + 1) for k in range(40)], [(4, 3000.0), (5, 15000.0), (6, 28000.0)]
+    f = gamma_filter.Filter(1.25e-8, 1e-8, 1e4)
+    sent = genes.lead_pair_accumulators(pairs, pos, leads, 5000.0, f.forward_means, 8, "pop")
+    plain = genes.accumulate(genes.lead_pair_means(pairs, pos, leads, 5000.0, f.forward_kernel, 8, ("pop",)), "lead", "pop")
+    a, z = ({(r["lead"], r["pop"]): r for r in df.collect()} for df in (sent, plain))
+    assert a.keys() == z.keys() and len(a) == 9
+    for k, r in a.items():
+        assert r["hist"] == z[k]["hist"] and r["count"] == z[k]["count"]
+        assert np.allclose([r[c] for c in ("lin_sum", "log_sum", "log_sq_sum", "min_lin", "min_log")], [z[k][c] for c in ("lin_sum", "log_sum", "log_sq_sum", "min_lin", "min_log")], rtol=1e-12)
+    assert genes.lead_pair_accumulators(pairs, pos, leads, 5000.0, f.forward_means, 50, "pop").count() == 0
