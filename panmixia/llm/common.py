@@ -81,6 +81,11 @@ def give_back() -> None:
         trim(0)
 
 
+def relieve(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage and shrink its heap, which else grows to its limit before it does."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def trimmed(f):
     """A map over batches whose worker gives memory back when its task ends, since workers are used again.
 

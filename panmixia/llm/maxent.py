@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panmixia.llm.common import cut, fold_of, stored, strings, trimmed
+from panmixia.llm.common import fold_of, give_back, relieve, stored, strings, trimmed
 
 #: A token that no word equals: a document's end, and the context before its first word.
 END = b""
@@ -29,6 +29,8 @@ BUCKETS = CLASSES * HASHES
 TAIL = CLASSES - 1
 CELLS = BUCKETS * CLASSES
 CHUNK = 200_000
+#: Buckets whose tables the driver takes at once, 9 MB at most.
+PART = 256
 #: Counts that a weight must outweigh.
 RIDGE = 1.0
 
@@ -375,6 +377,16 @@ def _train_buckets(stats: DataFrame, shared, weights, steps: int = 12) -> DataFr
     return stats.mapInArrow(trained, "bucket int, classes binary, slots binary, norms binary")
 
 
+def _gather(trained: DataFrame, into: dict[str, np.ndarray]) -> None:
+    """Write the buckets' rows, tens of MB in all, into arrays. They come by stretches of buckets, so what the driver's JVM holds at once has a bound."""
+    for k in range(0, BUCKETS, PART):
+        t = trained.where(F.col("bucket").between(k, k + PART - 1)).toArrow()
+        buckets = t.column("bucket").to_pylist()
+        for name, to in into.items():
+            for b, raw in zip(buckets, t.column(name), strict=True):
+                to[b] = np.frombuffer(raw.as_buffer(), to.dtype)
+
+
 @dataclass
 class Model:
     """What scoring needs: bounded by the head's size and the hashed tables, whatever the corpus."""
@@ -415,10 +427,12 @@ def fit(train: DataFrame, counts: DataFrame, steps: int = 14) -> Model:
     for b in range(BUCKETS):
         classes[b] = class_log_probs(weights, b * CLASSES + np.arange(CLASSES)).ravel()
     pairs, norms = np.zeros((BUCKETS, head.slots), np.float16), np.zeros((BUCKETS, CLASSES), np.float32)
-    for r in trained.toLocalIterator():  # tens of MB in all, a partition at a time
-        classes[r["bucket"]], pairs[r["bucket"]], norms[r["bucket"]] = np.frombuffer(r["classes"], np.float32), np.frombuffer(r["slots"], np.float16), np.frombuffer(r["norms"], np.float32)
     shared_weights.destroy()
     shared.destroy()
+    relieve(train.sparkSession)
+    _gather(trained, {"classes": classes, "slots": pairs, "norms": norms})
+    give_back()
+    relieve(train.sparkSession)
     return Model(head, classes.reshape(CELLS, CLASSES), pairs, norms, int(n), int(v), tail, min(unseen, 0.99) if tail else 1.0)
 
 
@@ -473,6 +487,8 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, **options) -> Data
     table = stored(_scored(docs, shared).withColumn("row", F.monotonically_increasing_id()))
     shared.destroy()  # the table is written, so nothing reads it again
     model.classes = model.pairs = model.norms = None
+    give_back()
+    relieve(docs.sparkSession)
     tails = table.where("n_tail > 0").select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.times").alias("times"))
     joined = tails.join(counts, "token", "left").select("row", "times", F.coalesce(F.col("n"), F.lit(0)).alias("c"))
     sums = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(F.greatest("c", F.lit(1)))).alias("shares"))

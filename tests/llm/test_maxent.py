@@ -136,3 +136,20 @@ def test_driver_gets_one_table_a_step(spark, monkeypatch):
     assert found[0][0].std() > 0
     tables = [x for rows in got for r in rows for x in r if isinstance(x, (bytes, bytearray))]
     assert len(tables) == 2 * (steps + 1)
+
+
+def test_driver_takes_the_tables_in_parts(documents, monkeypatch):
+    """No collected result holds more buckets than a part, and every bucket that was trained arrives."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(maxent, "PART", 300)
+    parts, rows, to_arrow, walk = [], [], DataFrame.toArrow, DataFrame.toLocalIterator
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: (t := to_arrow(self), parts.append(t.column("bucket").to_pylist()) if "bucket" in t.column_names else None)[0])
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a: (rows.append(r) or r for r in walk(self, *a)))
+    counts = documents.select("text").mapInArrow(maxent._counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    model = maxent.fit(documents, counts, steps=2)
+    assert not rows and max(len(p) for p in parts) <= 300 and len(parts) == -(-maxent.BUCKETS // 300)
+    got = [b for p in parts for b in p]
+    assert len(got) == len(set(got)) > 300
+    assert set(np.flatnonzero((model.norms != 0).any(axis=1)).tolist()) <= set(got)
