@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from panmixia.operators import fold
 
-CHUNK = 512
+CHUNK = 1024
+#: Up to so many sites, the costs of all segments by their differences are held as a table and no start is pruned; above, starts leave at each PRUNE-th site.
+TABLE_SITES, PRUNE = 128, 16
 #: Rounding makes equal costs differ by less.
 TIE = 1e-9
 
@@ -21,32 +24,76 @@ def _cost(n: np.ndarray, length: np.ndarray, mu: float) -> np.ndarray:
     return np.where(length > 0, c, 1e30)
 
 
-def changepoints(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) -> list[list[int]]:
-    """Segment borders, from 0 to the last site, for each row of prefix counts.
+@functools.lru_cache(maxsize=4)
+def _tables(pos: tuple[float, ...], mu: float) -> list[np.ndarray]:
+    """For each site s, the costs of the segments [t, s) by t and by their differences."""
+    at, n = np.asarray(pos), np.arange(len(pos) + 1)[None, :]
+    return [_cost(n, (at[s] - at[:s])[:, None], mu) for s in range(len(pos))]
+
+
+def _origins(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) -> np.ndarray:
+    """Sites by pairs: where the last segment of the best segmentation up to each site starts.
 
-    All pairs go through the sites together. Costs within TIE of the least are ties, which the earliest
-    start wins; a start is pruned for a pair once its cost without the penalty exceeds the best by more,
-    and leaves the table when no pair needs it.
+    All pairs go through the sites together, a row per start, so that whole rows are worked on. Costs
+    within TIE of the least are ties, which the earliest start wins; on many sites, a start whose cost
+    without the penalty exceeds the best by more can't win for that pair, and leaves when no pair needs it.
     """
-    pairs, sites = prefix.shape
-    best, origin = np.zeros((pairs, sites)), np.zeros((pairs, sites), int)
-    starts, alive = np.array([0]), np.ones((pairs, 1), bool)
+    sites, pairs = len(pos), len(prefix)
+    counts = np.ascontiguousarray(prefix.T, dtype=np.int64)
+    tables = _tables(tuple(pos.tolist()), mu) if sites <= TABLE_SITES else None
+    best, origin = np.zeros((sites, pairs)), np.zeros((sites, pairs), np.int32)
+    starts, alive = np.arange(1), np.ones((1, pairs), bool)
     for s in range(1, sites):
-        costs = best[:, starts] + _cost(prefix[:, [s]] - prefix[:, starts], pos[s] - pos[starts][None, :], mu)
-        open_ = np.where(alive, costs, np.inf)
-        k = (open_ <= open_.min(axis=1, keepdims=True) + TIE).argmax(axis=1)
-        best[:, s], origin[:, s] = open_[np.arange(pairs), k] + penalty, starts[k]
-        alive = np.column_stack([alive & (costs <= best[:, [s]] + TIE), np.ones(pairs, bool)])
+        whole = len(starts) == s  # then all are there, in order
+        own = slice(0, s) if whole else starts
+        n = counts[s] - counts[own]
+        if tables is None:
+            costs = _cost(n, (pos[s] - pos[own])[:, None], mu)
+        else:
+            table = tables[s] if whole else tables[s][starts]
+            n += np.arange(0, table.size, table.shape[1])[:, None]
+            costs = table.ravel().take(n)
+        costs += best[own]
+        least = costs.min(axis=0)
+        # the first of the starts within the tie, as the largest of numbers that fall with the start
+        fall = np.arange(len(starts), 0, -1, dtype=np.uint8 if len(starts) < 256 else np.int32)[:, None]
+        k = len(starts) - ((costs <= least + TIE) * fall).max(axis=0).astype(np.int64)
+        origin[s] = k if whole else starts[k]
+        best[s] = np.take_along_axis(costs, k[None, :], axis=0)[0] + penalty
+        if tables is None:
+            alive &= costs <= best[s] + TIE
+            if s % PRUNE == 0:
+                used = alive.any(axis=1)
+                starts, alive = starts[used], alive[used]
+            alive = np.concatenate([alive, np.ones((1, pairs), bool)])
         starts = np.append(starts, s)
-        used = alive.any(axis=0)
-        starts, alive = starts[used], alive[:, used]
-    paths = []
-    for row in origin:
-        path, s = [sites - 1], sites - 1
-        while s > 0:
-            s = int(row[s])
-            path.append(s)
-        paths.append(path[::-1] if sites > 1 else [0])
+    return origin
+
+
+def segments(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of prefix counts, start and end of every segment, in order; a single site has none."""
+    found = []
+    for at in range(0, len(prefix), CHUNK):  # a few pairs at once, so that the rows of starts stay in cache
+        part = prefix[at : at + CHUNK]
+        origin = _origins(part, pos, mu, penalty)
+        row, end = np.arange(len(part)), np.full(len(part), len(pos) - 1)
+        while len(row := row[end > 0]):
+            end = end[end > 0]
+            start = origin[end, row].astype(np.int64)
+            found.append((at + row, start, end))
+            end = start
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row, start, end = map(np.concatenate, zip(*found, strict=True))
+    order = np.lexsort((start, row))
+    return row[order], start[order], end[order]
+
+
+def changepoints(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) -> list[list[int]]:
+    """Segment borders, from 0 to the last site, for each row of prefix counts."""
+    paths = [[0] for _ in prefix]
+    for row, _, end in zip(*(x.tolist() for x in segments(prefix, pos, mu, penalty)), strict=True):
+        paths[row].append(end)
     return paths
 
 
@@ -56,17 +103,17 @@ def pelt_changepoint(pairs_xor: DataFrame, positions: list[float], mu: float, pe
     Segments share their ends, the last one ends at the last site; a segment [a, b) has the
     differences of sites a + 1 to b. Without a penalty it is the log of the number of sites.
     """
-    level = math.log(len(positions)) if penalty is None else penalty
-
-    def kernel(x, pos):
-        prefix = np.cumsum(x, axis=1, dtype=np.int64)
-        # a few pairs at once, so that the tables of starts stay in cache
-        paths = [path for at in range(0, len(prefix), CHUNK) for path in changepoints(prefix[at : at + CHUNK], pos, mu, level)]
-        lengths = [np.diff(pos[path]).tolist() for path in paths]
-        return {"borders": paths, "counts": [np.diff(p[path]).tolist() for p, path in zip(prefix, paths, strict=True)], "lengths": lengths}
-
-    rows = fold.per_pair(pairs_xor, positions, kernel, ("borders:array<int>", "counts:array<long>", "lengths:array<double>"))
-    parts = rows.select("i", "j", "borders", "lengths", F.posexplode("counts").alias("seg_no", "n_mut"))
-    parts = parts.select("i", "j", "seg_no", F.get("borders", F.col("seg_no")).alias("start_idx"), F.get("borders", F.col("seg_no") + 1).alias("end_idx"), "n_mut", F.get("lengths", F.col("seg_no")).alias("length"))
-    length = F.col("length")
-    return parts.withColumn("tmrca", F.when((F.col("n_mut") > 0) & (length > 0), F.col("n_mut") / (2 * mu * length)).otherwise(0.0)).drop("length")
+    level, pos = math.log(len(positions)) if penalty is None else penalty, np.asarray(positions, float)
+
+    def run(batches):
+        for part, x in fold.parts(batches, len(pos)):
+            prefix = np.cumsum(x, axis=1, dtype=np.int64)
+            row, start, end = segments(prefix, pos, mu, level)
+            n, length = prefix[row, end] - prefix[row, start], pos[end] - pos[start]
+            known = (n > 0) & (length > 0)
+            tmrca = np.where(known, n / np.where(known, 2 * mu * length, 1.0), 0.0)
+            pick = pa.array(row)
+            arrays = [part.column("i").take(pick), part.column("j").take(pick), pa.array(np.arange(len(row)) - np.searchsorted(row, row), pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(n, pa.int64()), pa.array(tmrca)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "seg_no", "start_idx", "end_idx", "n_mut", "tmrca"])
+
+    return pairs_xor.select("i", "j", "xor").mapInArrow(run, "i long, j long, seg_no int, start_idx int, end_idx int, n_mut long, tmrca double")

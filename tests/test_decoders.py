@@ -139,6 +139,22 @@ def test_segmentation_equals_the_full_search():
     assert segments.changepoints(prefix[:, :1], pos[:1], MU, 1.0) == [[0]] * 5
 
 
+def test_segments_of_many_pairs_take_few_logarithms(monkeypatch):
+    """Costs are worked out by site, start and number of differences, not by pair; few and many sites agree with the full search."""
+    asked, cost = [], segments._cost
+    monkeypatch.setattr(segments, "_cost", lambda n, length, mu: asked.append(np.broadcast(n, length).size) or cost(n, length, mu))
+    segments._tables.cache_clear() if hasattr(segments, "_tables") else None
+    rng = np.random.default_rng(2)
+    prefix = np.cumsum(rng.random((3000, 40)) < np.repeat(rng.random((3000, 4)), 10, axis=1), axis=1)
+    pos = np.sort(rng.integers(1, 4000, 40).cumsum()).astype(float)
+    found = segments.changepoints(prefix, pos, MU, 0.5)
+    assert sum(asked) <= 40 * 40 * 41
+    assert found[::100] == [plain_segments(p, pos, 0.5) for p in prefix[::100]]
+    assert max(map(len, found)) > 3
+    monkeypatch.setattr(segments, "TABLE_SITES", 8)
+    assert segments.changepoints(prefix[:200], pos, MU, 0.5) == found[:200]
+
+
 def test_segments_cover_the_sites(haps):
     g, _, pairs = haps
     rows = segments.pelt_changepoint(pairs, POS, MU, penalty=0.1).orderBy("i", "j", "seg_no").collect()
