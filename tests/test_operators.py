@@ -32,6 +32,25 @@ def test_packing_round_trip_and_counts(spark, sites):
     assert {r["h"] for r in pairs.where("i <> j").select(panel.hamming(F.col("xor")).alias("h")).collect()} == {d[-1]}
 
 
+@pytest.mark.parametrize("sites", [1, 4, 64, 70, 150])
+def test_site_counts_are_expressions(spark, sites):
+    """Running counts of panels of any number of words, with no Python on the executors and no job of their own."""
+    g = np.random.default_rng(sites).random((4, sites)) < 0.5
+    pairs = panel.pair_words(panel.packed_wide(panel.to_wide(long(spark, g.astype(int).tolist()))))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = len(tracker.getJobIdsForGroup(None))
+    scans = {0: panel.prefix_scan(pairs)}
+    assert len(tracker.getJobIdsForGroup(None)) == jobs
+    for w, df in scans.items():
+        assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("MapInArrow", "Python"))
+        assert df.dtypes == [("i", "bigint"), ("j", "bigint"), ("site_idx", "int"), ("n_diff", "bigint")]
+        found = {(r["i"], r["j"], r["site_idx"]): r["n_diff"] for r in df.collect()}
+        assert df.count() == len(found) == 6 * sites
+        for (i, j, s), n in found.items():
+            first = max(s - w + 1, 0) if w else 0
+            assert n == (g[i] ^ g[j])[first : s + w + 1].sum()
+
+
 def test_pair_index_is_a_bijection(spark):
     n = 300
     df = spark.range(n * (n - 1) // 2)
