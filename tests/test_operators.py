@@ -34,12 +34,12 @@ def test_packing_round_trip_and_counts(spark, sites):
 
 @pytest.mark.parametrize("sites", [1, 4, 64, 70, 150])
 def test_site_counts_are_expressions(spark, sites):
-    """Running counts of panels of any number of words, with no Python on the executors and no job of their own."""
+    """Running and windowed counts of panels of any number of words, with no Python on the executors and no job of their own."""
     g = np.random.default_rng(sites).random((4, sites)) < 0.5
     pairs = panel.pair_words(panel.packed_wide(panel.to_wide(long(spark, g.astype(int).tolist()))))
     tracker = spark.sparkContext.statusTracker()
     jobs = len(tracker.getJobIdsForGroup(None))
-    scans = {0: panel.prefix_scan(pairs)}
+    scans = {0: panel.prefix_scan(pairs)} | {w: diversity.windowed_divergence(pairs, w, sites) for w in (1, 5, 200)}
     assert len(tracker.getJobIdsForGroup(None)) == jobs
     for w, df in scans.items():
         assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("MapInArrow", "Python"))
