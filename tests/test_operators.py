@@ -1,6 +1,9 @@
 """Edge cases of panels, intervals, ranks and texts."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +197,23 @@ def test_sorted_unique_pairs_leaves_out_groups_below_four(spark, tmp_path):
     rows = [(i, 0 if i < 4 else 1, [1.0] * 64) for i in range(7)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in QUERIES["sorted_unique_pairs"](spark, str(tmp_path)).collect()] == [(i, j) for i in range(4) for j in range(i)]
+
+
+def test_pairs_leave_in_runs_that_parquet_repeats(spark, tmp_path):
+    n = 5000
+    panel.pairs(spark.range(n).toDF("hap_id")).write.parquet(str(tmp_path / "pairs"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "pairs").glob("*.parquet")]
+    assert sum(m.num_rows for m in files) == n * (n - 1) // 2
+    stored = {c: sum(m.row_group(g).column(c).total_compressed_size for m in files for g in range(m.num_row_groups)) for c in (0, 1)}
+    assert stored[0] + stored[1] < 0.3 * n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("within", [(), ("pop",)])
+def test_pairs_of_odd_numbers(spark, within):
+    """Repeated, missing, negative and far numbers, more than a run of them in a block, and missing groups."""
+    haps = [(h, "ab"[h % 3 % 2]) for h in range(0, 8 * (panel.RUN + 40), 4)]
+    haps += [(8, "a"), (8, "a"), (None, "a"), (-5, "b"), (-5, "b"), (10**15, "a"), (7, None), (9, None)]
+    df = spark.createDataFrame(haps, "hap_id long, pop string")
+    want = Counter((x, y) for x, p in haps for y, q in haps if x is not None and y is not None and x > y and (not within or p == q and p is not None))
+    assert Counter((r["i"], r["j"]) for r in panel.pairs(df, *within).collect()) == want
+    assert Counter((r["j"], r["i"]) for r in panel.pairs(df, *within, ordered="i<j").collect()) == want
