@@ -17,8 +17,9 @@ from panmixia.llm.common import slices, trimmed
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-#: Tokens held by a task before it packs them, words whose ids it remembers, and bytes of text that are encoded at once.
-BUFFER_TOKENS, CACHED_WORDS, ENCODED_BYTES = 2_000_000, 200_000, 3_000_000
+#: Tokens held by a task before it packs them, words whose ids it remembers, bytes of text that are encoded at once, and
+#: new words (or texts) that the tokenizer gets at once, since what it holds meanwhile is many times their size.
+BUFFER_TOKENS, CACHED_WORDS, ENCODED_BYTES, NEW_WORDS = 2_000_000, 200_000, 1_500_000, 4_000
 STEP_TOKENS = 8 * TIERS[-1]
 
 
@@ -35,8 +36,9 @@ class WordTokenizer:
 
         from tokenizers import normalizers, pre_tokenizers
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # the same model behind a cheaper front, for words of lower-case ASCII letters alone
+        self.tokenizer = Tokenizer.from_file(path)
+        # the same model, not a copy, behind a cheaper front, for words of lower-case ASCII letters alone
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -46,19 +48,24 @@ class WordTokenizer:
         self.marks = {p: self._ids([p.decode()])[0] for p in (b".", b",")}
 
     def _ids(self, texts: list[str], plain: bool = False) -> list[bytes]:
-        found = (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        model, out = self.plain if plain else self.tokenizer, []
+        for k in range(0, len(texts), NEW_WORDS):
+            out += [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(texts[k : k + NEW_WORDS], add_special_tokens=False)]
+        return out
 
     def _together(self, words: list[bytes], plain: bool) -> list[bytes]:
-        """Ids of single words of letters, encoded as one text; one by one if its pieces don't add up."""
-        if not words:
-            return []
-        raw = self._ids([b" ".join(words).decode("utf-8", "replace")], plain)[0]
-        stops = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
-        if len(stops) != len(words):
-            return self._ids([w.decode("utf-8", "replace") for w in words])
-        at = [0, *(4 * stops).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        """Ids of single words of letters, encoded some thousand in one text; one by one if its pieces don't add up."""
+        out: list[bytes] = []
+        for k in range(0, len(words), NEW_WORDS):
+            some = words[k : k + NEW_WORDS]
+            raw = self._ids([b" ".join(some).decode("utf-8", "replace")], plain)[0]
+            stops = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
+            if len(stops) != len(some):
+                out += self._ids([w.decode("utf-8", "replace") for w in some])
+                continue
+            at = [0, *(4 * stops).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
 
     def _learn(self, words: set[bytes]) -> None:
         known, older, marks = self.known, self.older, self.marks

@@ -74,3 +74,28 @@ def test_old_words_come_back(monkeypatch):
     t = packing.WordTokenizer(__import__("public_tokenizers").path("word_bpe_49k.json"))
     for some in (["alpha beta. gamma"], ["delta, alpha epsilon"], ["beta. beta zeta, eta"], ["alpha beta. gamma"]):
         assert t.encode(pa.array(some)).to_pylist() == [np.array(t.tokenizer.encode(some[0], add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_new_words_reach_the_tokenizer_in_parts():
+    t = packing.WordTokenizer(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    library, sizes = t.tokenizer, []
+
+    class Spy:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(sum(len(x.split()) for x in texts))
+            return self.model.encode_batch_fast(texts, **options)
+
+    t.tokenizer, t.plain = Spy(t.tokenizer), Spy(t.plain)
+    letters = ["".join(chr(97 + k // 26**n % 26) for n in range(4)) for k in range(9_000)]
+    text = " ".join([*letters, *(f"é{w}" for w in letters), *(f"{w}7" for w in letters)])
+    assert t.encode(pa.array([text])).to_pylist() == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sum(sizes) == 27_000 and max(sizes) <= 4_000
+
+
+def test_both_fronts_share_one_model():
+    t = packing.WordTokenizer(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    t.tokenizer.model.dropout = 0.5
+    assert t.plain.model.dropout == 0.5
