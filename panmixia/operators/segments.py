@@ -16,6 +16,8 @@ CHUNK = 1024
 TABLE_SITES, PRUNE = 128, 16
 #: Rounding makes equal costs differ by less.
 TIE = 1e-9
+#: By so much a bound must hold, so that the rounding of its single-precision tables doesn't matter.
+MARGIN = 1e-3
 
 
 def _cost(n: np.ndarray, length: np.ndarray, mu: float) -> np.ndarray:
@@ -70,20 +72,69 @@ def _origins(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) ->
     return origin
 
 
+def _excess(n: np.ndarray, length: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """By how much a segment's likelihood with a rate of its own exceeds that with the given one."""
+    due = rate * length
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.where(n > 0, n * np.log(np.where(n > 0, n, 1) / due), 0.0)
+    return np.maximum(own - n + due, 0)
+
+
+@functools.lru_cache(maxsize=4)
+def _bounds(pos: tuple[float, ...], penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By a pair's differences after the first site: the excess of what lies before and after each site, by the differences
+    before it, and the fewest and most differences of windows of each number of sites whose excess stays under the penalty."""
+    at, sites = np.asarray(pos) - pos[0], len(pos)
+    n = np.arange(sites)
+    total, part = n[:, None, None], n[None, None, :]
+    rate = total / at[-1]
+    before = _excess(part, at[None, :, None], rate)
+    after = np.where(part <= total, _excess(np.maximum(total - part, 0), at[-1] - at[None, :, None], rate), np.inf)
+    low, high = np.full((sites, sites), 255, np.uint8), np.zeros((sites, sites), np.uint8)
+    for width in range(1, sites):
+        length = at[width:] - at[:-width]
+        most = np.maximum(_excess(n[None, :], length.min(), rate[:, 0]), _excess(n[None, :], length.max(), rate[:, 0]))
+        fits = most <= penalty - MARGIN  # a range of n, since the excess is convex in it
+        some = fits.any(axis=1)
+        low[width, some], high[width, some] = fits.argmax(axis=1)[some], sites - 1 - fits[some, ::-1].argmax(axis=1)
+    return before.astype(np.float32).ravel(), after.astype(np.float32).ravel(), low, high
+
+
+def _whole(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) -> np.ndarray:
+    """Which pairs are surely one segment; the others are not known.
+
+    What a segmentation gains over one segment is the sum of its parts' excesses over the common rate (no more, since an
+    empty part costs what it does). If the largest of a first part and of a last part come to less than the penalty, and
+    that of every window is less as well, k parts gain less than k - 1 penalties.
+    """
+    sites = len(pos)
+    if not 3 <= sites <= TABLE_SITES or mu < 0 or (np.diff(pos) <= 0).any():
+        return np.zeros(len(prefix), bool)
+    before, after, low, high = _bounds(tuple(pos.tolist()), penalty)
+    counts = np.ascontiguousarray((prefix - prefix[:, :1]).T.astype(np.uint8))
+    total = counts[-1].astype(np.int64)
+    cell = total * sites**2 + (np.arange(1, sites - 1) * sites)[:, None] + counts[1:-1]
+    sure = before.take(cell).max(axis=0) + after.take(cell).max(axis=0) <= penalty - MARGIN
+    for width in range(1, sites):
+        n = counts[width:] - counts[:-width]
+        sure &= (n.min(axis=0) >= low[width].take(total)) & (n.max(axis=0) <= high[width].take(total))
+    return sure
+
+
 def segments(prefix: np.ndarray, pos: np.ndarray, mu: float, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of prefix counts, start and end of every segment, in order; a single site has none."""
-    found = []
-    for at in range(0, len(prefix), CHUNK):  # a few pairs at once, so that the rows of starts stay in cache
-        part = prefix[at : at + CHUNK]
-        origin = _origins(part, pos, mu, penalty)
-        row, end = np.arange(len(part)), np.full(len(part), len(pos) - 1)
+    sure = np.concatenate([np.zeros(0, bool), *[_whole(prefix[at : at + 4 * CHUNK], pos, mu, penalty) for at in range(0, len(prefix), 4 * CHUNK)]])
+    one, rest = np.flatnonzero(sure), np.flatnonzero(~sure)
+    found = [(one, np.zeros_like(one), np.full_like(one, len(pos) - 1))]
+    for at in range(0, len(rest), CHUNK):  # a few pairs at once, so that the rows of starts stay in cache
+        own = rest[at : at + CHUNK]
+        origin = _origins(prefix[own], pos, mu, penalty)
+        row, end = np.arange(len(own)), np.full(len(own), len(pos) - 1)
         while len(row := row[end > 0]):
             end = end[end > 0]
             start = origin[end, row].astype(np.int64)
-            found.append((at + row, start, end))
+            found.append((own[row], start, end))
             end = start
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     row, start, end = map(np.concatenate, zip(*found, strict=True))
     order = np.lexsort((start, row))
     return row[order], start[order], end[order]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panmixia import api
+from panmixia.functions.columns import round_half_away
 from panmixia.operators import flow, gamma_filter, genes, hmm, panel, segments, ultrametric
 from panmixia.plans import bindings as b
 from panmixia.plans import decoder_sql as sql
@@ -149,7 +150,7 @@ def adaptive_prior_infer(spark, sf_dir):
 
 @query(sql.pelt(b.PAIRS_SQL))
 def pelt_changepoint(spark, sf_dir):
-    return _rounded(segments.pelt_changepoint(within_pop(spark, sf_dir), b.positions(), MU), "tmrca", digits=4)
+    return segments.pelt_changepoint(within_pop(spark, sf_dir), b.positions(), MU).withColumn("tmrca", round_half_away(F.col("tmrca"), 4))
 
 
 def _sets(spark, sf_dir, size=8):

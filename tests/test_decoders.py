@@ -4,6 +4,7 @@ import inspect
 import itertools
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,38 @@ def test_segments_of_many_pairs_take_few_logarithms(monkeypatch):
     assert segments.changepoints(prefix[:200], pos, MU, 0.5) == found[:200]
 
 
+def test_pairs_of_one_segment_are_known_without_a_recursion(monkeypatch):
+    """The same segments, ties and steps included, and nearly no pair of an even rate goes through all starts."""
+    rng, origins, seen = np.random.default_rng(19), segments._origins, []
+    pos, penalty = np.arange(1, 65) * 1000.0, math.log(64)
+    monkeypatch.setattr(segments, "_origins", lambda prefix, *rest: seen.append(len(prefix)) or origins(prefix, *rest))
+    step = np.where(np.arange(64) < rng.integers(0, 64, (100, 1)), 0.1, 0.7)
+    rates = [np.full((1000, 64), 0.5), np.full((100, 64), 0.03), step, np.zeros((5, 64)), np.ones((5, 64)), np.arange(64)[None, :] % 2 * np.ones((5, 1))]
+    found = []
+    for rate in rates:
+        prefix = np.cumsum(rng.random(rate.shape) < rate, axis=1, dtype=np.int64)
+        found.append((prefix, len(seen), segments.changepoints(prefix, pos, MU, penalty)))
+    assert sum(seen[: found[1][1]]) < 100  # of the first thousand
+    monkeypatch.setattr(segments, "_whole", lambda prefix, *_: np.zeros(len(prefix), bool))
+    for prefix, _, paths in found:
+        assert paths == segments.changepoints(prefix, pos, MU, penalty)
+        assert paths[::50] == [plain_segments(p, pos, penalty) for p in prefix[::50]]
+    assert any(len(x) > 2 for x in found[2][2])
+
+
+@pytest.mark.parametrize("name, column, digits", [("pelt_changepoint", "tmrca", 4)])
+def test_results_are_rounded_as_their_sql_rounds(name, column, digits, spark, sf_dir, monkeypatch):
+    """The multiple is rounded, not the number's text: 1.005 times 100 is less than 100.5."""
+    values = [0.0, 1.005, 1.00005, 2.675, 1.125, 1.375, 0.03125, 0.00009, 12345.678949, 98765.4321, 1e12 + 0.125, *np.random.default_rng(3).uniform(0, 1e5, 500).tolist()]
+    rows = spark.createDataFrame([(x,) for x in values] + [(None,), (math.nan,)], f"{column} double")
+    monkeypatch.setattr(api, "infer", lambda *_, **__: rows)
+    monkeypatch.setattr(segments, "pelt_changepoint", lambda *_: rows)
+    got = [r[0] for r in getattr(q, name)(spark, sf_dir).collect()]
+    want = [x for (x,) in duckdb.sql(f"select round(v, {digits}) from (select unnest({values}::DOUBLE[]) as v)").fetchall()]
+    assert got[: len(values)] == want
+    assert got[-2] is None and math.isnan(got[-1])
+
+
 def test_segments_cover_the_sites(haps):
     g, _, pairs = haps
     rows = segments.pelt_changepoint(pairs, POS, MU, penalty=0.1).orderBy("i", "j", "seg_no").collect()
