@@ -175,7 +175,7 @@ def test_pairs_of_one_segment_are_known_without_a_recursion(monkeypatch):
     assert any(len(x) > 2 for x in found[2][2])
 
 
-@pytest.mark.parametrize("name, column, digits", [("pelt_changepoint", "tmrca", 4)])
+@pytest.mark.parametrize("name, column, digits", [("infer", "mean", 2), ("pelt_changepoint", "tmrca", 4)])
 def test_results_are_rounded_as_their_sql_rounds(name, column, digits, spark, sf_dir, monkeypatch):
     """The multiple is rounded, not the number's text: 1.005 times 100 is less than 100.5."""
     values = [0.0, 1.005, 1.00005, 2.675, 1.125, 1.375, 0.03125, 0.00009, 12345.678949, 98765.4321, 1e12 + 0.125, *np.random.default_rng(3).uniform(0, 1e5, 500).tolist()]
