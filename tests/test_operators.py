@@ -64,6 +64,13 @@ def test_pair_index_is_a_bijection(spark):
     assert big.select(pair_index(*pair_members(F.col("id"))).alias("x"), "id").where("x <> id").count() == 0
 
 
+def test_pair_index_is_exact_beyond_doubles(spark):
+    ids = [(i, j) for i in (134_217_731, 300_000_003, 1_000_000_007, 3_000_000_019) for j in (0, 1, 77_777_777, i - 1)]
+    pairs = spark.createDataFrame(ids, "i long, j long").withColumn("id", pair_index(F.col("i"), F.col("j")))
+    back = pair_members(F.col("id"))
+    assert [tuple(r) for r in pairs.select("i", "j", "id", *back).collect()] == [(i, j, i * (i - 1) // 2 + j, i, j) for i, j in ids]
+
+
 def test_theta_golden_values(spark):
     a = diversity.estimate_theta(long(spark, [[0, 0, 1, 1], [0, 1, 1, 1], [0, 0, 0, 1], [1, 0, 0, 1]], [10.0, 20.0, 30.0, 40.0]), 2e-8, 5e-8, 1e4).first()
     assert a["mu_eff"] * 4e4 == pytest.approx(1 / 41) and a["rho_eff"] * 4e4 == pytest.approx(2.5 / 41)
