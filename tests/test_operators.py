@@ -71,6 +71,22 @@ def test_pair_index_is_exact_beyond_doubles(spark):
     assert [tuple(r) for r in pairs.select("i", "j", "id", *back).collect()] == [(i, j, i * (i - 1) // 2 + j, i, j) for i, j in ids]
 
 
+@pytest.mark.parametrize("sites, most", [(64, 64), (70, 66), (150, 100)])
+def test_site_counts_take_a_words_bits(spark, sites, most):
+    """Windows to both sides of where words no longer suffice, sites cut off, and no array read for a site."""
+    g = np.random.default_rng(sites).random((3, sites)) < 0.5
+    pairs = panel.pair_words(panel.packed_wide(panel.to_wide(long(spark, g.astype(int).tolist()))))
+    scans = {0: panel.prefix_scan(pairs)} | {w: diversity.windowed_divergence(pairs, w, most) for w in (32,)}
+    for w, df in scans.items():
+        if w < 32:
+            assert "xor" not in df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+        found = {(r["i"], r["j"], r["site_idx"]): r["n_diff"] for r in df.collect()}
+        last = most if w else sites
+        assert len(found) == 3 * last
+        for (i, j, s), n in found.items():
+            assert n == (g[i] ^ g[j])[max(s - w + 1, 0) if w else 0 : min(s + w + 1, last)].sum()
+
+
 def test_theta_golden_values(spark):
     a = diversity.estimate_theta(long(spark, [[0, 0, 1, 1], [0, 1, 1, 1], [0, 0, 0, 1], [1, 0, 0, 1]], [10.0, 20.0, 30.0, 40.0]), 2e-8, 5e-8, 1e4).first()
     assert a["mu_eff"] * 4e4 == pytest.approx(1 / 41) and a["rho_eff"] * 4e4 == pytest.approx(2.5 / 41)
