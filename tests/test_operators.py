@@ -76,7 +76,7 @@ def test_site_counts_take_a_words_bits(spark, sites, most):
     """Windows to both sides of where words no longer suffice, sites cut off, and no array read for a site."""
     g = np.random.default_rng(sites).random((3, sites)) < 0.5
     pairs = panel.pair_words(panel.packed_wide(panel.to_wide(long(spark, g.astype(int).tolist()))))
-    scans = {0: panel.prefix_scan(pairs)} | {w: diversity.windowed_divergence(pairs, w, most) for w in (32,)}
+    scans = {0: panel.prefix_scan(pairs)} | {w: diversity.windowed_divergence(pairs, w, most) for w in (5, 31, 32)}
     for w, df in scans.items():
         if w < 32:
             assert "xor" not in df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
